@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, mixing, near_dedup, pii, quality, sentencepiece
+import corpus_pipeline
+
+from . import chat, exact_dedup, language_id, lz_fingerprint, mixing, near_dedup, pii, quality, sentencepiece
 from .shared import fold
 
 
@@ -36,6 +38,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", sha(chat.turns_text(F.col("turns"))).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
 
 
+def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.chained(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -61,11 +67,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_dedup, op3_chat_formatting, op6_pii, op7_language_id, op8_sentencepiece, op9_quality_classifier, op10_mixing)}
+    numbered = (op1_simhash_near_dedup, op2_exact_dedup, op3_chat_formatting, op4_lz_fingerprints, op6_pii, op7_language_id, op8_sentencepiece, op9_quality_classifier, op10_mixing)
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op2_exact_dedup": OP2_SQL}
 
 
 OP2_SQL = """
