@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, exact_dedup, language_id, lz_fingerprint, mixing, near_dedup, pii, quality, sentencepiece
+from . import chat, exact_dedup, language_id, lz_fingerprint, mixing, near_dedup, pii, quality, sentencepiece, suffix_dedup
 from .shared import fold
 
 
@@ -42,6 +42,10 @@ def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.chained(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_simhash_near_dedup, op2_exact_dedup, op3_chat_formatting, op4_lz_fingerprints, op6_pii, op7_language_id, op8_sentencepiece, op9_quality_classifier, op10_mixing)
+    numbered = (op1_simhash_near_dedup, op2_exact_dedup, op3_chat_formatting, op4_lz_fingerprints, op5_suffix_dedup, op6_pii, op7_language_id, op8_sentencepiece, op9_quality_classifier, op10_mixing)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in numbered}
 
 
