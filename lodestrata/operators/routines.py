@@ -49,13 +49,9 @@ def routines(sources: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                found = list(routines_of(row[-1] or ""))
-                if found:
-                    out = pd.DataFrame(found)[names]
-                    for at, k in enumerate(keys):
-                        out.insert(at, k, row[at])
-                    yield out
+            found = [dict(zip(keys, row[:-1])) | r for row in frame.itertuples(index=False, name=None) for r in routines_of(row[-1] or "")]
+            if found:
+                yield pd.DataFrame(found)[[*keys, *names]]
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [ROUTINE_SCHEMA])
     return sources.select(*keys, text_col).mapInPandas(run, schema)
