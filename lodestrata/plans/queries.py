@@ -441,9 +441,9 @@ def table_schema(spark, sf_dir):
     return graph.table_schema(reports).withColumnsRenamed({"table": "tbl", "column": "col"})
 
 
-@query("SELECT event_id, kind, dst FROM events, (VALUES ('inherits', 'u_base'), ('creates', 'n_thing'), ('opens', 'w_main'), ('report', 'd_list'), ('table', 'u_base'), ('table', 'orders')) v(kind, dst)")
+@query("SELECT event_id, kind, dst FROM events, (VALUES ('inherits', 'u_base'), ('creates', 'n_thing'), ('opens', 'w_main'), ('report', 'd_list'), ('table', 'u_base'), ('table', 'invoices')) v(kind, dst)")
 def object_edges(spark, sf_dir):
-    source = F.lit("global type w_x from u_base\ncreate n_thing\nOpen(w_main)\ndw_1.dataobject='d_list'\nselect a from orders where b = 1")
+    source = F.lit("global type w_x from u_base\ncreate n_thing\nOpen(w_main)\ndw_1.dataobject='d_list'\nselect a from invoices where b = 1")
     rows = table(spark, sf_dir, "events").select("event_id", source.alias("text"))
     return graph.edges(rows, "event_id").select(F.col("src").alias("event_id"), "kind", "dst")
 
