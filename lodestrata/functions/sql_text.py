@@ -99,7 +99,7 @@ def attribute(attributes: Column, name: str) -> Column:
 
 def columns(text: Column) -> Column:
     """``(name, type, dbname)`` of every column, the first of a name; the database name defaults to the name."""
-    inside = every(text, r'(?i)\bcolumn\s*\(?((?:\s*[a-z_.]+\s*=\s*(?:"[^"]*"|[\w.]+(?:\([^)]*\))?))+)')
+    inside = every(text, r'(?i)\bcolumn\s*=?\s*\(?((?:\s*[a-z_.]+\s*=\s*(?:"[^"]*"|[\w.]+(?:\([^)]*\))?))+)')
     each = F.transform(inside, lambda x: F.struct(attribute(x, "name").alias("name"), F.coalesce(attribute(x, "type"), F.lit("")).alias("type"), F.coalesce(attribute(x, "dbname"), attribute(x, "name")).alias("dbname")))
     named = F.filter(each, lambda x: x["name"].isNotNull())
     return F.filter(named, lambda x, i: ~F.exists(F.slice(named, F.lit(1), i), lambda y: y["name"] == x["name"]))

@@ -29,7 +29,8 @@ def project_summary(files: DataFrame, ext: str = "ext", objects: str = "objects"
 
 def size_stats(files: DataFrame, size: str, name: str) -> DataFrame:
     """Total, whole average, largest and smallest; the first by name wins ties. Files without a size count in the average."""
-    return files.agg(F.sum(size).alias("total"), F.expr(f"sum({size}) div count(*)").alias("average"), F.min_by(name, F.struct(-F.col(size), F.col(name))).alias("largest"), F.min_by(name, F.struct(size, name)).alias("smallest"))
+    known = F.col(size).isNotNull()
+    return files.agg(F.sum(size).alias("total"), F.expr(f"sum({size}) div count(*)").alias("average"), F.min_by(name, F.when(known, F.struct(-F.col(size), F.col(name)))).alias("largest"), F.min_by(name, F.when(known, F.struct(size, name))).alias("smallest"))
 
 
 def bucketed(df: DataFrame, label: Column, labels: list[str]) -> DataFrame:

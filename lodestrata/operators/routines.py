@@ -59,7 +59,8 @@ def routines(sources: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
 def variables(sources: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Declarations in front of the first routine: ``access, data_type, name, initial_value``."""
-    header = F.regexp_extract(text_col, r"(?is)\A(.*?)(?=^[ \t]*(?:(?:public|protected|private|global)\s+(?:subroutine|function)\s|(?:event|on)\s+\w)|\z)".replace("(?is)", "(?ism)"), 1)
+    plain = F.regexp_replace(text_col, r"(?is)\b(?:forward|type)\s+prototypes\b.*?\bend\s+prototypes\b", "")
+    header = F.regexp_extract(plain, r"(?ism)\A(.*?)(?=^[ \t]*(?:(?:public|protected|private|global)\s+(?:subroutine|function)\s|(?:event|on)\s+\w)|\z)", 1)
     found = sources.select(*keys, F.explode(F.regexp_extract_all(header, F.lit(VARIABLE), 0)).alias("v"))
     part = lambda i: F.regexp_extract("v", VARIABLE, i)
     return found.select(*keys, F.lower(part(1)).alias("access"), part(2).alias("data_type"), part(3).alias("name"), F.trim(part(4)).alias("initial_value")).where("lower(data_type) not in ('subroutine', 'function', 'type')")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Machines and the resource directory's index: fixed values of the format.
 MACHINES = {0x14C: "x86", 0x8664: "x64", 0x1C0: "arm", 0xAA64: "arm64"}
 CERTIFICATES = 4
 
+IMAGE_ARROW = pa.schema([("path", pa.string()), ("is_pb_exe", pa.bool_()), ("is_64bit", pa.bool_()), ("machine", pa.string()), ("timestamp", pa.int64()), ("embedded", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("place", pa.string())]))), ("error", pa.string())])
 IMAGE_SCHEMA = "path string, is_pb_exe boolean, is_64bit boolean, machine string, timestamp long, embedded array<struct<offset:long,size:long,place:string>>, error string"
 
 
@@ -36,7 +37,7 @@ def image(raw: bytes) -> dict:
         following = raw.find(b"HDR*", at + 4)
         until = following if 0 <= following < stop else stop
         if raw[at + 512 : at + 516] == b"FRE*" or raw[at + 1024 : at + 1028] == b"FRE*":
-            found.append((at, until - at, "appended" if at >= end else "section"))
+            found.append({"offset": at, "size": until - at, "place": "appended" if at >= end else "section"})
         at = following
     return {"is_pb_exe": bool(found) or b"PowerBuilder" in raw, "is_64bit": wide, "machine": MACHINES.get(machine, hex(machine)), "timestamp": stamp, "embedded": found}
 
@@ -44,31 +45,30 @@ def image(raw: bytes) -> dict:
 def read_images(files: DataFrame) -> DataFrame:
     """A row for each of ``files(path, content)``; files of another kind carry an error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for path, raw in zip(frame["path"], frame["content"]):
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     rows.append({"path": path} | image(raw or b""))
                 except (ValueError, struct.error) as e:
                     rows.append({"path": path, "error": str(e)})
-            out = pd.DataFrame(rows).reindex(columns=[c.split()[0] for c in IMAGE_SCHEMA.split(", ")])
-            yield out.astype({"is_pb_exe": "boolean", "is_64bit": "boolean", "timestamp": "Int64"})
+            yield pa.RecordBatch.from_pylist(rows, IMAGE_ARROW)
 
-    return files.select("path", "content").mapInPandas(run, IMAGE_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, IMAGE_SCHEMA)
 
 
 def embedded_libraries(files: DataFrame) -> DataFrame:
     """``(path, content)`` of every embedded library, ready to be read as one."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, raw in zip(frame["path"], frame["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     found = image(raw or b"")["embedded"]
                 except (ValueError, struct.error):
                     continue
-                if found:
-                    yield pd.DataFrame({"path": [f"{path}#{at}" for at, _, _ in found], "content": [raw[at : at + n] for at, n, _ in found]})
+                for x in found:
+                    yield pa.record_batch([pa.array([f"{path}#{x['offset']}"]), pa.array([raw[x["offset"] : x["offset"] + x["size"]]], pa.binary())], ["path", "content"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary")
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")

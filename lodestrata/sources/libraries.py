@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ TYPES = ("application", "datawindow", "window", "menu", "function", "structure",
 EXTENSION_TYPES = {".sra": 0, ".srd": 1, ".srw": 2, ".srm": 3, ".srf": 4, ".srs": 5, ".sru": 6, ".srq": 7, ".srp": 8, ".srj": 9, ".srx": 10, ".sre": 12}
 PREFIX_TYPES = {"d_": 1, "w_": 2, "m_": 3, "n_": 6, "u_": 6, "f_": 4, "gf_": 4, "s_": 5}
 
+ENTRY_ARROW = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("type_code", pa.int32()), ("type_name", pa.string()), ("is_source", pa.bool_()), ("version", pa.string()), ("is_unicode", pa.bool_()), ("data_offset", pa.int64()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("data", pa.binary()), ("error", pa.string())])
 ENTRY_SCHEMA = "path string, ordinal int, name string, type_code int, type_name string, is_source boolean, version string, is_unicode boolean, data_offset long, size long, modified timestamp, data binary, error string"
 
 
@@ -72,7 +74,7 @@ def entries(raw: bytes) -> Iterator[dict]:
             if name and name not in names and 0 < offset <= len(raw) and 0 < size <= LARGEST:
                 names.add(name)
                 code, source = type_of(name)
-                yield {"ordinal": ordinal, "name": name, "type_code": code, "type_name": TYPES[code], "is_source": source, "version": version, "is_unicode": unicode, "data_offset": offset, "size": size, "modified": pd.Timestamp(stamp // 1000 if stamp > 3_000_000_000 else stamp, unit="s") if stamp else None, "data": payload(raw, offset, size)}
+                yield {"ordinal": ordinal, "name": name, "type_code": code, "type_name": TYPES[code], "is_source": source, "version": version, "is_unicode": unicode, "data_offset": offset, "size": size, "modified": (stamp // 1000 if stamp > 3_000_000_000 else stamp) * 1_000_000 if stamp else None, "data": payload(raw, offset, size)}
                 ordinal += 1
 
 
@@ -81,22 +83,17 @@ def read_entries(files: DataFrame) -> DataFrame:
 
     A library is parsed where its file is read; nothing is shuffled.
     """
-    columns = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, raw in zip(frame["path"], frame["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows = list(entries(raw or b""))
+                    rows = [{"path": path} | e for e in entries(raw or b"")]
                 except (ValueError, struct.error) as e:
-                    rows = [{"error": str(e)}]
+                    rows = [{"path": path, "error": str(e)}]
                 if rows:
-                    out = pd.DataFrame(rows).reindex(columns=columns)
-                    out["path"] = path
-                    out["modified"] = pd.to_datetime(out["modified"])
-                    yield out.astype({c: "Int32" for c in ("ordinal", "type_code")} | {c: "Int64" for c in ("data_offset", "size")} | {c: "boolean" for c in ("is_source", "is_unicode")})
+                    yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
 
-    return files.select("path", "content").mapInPandas(run, ENTRY_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, ENTRY_SCHEMA)
 
 
 def build(items: list[tuple[str, bytes]], unicode: bool = True, version: str = "0600", stamp: int = 0) -> bytes:
