@@ -177,11 +177,92 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: A pair of documents is a near copy from this share of common shingles of so many words.
+SIMILARITY = 0.8
+SIMILAR_WORDS = 5
+#: Candidates: documents that come within so many bits in one of so many sketches, each of shingles of two words.
+SKETCHES = 4
+SKETCH_WORDS = 2
+SKETCH_DISTANCE = 5
+_SKETCH_SALTS = [0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(1, SKETCHES + 1)]
+
+
+def sketch(text: str | None, words: int = SKETCH_WORDS) -> list[int]:
+    """Independent SimHashes of one text, all from one hash of each shingle."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(words, len(found))
+    counts, total = np.zeros((SKETCHES, BITS), np.int64), max(0, len(found) - k + 1) if found else 0
+    for at in range(0, total, 16384):
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + k]), SEED) for i in range(at, min(at + 16384, total))], np.uint64)
+        for r, salt in enumerate(_SKETCH_SALTS):
+            x = (h ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            counts[r] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int(np.packbits((2 * c > total).astype(np.uint8), bitorder="little").view("<i8")[0]) for c in counts]
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> set[int]:
+    """Hashes of a text's shingles; fewer words are one shingle, none too."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(max(1, len(found) - words + 1))}
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` between documents whose shingle sets overlap by ``similarity`` or more.
+
+    Candidates come from the deletion variants of several independent
+    sketches; each is then held against the full texts. A candidate is a link
+    of :func:`near_links`, or a document and the first one with its sketch, so
+    a group of any size gives a few candidates a document.
+    """
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            each = np.array([sketch(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, SKETCHES)
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(each[:, r]) for r in range(SKETCHES))], ["doc_id", *(f"s{r}" for r in range(SKETCHES))])
+
+    rows = saved(base.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"s{r} long" for r in range(SKETCHES))), "sketches")
+    found = None
+    for r in range(SKETCHES):
+        nodes = saved(rows.groupBy(F.col(f"s{r}").alias("fp")).agg(F.min("doc_id").alias("first")), "sketch_nodes")
+        stars = rows.select("doc_id", F.col(f"s{r}").alias("fp")).join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        links = near_links(nodes.select("fp"), SKETCH_DISTANCE)
+        ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        both = stars.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        found = both if found is None else found.unionByName(both)
+    pairs = saved(found.where("a <> b").distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = saved(base.join(wanted, "doc_id", "left_semi"), "candidate_texts")
+    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_set = None, set()
+        for batch in pieces(batches, "b_text"):
+            keep = []
+            for a, left, right in zip(batch.column("a").to_pylist(), batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()):
+                if a != last:
+                    last, last_set = a, shingles(left, words)
+                other = shingles(right, words)
+                keep.append(len(last_set & other) >= similarity * len(last_set | other))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    held = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_text", "b_text")
+    return held.mapInArrow(verify, f"a {id_type}, b {id_type}")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
 
+    Documents are in one group if their fingerprints link them as in
+    :func:`near_groups`, or their shingles as in :func:`similar_links`.
     Documents with a null id stay. Rows keep all their columns.
     """
     groups = near_groups(docs, id_col, text_col, words, distance)
-    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near_losers")
+    links = groups.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    roots = connected_components(links.unionByName(similar_links(docs, id_col, text_col)))
+    gone = saved(roots.where("node <> root").select(F.col("node").alias("_id")).distinct(), "near_losers")
     return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
