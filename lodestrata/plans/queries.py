@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql_text, text
-from ..operators import aggregates, graph, routines, rules, search, versions
+from ..operators import aggregates, graph, inventory, routines, rules, search, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,3 +458,81 @@ def routine_inventory(spark, sf_dir):
 def token_stream(spark, sf_dir):
     source = F.concat(F.lit("return "), F.col("event_type"), F.lit(" + "), F.col("user_id"), F.lit(" // end"))
     return routines.tokens(table(spark, sf_dir, "events").select("event_id", source.alias("text")), ["event_id"])
+
+
+# -- inventory ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS library, lang AS kind, name, count(*) AS n, CASE WHEN grouping(lang) = 1 THEN source WHEN grouping(name) = 1 THEN lang ELSE name END AS label, (2 - grouping(lang) - grouping(name))::INT AS depth FROM (SELECT source, lang, 'o' || doc_id % 3 AS name FROM documents) GROUP BY ROLLUP (source, lang, name) HAVING grouping(source) = 0")
+def library_tree(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("library"), F.col("lang").alias("kind"), F.concat(F.lit("o"), F.col("doc_id") % 3).alias("name"))
+    return inventory.tree(rows, "library", "kind", "name")
+
+
+@query("SELECT event_id, 'w_' || event_type AS ancestor, 'cb_' || user_id AS control, 'commandbutton' AS kind, ['open', 'clicked'] AS events FROM events")
+def window_inventory(spark, sf_dir):
+    source = F.concat(F.lit("global type w_x from w_"), F.col("event_type"), F.lit("\nevent open\ntype cb_"), F.col("user_id"), F.lit(" from commandbutton within w_x\nevent clicked\nevent open\n"))
+    rows = table(spark, sf_dir, "events").select("event_id", inventory.window_parts(source).alias("w"))
+    return rows.select("event_id", "w.ancestor", F.explode("w.controls").alias("c"), "w.events").select("event_id", "ancestor", F.col("c.name").alias("control"), "c.kind", "events")
+
+
+@query("SELECT event_id, 'f_' || event_type AS name, 'long' AS return_type, ['long a', 'string b'] AS parameters, ['f_' || event_type, 'len', 'g_' || user_id] AS calls FROM events")
+def function_inventory(spark, sf_dir):
+    source = F.concat(F.lit("public function long f_"), F.col("event_type"), F.lit(" (long a, string b)\nif (a > Len(b)) then return g_"), F.col("user_id"), F.lit(" (b)\nend function"))
+    return table(spark, sf_dir, "events").select("event_id", inventory.function_parts(source).alias("f")).select("event_id", "f.name", "f.return_type", "f.parameters", "f.calls")
+
+
+@query("SELECT event_id, 'select a from t' || user_id || ' where x = 1' AS sql, ['t' || user_id] AS tables FROM events")
+def decompiled_reports(spark, sf_dir):
+    source = F.concat(F.lit('sql "select a from t'), F.col("user_id"), F.lit(' where x = 1"\nstyle "grid"'))
+    return table(spark, sf_dir, "events").select("event_id", inventory.decompiled_report(source).alias("r")).select("event_id", "r.sql", "r.tables")
+
+
+@query("SELECT 'l' || n_regionkey AS library, lower(n_name) AS object FROM nation UNION ALL SELECT 'l' || n_regionkey, 'u_x' FROM nation")
+def library_references(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("l"), F.col("n_regionkey")).alias("library"), F.concat(F.lit("call of "), F.lower("n_name"), F.lit(" from u_x")).alias("text"))
+    return inventory.library_references(rows)
+
+
+@query("SELECT n.n_name, lower(r.r_name) || '.pbl' AS linked, '/lib/' || r.r_name AS path FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey UNION ALL SELECT n_name, 'gone.pbd', NULL FROM nation")
+def linked_libraries(spark, sf_dir):
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    plain = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("-"))
+    sources = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.concat(F.lit("libraries: "), plain("r_name"), F.lit(".PBL; gone.pbd; gone.pbd")).alias("text"))
+    files = regions.select(F.concat(plain("r_name"), F.lit(".pbl")).alias("name"), F.concat(F.lit("/lib/"), "r_name").alias("path"))
+    return inventory.linked_files(sources, files, "n_name").withColumn("linked", F.replace("linked", F.lit("-"), F.lit(" ")))
+
+
+@query(f"SELECT count(DISTINCT source) AS libraries, count(*) AS objects, sum(n_chars)::BIGINT AS lines, count(*) FILTER (lang = 'de') AS reports, (SELECT count(DISTINCT doc_id) FROM {_FINDINGS}) AS files_with_findings, (SELECT count(*) FROM {_FINDINGS}) AS findings FROM documents")
+def review_summary(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("library"), F.col("n_chars").alias("lines"), F.when(F.col("lang") == "de", "datawindow").otherwise("other").alias("kind"))
+    return inventory.review(files, _findings(spark, sf_dir), "doc_id")
+
+
+@query("SELECT l_returnflag AS library, left(l_linestatus || '_long_kind_name', 10) AS kind, count(*) AS objects, round(sum(l_partkey) / 1048576.0::DOUBLE, 2) AS mb FROM lineitem GROUP BY 1, 2")
+def init_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("library"), F.concat("l_linestatus", F.lit("_long_kind_name")).alias("long_kind"), F.col("l_partkey").alias("size"))
+    return aggregates.init_summary(rows, "library", "long_kind", "size")
+
+
+@query("SELECT event_type, count(*) AS entries, sum(user_id)::BIGINT AS hits, least(sum(user_id) / count(*), 1.0)::DOUBLE AS rate FROM events WHERE event_type = 'click' GROUP BY 1")
+def hit_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("hits"))
+    return aggregates.cache_stats(rows).where("entries > 0").withColumn("event_type", F.lit("click"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_pick(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents WHERE lang = 'fr' GROUP BY 1")
+def concatenated_results(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    of = lambda lang: docs.where(F.col("lang") == lang).groupBy("source").agg(F.count("*").alias("n"))
+    return of("en").unionByName(of("fr"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+def newest_snapshots(spark, sf_dir):
+    return versions.newest_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").limit(25)

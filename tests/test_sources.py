@@ -93,3 +93,13 @@ def test_reports(spark, tmp_path):
     assert "&lt;c&gt;" in reports.page("T", {"S": df}) and '"n": 1' in reports.as_json("T", {"S": df})
     reports.export_sources(df, f"file://{tmp_path}/out", ["name"])
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_config(tmp_path):
+    from lodestrata.plans import config
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / config.NAME).write_text('{"thresholds": {"nesting": 7}, "own": 1}')
+    found = config.load(str(tmp_path / "a" / "b"))
+    assert found["thresholds"] == {"routine_lines": 200, "nesting": 7, "complexity": 20} and found["own"] == 1
+    assert config.load(str(tmp_path)) == config.DEFAULTS
