@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import labelled_sample
+from .samples import joined_sample
 from .shared import fold, pieces
 
 WORD_BUCKETS = 1 << 15
@@ -119,10 +119,9 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.05, dec
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> QualityModel:
     """A model from a bounded sample of labelled documents outside the held-out fold."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    both = docs.select(id_col, text_col).join(marks, docs[id_col] == marks["_id"])
-    priors = {int(r[0]): r[1] for r in marks.groupBy("_label").count().limit(10).collect()}
-    return fit(labelled_sample(both.select(id_col, text_col, "_label"), "_label", per_label, id_col, text_col), priors=priors)
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
+    priors = {int(r[0]): r[1] for r in marks.where(fold(id_col) != 0).groupBy("_label").count().limit(10).collect()}
+    return fit(joined_sample(docs, marks, "_label", per_label, id_col, text_col), priors=priors)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
