@@ -145,6 +145,6 @@ def _even_out(rounded: DataFrame, cap: int) -> DataFrame:
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows taken 0 times are left out."""
-    rates = saved(mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
-    joined = docs.join(rates, docs[id_col].eqNullSafe(rates["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies", "_copy")
+    rates = saved(mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0"), "copies")
+    joined = docs.join(rates, docs[id_col].eqNullSafe(rates["__mix_id"]))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")

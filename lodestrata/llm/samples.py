@@ -43,6 +43,6 @@ def joined_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     they go to the documents; the texts stay where they are.
     """
     chosen = _chosen(labels.where(F.col(label).isNotNull() & (fold(id_col) != 0)), label, per_class, id_col).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
-    rows = docs.where(F.char_length(text_col) <= max_chars).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", text_col, "_label").toPandas()
+    rows = docs.select(id_col, text_col).where(F.char_length(text_col) <= max_chars).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", text_col, "_label").toPandas()
     rows = rows.sort_values(["_id", text_col], kind="stable")
     return list(zip(rows[text_col], rows["_label"]))
