@@ -32,7 +32,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no groups; further columns are not read.
     """
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).select("id", "t", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix"))
-    lengths = keyed.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
+    # As many rows as there are lengths, so Spark may broadcast them; else both sides move and skewed lengths are split.
+    lengths = saved(keyed.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "lengths")
     alive = saved(keyed.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix"), "prefixes")
     if alive.count() <= BROADCAST_KEYS:
         full = keyed.join(F.broadcast(alive), ["len", "prefix"], "left_semi").select("id", digest(F.col("t")).alias("digest"))
@@ -66,11 +67,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     losers = rows.where(~F.col("kept")).groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n"))
     winners = rows.where("kept").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
     again = losers.join(winners, losers["_id"].eqNullSafe(winners["_id"]) & (losers["_digest"] == winners["_digest"]), "left_semi")
-    keyed = docs.withColumn("_d", digest(text_of(text_col)))
+    keyed = docs.withColumn("__digest", digest(text_of(text_col)))
     gone = saved(losers.select("_id", "_digest"), "losers")
-    once = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_d"] == gone["_digest"]), "left_anti").drop("_d")
+    once = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["__digest"] == gone["_digest"]), "left_anti").drop("__digest")
     repeated = saved(again.select("_id", "_digest"), "repeats")
     if repeated.isEmpty():
         return once
-    few = keyed.join(repeated, keyed[id_col].eqNullSafe(repeated["_id"]) & (keyed["_d"] == repeated["_digest"]), "left_semi").dropDuplicates([id_col, "_d"]).drop("_d")
+    few = keyed.join(repeated, keyed[id_col].eqNullSafe(repeated["_id"]) & (keyed["__digest"] == repeated["_digest"]), "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
     return once.unionByName(few)
