@@ -4,8 +4,13 @@ Every window of ``LENGTH`` bytes has one anchor: the substring of ``GRAM``
 bytes in it whose hash is least. Equal windows have equal anchors at equal
 places, so windows need to be compared only under one anchor, and anchors that
 occur once need no comparison at all. Windows side by side with one anchor
-form a context. The distinct contexts of an anchor meet in one task, where a
-suffix array over them puts equal windows side by side.
+form a context; equal contexts are counted by hash.
+
+Where contexts of an anchor differ, their windows are dealt into bins by how
+far before the anchor they start. The windows of a bin share a core, so bins
+meet by the hash of the core, and only the bytes on either side of it are left
+to compare: a suffix array over ``left edge, core symbol, right edge`` of all
+bins with one core puts equal windows side by side.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from .suffix_array import suffix_array
 #: Bytes of a string that may occur once only.
 LENGTH = 200
 GRAM = 32
-#: Distinct contexts of one anchor that one suffix array takes; beyond it, windows are counted by hash over all tasks.
-ARRAY_CONTEXTS = 400
-#: Bytes that go into one suffix array, if one anchor's contexts leave room for more.
-ARRAY_BYTES = 1 << 16
-#: Bits of the filter of repeated anchors: eight for each, within these bounds (1 MB to 128 MB).
+#: Windows of a bin.
+BIN = 32
+#: Bins with one core that one suffix array takes; beyond it, windows are counted by hash over all tasks.
+ARRAY_BINS = 400
+#: Symbols that go into one suffix array, if one core's bins leave room for more.
+ARRAY_SYMBOLS = 1 << 16
+#: Bits of the filter of anchors: 32 for each, within these bounds (1 MB to 128 MB).
 FILTER_BITS = (1 << 23, 1 << 30)
 #: Bytes hashed at once; longer texts go in pieces that overlap by a window.
 STRETCH = 1 << 22
@@ -59,9 +66,9 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def contexts(raw: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor, first window, number of windows)`` of every context of the texts that ``ends`` cuts ``raw`` into."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def contexts(raw: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor, first window, number of windows, anchor's place)`` of every context of the texts that ``ends`` cuts ``raw`` into."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(raw) < length:
         return none
     b = np.frombuffer(raw, np.uint8)
@@ -80,7 +87,7 @@ def contexts(raw: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRA
     count = np.diff(np.append(first, len(at)))
     keep = whole[first]
     # Windows of two texts have different anchors or a gap of unfinished windows between them.
-    return keys[at[first[keep]]], first[keep], count[keep]
+    return keys[at[first[keep]]], first[keep], count[keep], at[first[keep]]
 
 
 def _stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray, list[int], list[int]]]:
@@ -115,109 +122,156 @@ def _slots(anchors: np.ndarray, bits: int) -> np.ndarray:
     return (anchors * _P >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
-def anchor_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit array that has the bit of every repeated anchor set, and its number of bits.
+def anchor_filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit array that has the bit of every anchor set, and its number of bits.
 
     Its size follows the number of anchors up to a fixed bound. What passes by
-    chance is counted exactly later on, so the bound costs shuffled bytes and
+    chance is compared exactly later on, so the bound costs shuffled bytes and
     never a row.
     """
-    n = repeated.count()
-    bits = 1 << max(FILTER_BITS[0].bit_length() - 1, min(FILTER_BITS[1].bit_length() - 1, (8 * n).bit_length()))
+    n = anchors.count()
+    bits = 1 << max(FILTER_BITS[0].bit_length() - 1, min(FILTER_BITS[1].bit_length() - 1, (32 * n).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _slots(batch.column("anchor").to_numpy().view(np.uint64), bits)
             yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
-    rows = repeated.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = anchors.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(bits >> 6, np.int64)
     table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return table, bits
 
 
-def _emit(shared, bits: int, length: int, gram: int, id_type: str):
+def _hits(table: np.ndarray, bits: int, anchors: np.ndarray) -> np.ndarray:
+    at = _slots(anchors, bits)
+    return np.flatnonzero((table[at >> 6] >> (at & 63)) & 1)
+
+
+def _mark(context: bytes) -> bytes:
+    return hashlib.blake2b(context, digest_size=16).digest()
+
+
+def _occurrences(shared, bits: int, length: int, gram: int):
+    """Where each context is: a row for every context of a text, with all its places there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in pieces(batches):
             ids, ties = batch.column("doc_id"), batch.column("tie")
             for raw, ends, rows, offsets in _stretches(batch, length):
-                anchor, first, count = contexts(raw, ends, length, gram)
-                at = _slots(anchor, bits)
-                hit = np.flatnonzero((table[at >> 6] >> (at & 63)) & 1)
+                anchor, first, count, _ = contexts(raw, ends, length, gram)
+                hit = _hits(shared.value, bits, anchor)
                 if not len(hit):
                     continue
-                anchor, first, count = anchor[hit], first[hit], count[hit]
-                of = np.searchsorted(ends, first, "right")
-                places = first - np.concatenate([[0], ends[:-1]])[of] + np.array(offsets)[of]
-                texts = [raw[a : a + n + length - 1] for a, n in zip(first.tolist(), count.tolist())]
-                marks = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-                row = np.array(rows)[of]
+                of = np.searchsorted(ends, first[hit], "right")
+                shift = np.array(offsets)[of] - np.concatenate([[0], ends[:-1]])[of]
+                found: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
+                for k, a, n, row, move in zip(anchor[hit].view(np.int64).tolist(), first[hit].tolist(), count[hit].tolist(), np.array(rows)[of].tolist(), shift.tolist()):
+                    found.setdefault((row, _mark(raw[a : a + n + length - 1])), (k, n, []))[2].append(a + move)
+                row = pa.array([r for r, _ in found], pa.int64())
                 yield pa.record_batch(
-                    [ids.take(pa.array(row)), ties.take(pa.array(row)), pa.array(places), pa.array(anchor.view(np.int64)), pa.array(marks, pa.binary()), pa.array(texts, pa.binary())],
-                    ["doc_id", "tie", "place", "anchor", "mark", "context"],
+                    [ids.take(row), ties.take(row), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([m for _, m in found], pa.binary()), pa.array([v[1] for v in found.values()], pa.int32()), pa.array([v[2] for v in found.values()], pa.list_(pa.int64()))],
+                    ["doc_id", "tie", "anchor", "mark", "windows", "places"],
                 )
 
     return run
 
 
-def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Ranges of window starts of each text that occur at another place of the texts too."""
-    # Symbols are bytes plus one, with zero after each text; windows do not reach it.
-    joined = np.zeros(sum(map(len, texts)) + len(texts), np.int16)
-    begins, at = [], 0
-    for t in texts:
-        joined[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        joined[at : at + len(t)] += 1
-        begins.append(at)
-        at += len(t) + 1
-    own = np.zeros(len(joined), bool)
-    for a, t in zip(begins, texts):
-        own[a : a + len(t) - length + 1] = True
-    order = np.array(suffix_array(joined.tolist()), np.int64)
+def _bins(shared, bits: int, length: int, gram: int, width: int):
+    """The bins of contexts, each context once a batch: window ``t`` of a bin is window ``top - t`` of the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for raw, ends, _, _ in _stretches(batch, length):
+                anchor, first, count, place = contexts(raw, ends, length, gram)
+                hit = _hits(shared.value, bits, anchor)
+                seen, out = set(), []
+                for a, n, p in zip(first[hit].tolist(), count[hit].tolist(), place[hit].tolist()):
+                    mark = _mark(raw[a : a + n + length - 1])
+                    if mark in seen:
+                        continue
+                    seen.add(mark)
+                    far, near = p - a, p - (a + n - 1)
+                    for j in range(near // width, far // width + 1):
+                        t0, t1 = max(near - j * width, 0), min(far - j * width, width - 1)
+                        core, end = p - j * width, p - j * width - width + 1 + length
+                        key = hashlib.blake2b(raw[core:end], digest_size=8, salt=j.to_bytes(2, "big")).digest()
+                        out.append((int.from_bytes(key, "big", signed=True), mark, far - j * width, t0, raw[core - t1 : core], raw[end : end + width - 1 - t0]))
+                if out:
+                    columns = list(zip(*out))
+                    yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary()), pa.array(columns[5], pa.binary())], ["core", "mark", "top", "t0", "left", "right"])
+
+    return run
+
+
+def repeated_windows(bins: list[tuple[int, int, bytes, bytes]], width: int) -> list[list[int]]:
+    """Of bins ``(core, t0, left edge, right edge)``, the windows that another bin has too.
+
+    A window of a bin is the last ``t`` bytes of its left edge, the core and
+    the first ``width - 1 - t`` bytes of its right edge: ``width`` symbols.
+    """
+    symbols, begins, cores = [], [], {}
+    for core, _, left, right in bins:
+        begins.append(len(symbols))
+        symbols += [b + 1 for b in left]
+        symbols.append(257 + cores.setdefault(core, len(cores)))
+        symbols += [b + 1 for b in right]
+        symbols.append(0)  # no window reaches the end of its bin
+    text = np.array(symbols, np.int32)
+    own = np.zeros(len(text), bool)
+    for at, (_, t0, left, _) in zip(begins, bins):
+        own[at : at + len(left) - t0 + 1] = True
+    order = np.array(suffix_array(symbols), np.int64)
     order = order[own[order]]
-    view = np.lib.stride_tricks.sliding_window_view(joined, length)
-    twice = np.zeros(len(joined) + 1, bool)
-    for i in range(0, len(order) - 1, 4096):
-        some = order[i : i + 4097]
+    view = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(width, np.int32)), width)
+    twice = np.zeros(len(text), bool)
+    for i in range(0, len(order) - 1, 8192):
+        some = order[i : i + 8193]
         rows = view[some]
         same = (rows[1:] == rows[:-1]).all(axis=1)
         twice[some[1:][same]] = True
         twice[some[:-1][same]] = True
-    out = []
-    for a, t in zip(begins, texts):
-        marks = np.diff(np.concatenate([[0], twice[a : a + len(t) - length + 1].astype(np.int8), [0]]))
-        out.append(list(zip(np.flatnonzero(marks == 1).tolist(), np.flatnonzero(marks == -1).tolist())))
-    return out
+    return [[len(left) - int(x) for x in np.flatnonzero(twice[at : at + len(left) - t0 + 1])] for at, (_, t0, left, _) in zip(begins, bins)]
+
 
+def _runs(starts: list[int]) -> list[tuple[int, int]]:
+    """Ranges that sorted numbers make up."""
+    x = np.array(sorted(starts))
+    cut = np.flatnonzero(np.diff(x) != 1) + 1
+    return [(int(r[0]), int(r[-1]) + 1) for r in np.split(x, cut)] if len(x) else []
 
-def _arrays(length: int):
+
+def _arrays(width: int):
     def solve(held: list) -> pa.RecordBatch:
-        found = [(mark, a, b) for (mark, _), ranges in zip(held, repeated_windows([c for _, c in held], length)) for a, b in ranges]
+        found = [(mark, a, b) for (mark, top, *_), ts in zip(held, repeated_windows([h[2:] for h in held], width)) for a, b in _runs([top - t for t in ts])]
         return pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["mark", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for anchor, mark, context in zip(*(batch.column(c).to_pylist() for c in ("anchor", "mark", "context"))):
-                if anchor != last and size >= ARRAY_BYTES:
+            for core, mark, top, t0, left, right in zip(*(batch.column(c).to_pylist() for c in ("core", "mark", "top", "t0", "left", "right"))):
+                if core != last and size >= ARRAY_SYMBOLS:
                     yield solve(held)
                     held, size = [], 0
-                held.append((mark, context))
-                size += len(context)
-                last = anchor
+                held.append((mark, top, core, t0, left, right))
+                size += len(left) + len(right) + 2
+                last = core
         if held:
             yield solve(held)
 
     return run
 
 
-def _all_windows(length: int):
+def _all_windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mark, context, n in zip(*(batch.column(c).to_pylist() for c in ("mark", "context", "n"))):
-                windows = [hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in range(len(context) - length + 1)]
-                yield pa.record_batch([pa.array(windows, pa.binary()), pa.array([mark] * len(windows), pa.binary()), pa.array(range(len(windows)), pa.int64()), pa.array([n] * len(windows), pa.int64())], ["window", "mark", "a", "n"])
+            windows, marks, starts = [], [], []
+            for core, mark, top, t0, left, right in zip(*(batch.column(c).to_pylist() for c in ("core", "mark", "top", "t0", "left", "right"))):
+                for t in range(t0, len(left) + 1):
+                    windows.append(hashlib.blake2b(core.to_bytes(8, "big", signed=True) + bytes([t]) + left[len(left) - t :] + right[: width - 1 - t], digest_size=16).digest())
+                    marks.append(mark)
+                    starts.append(top - t)
+            yield pa.record_batch([pa.array(windows, pa.binary()), pa.array(marks, pa.binary()), pa.array(starts, pa.int64())], ["window", "mark", "a"])
 
     return run
 
@@ -227,27 +281,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     They may overlap. See :func:`remove_repeats` for the cases.
     """
-    id_type = dict(docs.dtypes)[id_col]
+    id_type, width = dict(docs.dtypes)[id_col], min(BIN, length // 2)
+    broadcast = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.octet_length("text") >= length)
     counts = rows.select("text").mapInArrow(_count_anchors(length, gram), "anchor long, n long")
     repeated = saved(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     table, bits = anchor_filter(repeated)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
     keyed = rows.withColumn("tie", F.xxhash64("text"))
-    found = saved(keyed.mapInArrow(_emit(shared, bits, length, gram, id_type), f"doc_id {id_type}, tie long, place long, anchor long, mark binary, context binary"), "contexts")
-    distinct = saved(found.groupBy("anchor", "mark").agg(F.count("*").alias("n"), F.first("context").alias("context")), "distinct")
-    crowds = saved(distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("total")).where("total > 1"), "crowds")
-    sized = distinct.join(crowds, "anchor")
-    span = F.octet_length("context").cast("long") - (length - 1)
-    copies = sized.where("n > 1").select("mark", F.lit(0).cast("long").alias("a"), span.alias("b"))
-    few = sized.where((F.col("contexts") > 1) & (F.col("contexts") <= ARRAY_CONTEXTS)).select("anchor", "mark", "context")
-    arrays = few.repartition("anchor").sortWithinPartitions("anchor", "mark").mapInArrow(_arrays(length), "mark binary, a long, b long")
-    windows = saved(sized.where(F.col("contexts") > ARRAY_CONTEXTS).select("mark", "context", "n").mapInArrow(_all_windows(length), "window binary, mark binary, a long, n long"), "windows")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
+    found = saved(keyed.mapInArrow(_occurrences(broadcast(table), bits, length, gram), f"doc_id {id_type}, tie long, anchor long, mark binary, windows int, places array<long>"), "occurrences")
+    sized = saved(found.groupBy("anchor", "mark").agg(F.sum(F.size("places")).alias("n"), F.first("windows").cast("long").alias("windows")), "sized")
+    copies = sized.where("n > 1").select("mark", F.lit(0).cast("long").alias("a"), F.col("windows").alias("b"))
+    # Windows of contexts that occur once are still open, where their anchor has other contexts.
+    open_ = saved(sized.groupBy("anchor").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("single")).where("contexts > 1 and single > 0").select("anchor"), "open")
+    table, bits = anchor_filter(open_)
+    bins = rows.select("text").mapInArrow(_bins(broadcast(table), bits, length, gram, width), "core long, mark binary, top int, t0 int, left binary, right binary")
+    bins = saved(bins.dropDuplicates(["mark", "core", "top"]), "bins")
+    crowds = saved(bins.groupBy("core").agg(F.count("*").alias("bins")).where("bins > 1"), "crowds")
+    met = bins.join(crowds, "core")
+    few = met.where(F.col("bins") <= ARRAY_BINS).drop("bins")
+    arrays = few.repartition("core").sortWithinPartitions("core", "mark").mapInArrow(_arrays(width), "mark binary, a long, b long")
+    windows = saved(met.where(F.col("bins") > ARRAY_BINS).drop("bins").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
+    twice = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
     crowded = windows.join(twice, "window").select("mark", "a", (F.col("a") + 1).alias("b"))
     ranges = saved(copies.unionByName(arrays).unionByName(crowded).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges")), "ranges")
-    placed = found.select("doc_id", "tie", "place", "mark").join(ranges, "mark")
-    return placed.select("doc_id", "tie", F.explode("ranges").alias("r"), "place").select("doc_id", "tie", (F.col("place") + F.col("r.a")).alias("start"), (F.col("place") + F.col("r.b") + (length - 1)).alias("end"))
+    placed = found.select("doc_id", "tie", "places", "mark").join(ranges, "mark")
+    each = placed.select("doc_id", "tie", F.explode("places").alias("place"), "ranges").select("doc_id", "tie", "place", F.explode("ranges").alias("r"))
+    return each.select("doc_id", "tie", (F.col("place") + F.col("r.a")).alias("start"), (F.col("place") + F.col("r.b") + (length - 1)).alias("end"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

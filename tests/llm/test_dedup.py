@@ -114,6 +114,28 @@ def test_one_near_copy_stays(spark, docs):
     assert 0 in ids and not set(range(100, 140)) & set(ids) and left.columns == docs.columns and None in ids
 
 
+def test_similar_texts_are_found(spark):
+    r = random.Random(9)
+    rows, near = [], []
+    for i in range(150):
+        words = prose(1000 + i, 200).split()
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:  # two words changed: ten of two hundred shingles differ
+            for _ in range(2):
+                words[r.randrange(200)] = "changed"
+            rows.append((1000 + i, " ".join(words)))
+            near.append((i, 1000 + i))
+        if i % 3 == 1:  # a third changed: far below the limit
+            for k in range(0, 200, 3):
+                words[k] = "other"
+            rows.append((2000 + i, " ".join(words)))
+    docs = spark.createDataFrame([(*x, "en", "s") for x in rows], SCHEMA)
+    found = {(x["a"], x["b"]) for x in near_dedup.similar_links(docs).collect()}
+    assert found <= set(near) and len(found) >= 0.9 * len(near)
+    left = {x["doc_id"] for x in near_dedup.drop_near_copies(docs).collect()}
+    assert len(left & {b for _, b in near}) <= 0.1 * len(near) and {i for i, _ in rows if i < 1000 or i >= 2000} <= left
+
+
 def test_exact_membership(spark, docs):
     rows = corpus()
     got = {}
@@ -151,7 +173,7 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("length, gram, crowd", [(40, 16, 400), (40, 16, 2), (200, 32, 400)])
 def test_repeats_against_every_window(spark, docs, length, gram, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "ARRAY_CONTEXTS", crowd)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BINS", crowd)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 2000)
     rows = [(i, (t or "").encode()) for i, t in corpus()]
     times = {}
@@ -175,3 +197,12 @@ def test_repeats_against_every_window(spark, docs, length, gram, crowd, monkeypa
 def test_clashing_columns(spark, docs):
     odd = docs.withColumn("fp", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("_id", F.lit(2)).withColumn("tie", F.lit(3))
     assert near_dedup.near_groups(odd).count() == exact_dedup.membership(odd).count() == suffix_dedup.remove_repeats(odd).count() == len(corpus())
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    from lodestrata.llm import mixing
+
+    odd = docs.withColumn("_id", F.lit(2)).withColumn("_copies", F.lit("x")).withColumn("_d", F.lit(3)).withColumn("node", F.lit(4)).withColumn("size", F.lit(5))
+    for kept in (exact_dedup.drop_copies(odd), near_dedup.drop_near_copies(odd), mixing.apply_mix(odd)):
+        row = kept.first()
+        assert kept.columns == odd.columns and (row["_id"], row["_copies"], row["_d"], row["node"], row["size"]) == (2, "x", 3, 4, 5)
