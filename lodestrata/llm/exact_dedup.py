@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, text_of
+from .shared import saved, sent_if_small, text_of
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 64
@@ -59,19 +59,24 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id.
 
-    Rows go out as they came in, with all their columns. Only ids and digests
-    are grouped; the text joins once, and stays where it is when the list of
-    dropped rows is small enough for Spark to broadcast it.
+    Rows go out as they came in, with all their columns. Only ids and hashes
+    are grouped. The list of dropped rows goes to every task if it is short;
+    beyond that the texts join it once.
     """
-    rows = saved(membership(docs, id_col, text_col), "members")
-    losers = rows.where(~F.col("kept")).groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n"))
-    winners = rows.where("kept").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
-    again = losers.join(winners, losers["_id"].eqNullSafe(winners["_id"]) & (losers["_digest"] == winners["_digest"]), "left_semi")
-    keyed = docs.withColumn("__digest", digest(text_of(text_col)))
-    gone = saved(losers.select("_id", "_digest"), "losers")
-    once = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["__digest"] == gone["_digest"]), "left_anti").drop("__digest")
-    repeated = saved(again.select("_id", "_digest"), "repeats")
-    if repeated.isEmpty():
-        return once
-    few = keyed.join(repeated, keyed[id_col].eqNullSafe(repeated["_id"]) & (keyed["__digest"] == repeated["_digest"]), "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
-    return once.unionByName(few)
+    keyed = docs.withColumn("__tie", F.xxhash64(text_of(text_col)))
+    ids = docs.select(F.col(id_col).alias("id"), digest(text_of(text_col)).alias("digest"), F.xxhash64(text_of(text_col)).alias("tie"))
+    groups = saved(copy_groups(docs, id_col, text_col), "groups")
+    rows = ids.join(groups, "digest").groupBy("id", "digest", "tie", "keep_id").agg(F.count("*").alias("n"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    gone = saved(rows.where(~kept).select(F.col("id").alias("__id"), F.col("tie").alias("__t")).distinct(), "losers")
+    again = saved(rows.where(kept & (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("tie").alias("__t")).distinct(), "repeats")
+    same = lambda few: keyed[id_col].eqNullSafe(few["__id"]) & (keyed["__tie"] == few["__t"])
+    gone = sent_if_small(gone)
+    left = keyed.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.drop("__tie")
+    # Rows that repeat both id and text: one of them stays.
+    again = sent_if_small(again)
+    once = left.join(again, left[id_col].eqNullSafe(again["__id"]) & (left["__tie"] == again["__t"]), "left_anti")
+    few = left.join(again, left[id_col].eqNullSafe(again["__id"]) & (left["__tie"] == again["__t"]), "left_semi").dropDuplicates([id_col, "__tie"])
+    return once.unionByName(few).drop("__tie")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key, saved, text_of
+from .shared import id_key, saved, sent_if_small, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -93,6 +93,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows that repeat an id get equal copies. A corpus without words takes
     nothing; an empty table gives no rows.
     """
+    sized, plan, changes = _solved(docs, id_col, text_col, source_col, weights, share, cap)
+    mixed = _with_copies(sized, "doc_id", "source", plan, changes, cap)
+    return mixed.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken"))
+
+
+def _solved(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of the documents, the rate of each source, and the single copies that even out what rounding leaves."""
     spark = docs.sparkSession
     sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
     table = saved(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "size_table")
@@ -102,13 +109,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     totals = sorted((r for r in totals), key=lambda r: (r[0] is None, r[0] or ""))
     targets = water_fill([r[1] for r in totals], weights, share, cap)
     lam = balance(table, {r[0]: t for r, t in zip(totals, targets)})
-    plan = spark.createDataFrame([(r[0], r[1], t, min(float(cap), round(math.exp(lam[r[0]]), 9)) if lam[r[0]] > -math.inf else 0.0) for r, t in zip(totals, targets)], "s string, source_size long, target double, rate double")
-    chance = F.pmod(id_key("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rated = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["s"])).select("doc_id", "source", "size", "source_size", "target", "rate")
-    rounded = rated.withColumn("copies", F.least(F.lit(cap).cast("long"), F.floor("rate").cast("long") + (chance < F.col("rate") - F.floor("rate")).cast("long")))
-    changes = saved(_even_out(rounded, cap), "changes")
-    whole = rounded.join(changes, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0).cast("long")))
-    return whole.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rates = [(r[0], r[1], t, min(float(cap), round(math.exp(lam[r[0]]), 9)) if lam[r[0]] > -math.inf else 0.0) for r, t in zip(totals, targets)]
+    plan = F.broadcast(spark.createDataFrame(rates, "__mix_s string, __mix_source_size long, __mix_target double, __mix_rate double"))
+    none = spark.createDataFrame([], f"doc_id {dict(sized.dtypes)['doc_id']}, change long")
+    rounded = _with_copies(sized, "doc_id", "source", plan, none, cap).select("doc_id", "source", "size", F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"))
+    return sized, plan, sent_if_small(saved(_even_out(rounded, cap), "changes"))
+
+
+def _with_copies(rows: DataFrame, id_col: str, source_col: str, plan: DataFrame, changes: DataFrame, cap: int) -> DataFrame:
+    """``rows`` with ``__mix_source_size``, ``__mix_target`` and ``__mix_copies``; no row moves unless the changes are many."""
+    chance = F.pmod(id_key(id_col), F.lit(1 << 40)) / float(1 << 40)
+    rate = F.col("__mix_rate")
+    rounded = F.least(F.lit(cap).cast("long"), F.floor(rate).cast("long") + (chance < rate - F.floor(rate)).cast("long"))
+    few = changes.select(F.col("doc_id").alias("__mix_id"), F.col("change").alias("__mix_change"))
+    rated = rows.join(plan, rows[source_col].eqNullSafe(plan["__mix_s"]))
+    whole = rated.join(few, rated[id_col] == few["__mix_id"], "left")
+    return whole.withColumn("__mix_copies", rounded + F.coalesce("__mix_change", F.lit(0).cast("long"))).drop("__mix_s", "__mix_rate", "__mix_id", "__mix_change")
 
 
 def _even_out(rounded: DataFrame, cap: int) -> DataFrame:
@@ -143,8 +159,8 @@ def _even_out(rounded: DataFrame, cap: int) -> DataFrame:
     return chosen.select(F.explode("picks").alias("p")).select(F.col("p.doc_id").alias("doc_id"), F.col("p.change").cast("long").alias("change"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; rows taken 0 times are left out."""
-    rates = saved(mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0"), "copies")
-    joined = docs.join(rates, docs[id_col].eqNullSafe(rates["__mix_id"]))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).drop("__mix_id", "__mix_copies", "__mix_copy")
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it; rows taken 0 times are left out. Texts stay where they are."""
+    _, plan, changes = _solved(docs, id_col, text_col, source_col, weights, share, cap)
+    mixed = _with_copies(docs, id_col, source_col, plan, changes, cap).where("__mix_copies > 0")
+    return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[mixed[c] for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import pieces, saved
+from .shared import pieces, saved, sent_if_small
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -235,9 +235,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = stars.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         found = both if found is None else found.unionByName(both)
     pairs = saved(found.where("a <> b").distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(base.join(wanted, "doc_id", "left_semi"), "candidate_texts")
-    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+    wanted = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    texts = saved(base.join(sent_if_small(wanted), "doc_id", "left_semi"), "candidate_texts")
+    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")).hint("merge")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
@@ -264,5 +264,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = near_groups(docs, id_col, text_col, words, distance)
     links = groups.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     roots = connected_components(links.unionByName(similar_links(docs, id_col, text_col)))
-    gone = saved(roots.where("node <> root").select(F.col("node").alias("_id")).distinct(), "near_losers")
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    gone = sent_if_small(saved(roots.where("node <> root").select(F.col("node").alias("__id")).distinct(), "near_losers"))
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

@@ -43,6 +43,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a saved table of ids, or of as little, that may go to every task (about 60 MB there).
+SENT_ROWS = 500_000
+
+
+def sent_if_small(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A saved table marked for broadcast if it has at most ``rows`` rows, else for a sort-merge join."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`saved` wrote and nothing needs any more."""
     spark = df.sparkSession
