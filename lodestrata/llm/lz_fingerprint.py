@@ -23,7 +23,9 @@ BINS = 64
 HASH_BITS = 16
 #: Ranges of ids that neighbours are looked up in; their bounds (8 bytes each) go to every task.
 MOST_RANGES = 20_000
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
+#: Ranges that a task takes on average; neighbouring ones, so that tasks are about equal.
+TASK_RANGES = 4
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _STEP = 0x9E3779B97F4A7C15
@@ -164,12 +166,12 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     order = sorted(r[0] for r in tops.select("range").collect())  # at most MOST_RANGES numbers
     if not order:
         return docs.sparkSession.createDataFrame([], f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    onward = F.create_map(*[F.lit(x) for a, b in zip(order, order[1:] + order[:1]) for x in (a, b)])
-    carried = F.broadcast(tops.select(F.col("top.id").alias("_id"), F.col("top.tie").alias("_tie"), onward[F.col("range")].alias("to")))
+    onward = docs.sparkSession.createDataFrame(list(zip(order, order[1:] + order[:1])), "range int, to int")
+    carried = F.broadcast(tops.join(F.broadcast(onward), "range").select(F.col("top.id").alias("_id"), F.col("top.tie").alias("_tie"), "to"))
     moves = dealt.join(carried, dealt["id"].eqNullSafe(carried["_id"]) & (dealt["tie"] == carried["_tie"]), "left")
     # Of rows with one id and one text any may be carried; a range uses the first of them.
     both = moves.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(F.struct("range", F.lit(True).alias("own")))).otherwise(F.array(F.struct("range", F.lit(True).alias("own")), F.struct(F.col("to").alias("range"), F.lit(False).alias("own"))))))
-    streams = both.select("at.range", "at.own", "id", "tie", "doc_id", "text").repartition(max(len(order), 1), "range").sortWithinPartitions("range", "own", F.asc_nulls_first("id"), "tie")
+    streams = both.select("at.range", "at.own", "id", "tie", "doc_id", "text").repartitionByRange(len(order) // TASK_RANGES + 1, "range").sortWithinPartitions("range", "own", F.asc_nulls_first("id"), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before, before_sig = None, "", _EMPTY
