@@ -136,6 +136,34 @@ def test_similar_texts_are_found(spark):
     assert len(left & {b for _, b in near}) <= 0.1 * len(near) and {i for i, _ in rows if i < 1000 or i >= 2000} <= left
 
 
+def bucketed(spark, monkeypatch, texts, cell):
+    """Links of texts that all come into one bucket."""
+    monkeypatch.setattr(near_dedup, "bands", lambda hashes: [1])
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    return {(x["a"], x["b"]) for x in near_dedup.similar_links(docs).collect()}
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("cell", [256, 4])
+def test_every_pair_of_a_bucket(spark, monkeypatch, cell):
+    texts = []
+    for k in range(8):  # the first of three is like neither other one, these two are like each other
+        shared, a, b = prose(100 + k, 170), prose(200 + k, 35), prose(300 + k, 35)
+        texts += [f"{shared} {a}", f"{shared} {b}", f"{shared} {b} and so on"]
+    chain = prose(400, 200).split()  # each like the next alone
+    texts += [" ".join(chain[12 * i : 12 * i + 150]) for i in range(5)]
+    links = bucketed(spark, monkeypatch, texts, cell)
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
+    expected = groups(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    assert jaccard(texts[0], texts[1]) < 0.8 and expected[1] == expected[2] != expected[0] and expected[-1] == expected[-5]
+    assert groups(list(range(len(texts))), lambda i, j: (j, i) in links) == expected
+
+
 def test_exact_membership(spark, docs):
     rows = corpus()
     got = {}
