@@ -164,6 +164,29 @@ def test_every_pair_of_a_bucket(spark, monkeypatch, cell):
     assert groups(list(range(len(texts))), lambda i, j: (j, i) in links) == expected
 
 
+@pytest.mark.parametrize("kind", ["appended", "cut", "scattered"])
+def test_recall_at_the_limit(spark, kind):
+    r, rows, near = random.Random(11), [], []
+    for i in range(300):
+        words = prose(3000 + i, 250).split()
+        rows.append((i, " ".join(words)))
+        n = r.randrange(38, 60)
+        if kind == "appended":
+            words += prose(9000 + i, n).split()
+        elif kind == "cut":
+            words = words[: 250 - min(n, 49)]
+        else:
+            for at in r.sample(range(250), r.randrange(4, 6)):
+                words[at] = "changed"
+        rows.append((1000 + i, " ".join(words)))
+        if 0.8 <= jaccard(rows[-1][1], rows[-2][1]) < 0.9:
+            near.append((i, 1000 + i))
+    docs = spark.createDataFrame([(*x, "en", "s") for x in rows], SCHEMA)
+    found = {(x["a"], x["b"]) for x in near_dedup.similar_links(docs).collect()}
+    print(kind, len(found & set(near)), "of", len(near))
+    assert len(near) > 200 and len(found & set(near)) >= 0.98 * len(near)
+
+
 def test_exact_membership(spark, docs):
     rows = corpus()
     got = {}
