@@ -77,7 +77,7 @@ def group_by_clause(sql: Column) -> Column:
 
 
 def has_union(sql: Column) -> Column:
-    return F.lower(sql).rlike(r"\bunion\b")
+    return F.lower(sql).rlike(r"(^|[^a-z0-9_])union([^a-z0-9_]|$)")
 
 
 def union_parts(sql: Column) -> Column:

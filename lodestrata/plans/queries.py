@@ -141,6 +141,11 @@ def union_detect(spark, sf_dir):
     return docs.select("doc_id", sql_text.has_union(F.col("text")).alias("has_union"))
 
 
+@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])union([^a-z0-9_]|$)') AS has_union FROM documents")
+def union_in_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sql_text.has_union(F.col("text")).alias("has_union"))
+
+
 @query("SELECT event_id, 'compute_' || event_type AS name, 'price * ' || user_id AS expression, 'arg_' || user_id AS arg, 'number' AS arg_type, 'grid' AS style FROM events")
 def report_objects(spark, sf_dir):
     source = F.concat(F.lit('datawindow(processing=8) arguments=(("arg_'), F.col("user_id"), F.lit('", number))\ncompute(band=detail expression="price * '), F.col("user_id"), F.lit('" name="compute_'), F.col("event_type"), F.lit('")'))

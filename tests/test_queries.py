@@ -42,6 +42,14 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == sorted((tuple(plain(r[at[c]]) for c in columns) for r in result.fetchall()), key=repr)
 
 
+def test_union_in_every_document(spark, tmp_path):
+    texts = ["a Union b", "é\u00a0union\u00e9", "reunion", "union_1", None, ""]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["de", None, "en", "fr", "en", None]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["has_union"] for r in queries.union_in_documents(spark, f"file://{tmp_path}").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: None, 5: False}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
