@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,42 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+# Seed and multiplier of the index's checksum: fixed values.
+CHECKSUM_SEED, CHECKSUM_FACTOR = 2166136261, 16777619
+
+
+def checksum(text: Column) -> Column:
+    """The index's 64-bit checksum of a text, in hex: the sum so far times the factor, then exclusive-or with the next byte.
+
+    Multiplication has to wrap around, which SQL numbers do not, so bytes are
+    folded in Arrow batches. For new indexes ``xxhash64`` costs far less.
+    """
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            h = CHECKSUM_SEED
+            for b in t.encode():
+                h = h * CHECKSUM_FACTOR & 0xFFFFFFFFFFFFFFFF ^ b
+            return f"{h:016x}"
+
+        return texts.map(one)
+
+    return fold(text)
+
+
+def pick(json_text: Column, key: str) -> Column:
+    """The value of a key of a JSON object as text."""
+    return F.get_json_object(json_text, f"$.{key}")
+
+
+def emit(**values: Column) -> Column:
+    """A JSON object of columns; null values are left out."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in values.items()]))
+
+
 #: Escapes of strings in report objects, in the order they are undone: fixed values of the format.
 STRING_ESCAPES = (("~n", "\n"), ("~r", "\r"), ("~t", "\t"), ('~"', '"'), ("~~", "~"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def library_totals(entries: DataFrame, library: str = "library", is_source: str = "is_source") -> DataFrame:
     """Entries, source entries and compiled ones of each library."""
@@ -47,10 +49,26 @@ def size_bucket(lines: Column) -> Column:
     return F.when(lines < 50, "<50").when(lines < 200, "<200").when(lines < 500, "<500").when(lines < 1000, "<1000").otherwise("1000+")
 
 
+RATINGS = ["A", "B", "C", "D", "F"]
+
+
 def usage(df: DataFrame, item: str, user: str, most: int | None = None) -> DataFrame:
-    """How many users an item has and which, most used first."""
-    counted = df.groupBy(item).agg(F.count_distinct(user).alias("n"), F.array_sort(F.collect_set(user)).alias("users"))
-    return counted.orderBy(F.desc("n"), item).limit(most) if most else counted
+    """How many users an item has and which, most used first; a list is as long as an item has distinct users.
+
+    Pairs are made distinct before they are counted, and with ``most`` only
+    the users of the items that stay are listed. :func:`usage_counts` lists none.
+    """
+    pairs = df.select(item, user).where(F.col(user).isNotNull()).distinct()
+    if most:
+        chosen = usage_counts(df, item, user).orderBy(F.desc("n"), item).limit(most)
+        listed = pairs.join(F.broadcast(chosen.select(item)), item).groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(user)).alias("users"))
+        return listed.orderBy(F.desc("n"), item)
+    return pairs.groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(user)).alias("users"))
+
+
+def usage_counts(df: DataFrame, item: str, user: str) -> DataFrame:
+    """How many distinct users an item has."""
+    return df.select(item, user).where(F.col(user).isNotNull()).distinct().groupBy(item).agg(F.count("*").alias("n"))
 
 
 def top(df: DataFrame, by: str, tie: str, n: int = 10, descending: bool = True) -> DataFrame:
@@ -58,13 +76,39 @@ def top(df: DataFrame, by: str, tie: str, n: int = 10, descending: bool = True)
     return df.orderBy(F.desc(by) if descending else F.asc(by), F.asc(tie)).limit(n)
 
 
-def dashboard(files: DataFrame, routines: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files, lines, bytes, routines and findings in one row; each side is aggregated before they meet."""
+def dashboard(files: DataFrame, routines: DataFrame, variables: DataFrame, findings: DataFrame) -> DataFrame:
+    """Files, lines, bytes, routines, variables and findings in one row; each side is aggregated before they meet."""
     a = files.agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
-    b = routines.agg(F.count("*").alias("routines"))
-    c = findings.agg(F.count("*").alias("findings"))
     one = F.lit(1).alias("k")
-    return a.select("*", one).join(b.select("*", one), "k").join(c.select("*", one), "k").drop("k")
+    for name, side in (("routines", routines), ("variables", variables), ("findings", findings)):
+        a = a.select("*", one).join(side.agg(F.count("*").alias(name)).select("*", one), "k").drop("k")
+    return a
+
+
+def complex_routines(routines: DataFrame, keys: list[str], beyond: int = 10, most: int = 30) -> DataFrame:
+    """Routines with a complexity above ``beyond``, the most complex first: ``keys, name, cc, rating, code_lines``."""
+    cc = text.complexity(F.col("script"))
+    rows = routines.select(*keys, "name", cc.alias("cc"), text.rating(cc).alias("rating"), text.code_lines(F.col("script")).alias("code_lines"))
+    return rows.where(F.col("cc") > beyond).orderBy(F.desc("cc"), *keys, "name").limit(most)
+
+
+def above(df: DataFrame, keys: list[str], least: int, *more: Column) -> DataFrame:
+    """Groups of more than ``least`` rows, with ``n`` and further aggregates."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *more).where(F.col("n") > least)
+
+
+def concatenated(results: list[DataFrame]) -> DataFrame:
+    """The rows of several results of one shape."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def workflow(entry_rows: DataFrame, findings: DataFrame, fixes: DataFrame) -> DataFrame:
+    """What export, analysis, fixing and packing of a project come to, a row each: ``step, name, n``."""
+    counts = [("export", entry_rows.where("is_source").agg(F.count("*").alias("n"))), ("analyse", findings.agg(F.count("*").alias("n"))), ("fix", fixes.where("severity = 'safe'").agg(F.count("*").alias("n"))), ("pack", entry_rows.where("is_source").agg(F.count_distinct("path").alias("n")))]
+    return concatenated([df.select(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), "n") for i, (name, df) in enumerate(counts)])
 
 
 def hotspots(per_object: DataFrame, library: str = "library") -> DataFrame:
@@ -95,9 +139,9 @@ def difficulty(days: Column) -> Column:
     return F.when(days < 30, "low").when(days < 90, "medium").otherwise("high")
 
 
-def outcomes(df: DataFrame, error: str = "error") -> DataFrame:
-    """Succeeded, failed and all attempts."""
-    return df.agg(F.count_if(F.col(error).isNull()).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"), F.count("*").alias("attempts"))
+def outcomes(df: DataFrame, error: str = "error", keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
+    """Succeeded, failed and all attempts, of each key if any is named."""
+    return df.groupBy(*keys).agg(F.count_if(F.col(error).isNull()).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"), F.count("*").alias("attempts"))
 
 
 def init_summary(entries: DataFrame, library: str, kind: str, size: str) -> DataFrame:
@@ -105,6 +149,6 @@ def init_summary(entries: DataFrame, library: str, kind: str, size: str) -> Data
     return entries.groupBy(library, F.left(kind, F.lit(10)).alias("kind")).agg(F.count("*").alias("objects"), F.round(F.sum(size) / 1048576, 2).alias("mb"))
 
 
-def cache_stats(entries: DataFrame, hits: str = "hits") -> DataFrame:
-    """Entries, hits and hits an entry, at most 1."""
-    return entries.agg(F.count("*").alias("entries"), F.sum(hits).alias("hits")).withColumn("rate", F.least(F.coalesce(F.try_divide("hits", "entries"), F.lit(0.0)), F.lit(1.0)))
+def cache_stats(entries: DataFrame, hits: str = "hits", keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
+    """Entries, hits and hits an entry, at most 1, of each key if any is named."""
+    return entries.groupBy(*keys).agg(F.count("*").alias("entries"), F.sum(hits).alias("hits")).withColumn("rate", F.least(F.coalesce(F.try_divide("hits", "entries"), F.lit(0.0)), F.lit(1.0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql_text import every, first, from_list
+from ..tables import stored
 
 
 def tree(entries: DataFrame, library: str = "library", kind: str = "type_name", name: str = "name") -> DataFrame:
@@ -52,6 +53,29 @@ def linked_files(sources: DataFrame, files: DataFrame, key: str, text_col: str =
     return names.join(files.select(F.lower(name).alias("linked"), "path"), "linked", "left").select(key, "linked", "path")
 
 
+def project_libraries(start: DataFrame, links: DataFrame, files: DataFrame, key: str = "project") -> DataFrame:
+    """Every library that a project's objects name, and those that objects of these name: ``key, library, version, error``.
+
+    ``start(key, library)`` are the libraries a project begins with,
+    ``links(library, linked)`` what objects of a library name, and
+    ``files(library, version)`` the libraries at hand. Rounds end when no
+    library is new; their tables are checkpointed. A library that is not at
+    hand and a project of several versions carry an error.
+    """
+    low = lambda c: F.lower(F.col(c))
+    known = stored(start.select(key, low("library").alias("library")).distinct())
+    steps = links.select(low("library").alias("library"), low("linked").alias("linked")).distinct()
+    front = known
+    while not front.isEmpty():
+        reached = front.join(steps, "library").select(key, F.col("linked").alias("library")).distinct()
+        front = stored(reached.join(known, [key, "library"], "left_anti"))
+        known = known.unionByName(front)
+    held = stored(known).join(files.select(low("library").alias("library"), "version", F.lit(True).alias("_held")), "library", "left")
+    versions = held.where("version is not null").groupBy(key).agg(F.count_distinct("version").alias("_versions"))
+    error = F.when(F.col("_held").isNull(), "not found").when(F.col("_versions") > 1, "several versions")
+    return held.join(versions, key, "left").select(key, "library", "version", error.alias("error"))
+
+
 def review(files: DataFrame, findings: DataFrame, file_col: str = "path") -> DataFrame:
     """Objects, lines, report objects and files with findings, in one row; each side is aggregated before they meet."""
     k = F.lit(1).alias("k")

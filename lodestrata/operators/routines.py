@@ -9,18 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import code_lines, complexity, max_nesting, rating
+
 # Declarations of the language: fixed forms.
 _ROUTINE = re.compile(r"(?:(?:forward\s+)?(public|protected|private|global)\s+)(subroutine|function)\s+(?:(\w+(?:\[\])?)\s+)?(\w+)\s*(?:\(([^)]*)\))?", re.I)
 _EVENT = re.compile(r"(?:event|on)\s+([\w.]+)\s*(?:\(([^)]*)\))?", re.I)
 _END = re.compile(r"end\s+(?:subroutine|function|event|on)\b", re.I)
+# The editors' dialect: access may be left out, events are those of objects.
+_EDITOR_ROUTINE = re.compile(r"(?:forward\s+)?(?:(public|protected|private|global)\s+)?(subroutine|function)\s+(?:(\w+(?:\[\])?)\s+)?(\w+)\s*(?:\(([^)]*)\))?", re.I)
+_EDITOR_EVENT = re.compile(r"on\s+(\w+\.\w+)\s*(?:\(([^)]*)\))?", re.I)
 _SKIP, _SKIP_END = re.compile(r"(?:forward|type)\s+prototypes\b", re.I), re.compile(r"end\s+prototypes\b", re.I)
 
 ROUTINE_SCHEMA = "name string, access string, return_type string, is_event boolean, arguments array<string>, script string, line_start int, line_end int"
 VARIABLE = r"(?im)^[ \t]*(public|protected|private|instance|shared|global)[ \t]+([\w\[\]]+)[ \t]+([\w\[\]]+)(?:[ \t]*=[ \t]*([^;\n]+))?[ \t]*;?[ \t]*$"
 
 
-def routines_of(text: str) -> Iterator[dict]:
-    """Routines in order, each up to its end line; prototypes are no routines."""
+def routines_of(text: str, editor: bool = False) -> Iterator[dict]:
+    """Routines in order, each up to its end line; prototypes are no routines. ``editor`` reads the editors' dialect."""
+    routine, event = (_EDITOR_ROUTINE, _EDITOR_EVENT) if editor else (_ROUTINE, _EVENT)
     lines, i, skipping = text.splitlines(), 0, False
     while i < len(lines):
         s = lines[i].strip()
@@ -29,8 +35,8 @@ def routines_of(text: str) -> Iterator[dict]:
             skipping = True
         if _SKIP_END.match(s):
             skipping = False
-        m = None if skipping else _ROUTINE.match(s)
-        e = None if skipping or m else _EVENT.match(s)
+        m = None if skipping else routine.match(s)
+        e = None if skipping or m else event.match(s)
         if not (m or e):
             continue
         start, body = i, []
@@ -39,17 +45,20 @@ def routines_of(text: str) -> Iterator[dict]:
             i += 1
         i += 1
         arguments = (m[5] if m else e[2]) or ""
-        yield {"name": m[4] if m else e[1], "access": m[1].lower() if m else "public", "return_type": m[3] if m and m[2].lower() == "function" else None, "is_event": not m, "arguments": [a.strip() for a in arguments.split(",") if a.strip()], "script": "\n".join(body), "line_start": start, "line_end": min(i, len(lines))}
+        yield {"name": m[4] if m else e[1], "access": (m[1] or "public").lower() if m else "public", "return_type": m[3] if m and m[2].lower() == "function" else None, "is_event": not m, "arguments": [a.strip() for a in arguments.split(",") if a.strip()], "script": "\n".join(body), "line_start": start, "line_end": min(i, len(lines))}
+
 
+def routines(sources: DataFrame, keys: list[str], text_col: str = "text", editor: bool = False) -> DataFrame:
+    """A row per routine: ``keys`` and :data:`ROUTINE_SCHEMA`. The parser keeps state from line to line, so it runs in Arrow batches.
 
-def routines(sources: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """A row per routine: ``keys`` and :data:`ROUTINE_SCHEMA`. The parser keeps state from line to line, so it runs in Arrow batches."""
+    A null text has no routines. ``editor`` reads the editors' dialect.
+    """
     kinds = dict(sources.dtypes)
     names = [c.split()[0] for c in ROUTINE_SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [dict(zip(keys, row[:-1])) | r for row in frame.itertuples(index=False, name=None) for r in routines_of(row[-1] or "")]
+            found = [dict(zip(keys, row[:-1])) | r for row in frame.itertuples(index=False, name=None) for r in routines_of(row[-1] or "", editor)]
             if found:
                 yield pd.DataFrame(found)[[*keys, *names]]
 
@@ -57,6 +66,12 @@ def routines(sources: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return sources.select(*keys, text_col).mapInPandas(run, schema)
 
 
+def measured(routine_rows: DataFrame) -> DataFrame:
+    """Routines with their complexity, rating, deepest nesting and code lines."""
+    cc = complexity(F.col("script"))
+    return routine_rows.withColumns({"cc": cc, "rating": rating(cc), "nesting": max_nesting(F.col("script")), "code_lines": code_lines(F.col("script"))})
+
+
 def variables(sources: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Declarations in front of the first routine: ``access, data_type, name, initial_value``."""
     plain = F.regexp_replace(text_col, r"(?is)\b(?:forward|type)\s+prototypes\b.*?\bend\s+prototypes\b", "")
@@ -66,17 +81,45 @@ def variables(sources: DataFrame, keys: list[str], text_col: str = "text") -> Da
     return found.select(*keys, F.lower(part(1)).alias("access"), part(2).alias("data_type"), part(3).alias("name"), F.trim(part(4)).alias("initial_value")).where("lower(data_type) not in ('subroutine', 'function', 'type')")
 
 
-# Token classes in the order they are tried: fixed forms of the language.
-TOKENS = (("comment", r"//[^\n]*|/\*(?s:.*?)\*/"), ("string", r'"(?:~.|[^"~])*"|' + r"'(?:~.|[^'~])*'"), ("number", r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"), ("name", r"[A-Za-z_][\w$#%-]*"), ("operator", r"<>|<=|>=|\+=|-=|\*=|/=|\+\+|--|::|[-+*/^=<>&.,;:(){}\[\]!@]"))
-KEYWORDS = ("and", "call", "case", "catch", "choose", "constant", "continue", "create", "destroy", "do", "else", "elseif", "end", "enumerated", "event", "exit", "external", "false", "finally", "for", "forward", "from", "function", "global", "goto", "halt", "if", "indirect", "is", "library", "loop", "next", "not", "of", "on", "or", "parent", "post", "private", "protected", "prototypes", "public", "ref", "return", "shared", "static", "step", "subroutine", "super", "system", "then", "this", "throw", "throws", "to", "trigger", "true", "try", "type", "until", "using", "variables", "while", "with", "within")
+# Token classes in the order they are tried: fixed forms of the language. White space parts tokens and is none.
+TOKENS = (
+    ("export_header", r"\A\$PBExportHeader\$[^\n]*"),
+    ("line_comment", r"//[^\n]*"),
+    ("block_comment", r"/\*(?s:.*?)(?:\*/|\z)"),
+    ("string", r'"(?:~(?s:.)|[^"~])*(?:"|\z)' + r"|'(?:~(?s:.)|[^'~])*(?:'|\z)"),
+    ("number", r"-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"),
+    ("phrase", r"(?i:\b(?:end[ \t]+(?:if|choose|try|type|event|on|prototypes?|variables|loop|subroutine|function|forward)|choose[ \t]+case|do[ \t]+(?:while|until))\b)"),
+    ("word", r"[\p{L}_][\p{L}\p{Nd}_!#]*"),
+    ("left_parenthesis", r"\("),
+    ("right_parenthesis", r"\)"),
+    ("left_bracket", r"\["),
+    ("right_bracket", r"\]"),
+    ("dot", r"\."),
+    ("semicolon", r";"),
+    ("colon", r":"),
+    ("escape", r"~(?s:.)"),
+    ("operator", r"<>|<=|>=|\+=|-=|\*=|/=|\^=|[-+*/^=<>&]"),
+    ("bad_character", r"\S"),
+)
+# Words of each class, the first class that has a word counts: fixed values of the language.
+WORDS = (
+    ("keyword", "if then else elseif choose case for to step next do while until loop continue exit return goto try catch finally throw create destroy call super parent this post dynamic not and or is null true false using within from global type forward event on prototype prototypes variables subroutine function constant autoinstantiate"),
+    ("type", "integer int long longlong ulong uint dec decimal real double string blob char nchar date time datetime boolean any unsigned window menu datawindow datastore commandbutton singlelineedit multilineedit dropdownlistbox picture picturebutton graph progressbar tab userobject nonvisualobject transaction structure enumeration treeview listview datawindowchild richtextedit statictext groupbox checkbox radiobutton editmask powerobject oleobject olestream mailsession mailmessage inet hyperlink pipeline connection internetresult corbaobject mdiframe errorobject"),
+    ("modifier", "public private protected shared instance global readonly constant"),
+    ("constant", "hourglass! arrow! cross! beam! size! sizens! sizewe! sizenwse! sizenesw! hyperlink! append! choose! create! delete! filter! insert! modify! retrieve! update! cancel! close! dbcancel! dbe! eof! notmodified! ok! prompt! setcode! setfocus! userdefined! any! char! date! datetime! decimal! double! integer! long! real! string! time! unsignedinteger! unsignedlong! yes! no!"),
+    ("sql_keyword", "select from where into values set insert update delete join left right inner outer full cross and or not in exists between like order by group having union all distinct as asc desc null is count sum avg min max create drop alter table index view procedure trigger execute immediate using dynamic cursor for read only fetch next prior first last close open declare section connect disconnect commit rollback transaction database powerbuilder"),
+    ("report_function", "object data buffer modify describe insertrow deleterow setfilter setsort retrieve update reset rowsmove rowscopy rowsdiscard getitemstring getitemnumber getitemdate getitemdatetime setitem setcolumn settext gettext isselected selectrow groupcalc sharedata getchild getsqlselect setsqlselect importstring importfile export save print settransobject settrans getrow getclickedrow getselectedrow rowcount modifiedcount deletedcount filteredcount"),
+)
 
 
 def tokens(sources: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``position, kind, token`` for every token, keywords apart from names."""
+    """``position, kind, token`` for every token; words by the lists in :data:`WORDS`, others are names, phrases are keywords."""
     every = "|".join(p for _, p in TOKENS)
     found = sources.select(*keys, F.posexplode(F.regexp_extract_all(text_col, F.lit(f"({every})"), 1)).alias("position", "token"))
     kind = F.coalesce(*[F.when(F.col("token").rlike(rf"\A(?:{p})\z"), F.lit(k)) for k, p in TOKENS])
-    return found.withColumn("kind", F.when((kind == "name") & F.lower("token").isin(*KEYWORDS), "keyword").otherwise(kind))
+    low = F.lower("token")
+    word = F.coalesce(*[F.when(low.isin(*words.split()), F.lit(k)) for k, words in WORDS], F.lit("name"))
+    return found.withColumn("kind", F.when(kind == "word", word).when(kind == "phrase", "keyword").otherwise(kind))
 
 
 def foldings(routine_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +133,33 @@ def window_events(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda x: ~F.lower(x).startswith("pbm_"))), 1, most)
 
 
+# Endings of a field's name and the screen type they stand for: fixed values.
+FIELD_ENDINGS = (("Date", ("_date", "_time", "_dt")), ("number", ("_id", "_no", "_num", "_amt", "_qty", "_count")), ("boolean", ("_flag", "_yn", "_bool", "_active")))
+# Types of the language and of a screen's code: fixed values.
+SCREEN_TYPES = {"integer": "number", "long": "number", "double": "number", "decimal": "number", "string": "string", "boolean": "boolean", "datetime": "string", "date": "string", "time": "string", "any": "any", "void": "void"}
+
+
 def guessed_type(column: Column) -> Column:
     """Type of a screen field by its name's ending."""
-    c = F.lower(column)
-    return F.when(c.rlike("(date|time|_dt)$"), "Date").when(c.rlike("(_id|_no|_num|qty|count|amount|amt|price|total)$"), "number").when(c.rlike("^(is|has)_|_flag$"), "boolean").otherwise("string")
+    c, out = F.lower(column), F.lit("string")
+    for kind, endings in reversed(FIELD_ENDINGS):
+        hit = F.lit(False)
+        for e in endings:
+            hit = hit | c.endswith(e)
+        out = F.when(hit, kind).otherwise(out)
+    return out
+
+
+def report_fields(text: Column, most: int = 60) -> Column:
+    """Distinct columns of a report object as ``(name, type)``, the first ``most``, types guessed."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bcolumn\s+name\s*=\s*[\"']?(\w+)"), 1), lambda x: F.lower(x))
+    return F.transform(F.slice(F.array_distinct(names), 1, most), lambda x: F.struct(x.alias("name"), guessed_type(x).alias("type")))
+
+
+def signature(text: Column, name: str) -> Column:
+    """Return type and argument types of a function in a screen's types; any and no arguments where it is not declared."""
+    pattern = rf"(?i)\bfunction\s+(\w+)\s+{re.escape(name)}\s*\(([^)]*)\)"
+    kinds = F.create_map(*[F.lit(x) for pair in SCREEN_TYPES.items() for x in pair])
+    of = lambda t: F.coalesce(F.try_element_at(kinds, F.lower(t)), F.lit("any"))
+    arguments = F.filter(F.transform(F.split(F.regexp_extract(text, pattern, 2), ","), lambda x: F.trim(x)), lambda x: x.contains(" "))
+    return F.struct(of(F.regexp_extract(text, pattern, 1)).alias("return_type"), F.transform(arguments, lambda x: of(F.regexp_extract(x, r"(\w+)\s+\w+\z", 1))).alias("argument_types"))

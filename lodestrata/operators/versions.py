@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,17 @@ def line_set_counts(old_lines: Column, new_lines: Column) -> tuple[Column, Colum
     return F.size(F.array_except(new_lines, old_lines)), F.size(F.array_except(old_lines, new_lines))
 
 
-def routine_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Routines added, removed or with another script."""
-    return diff(old, new, [*keys, "name"], ["script"])
+def routine_diff(old: DataFrame, new: DataFrame, keys: list[str], old_variables: DataFrame | None = None, new_variables: DataFrame | None = None) -> DataFrame:
+    """Routines added, removed or with another script; with variables given, those added or removed too: ``keys, name, part, status``.
+
+    Of routines with one name the first by line is compared.
+    """
+    once = lambda df: df.groupBy(*keys, "name").agg(F.min_by("script", "line_start").alias("script"))
+    out = diff(once(old), once(new), [*keys, "name"], ["script"]).withColumn("part", F.lit("routine"))
+    if old_variables is not None and new_variables is not None:
+        names = lambda df: df.select(*keys, "name").distinct().withColumn("_", F.lit(1))
+        out = out.unionByName(diff(names(old_variables), names(new_variables), [*keys, "name"], ["_"]).withColumn("part", F.lit("variable")))
+    return out.select(*keys, "name", "part", "status")
 
 
 def name_sets(old: Column, new: Column) -> Column:
@@ -76,6 +84,54 @@ def append_snapshot(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").partitionBy("snapshot_id").parquet(folder)
 
 
+def snapshot_rows(snapshots: DataFrame, snapshot_id) -> DataFrame:
+    """The files of one snapshot; none for an unknown id. A history partitioned by id is read in that partition alone."""
+    return snapshots.where(F.col("snapshot_id") == F.lit(snapshot_id))
+
+
+def listed_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Id, files and bytes of every snapshot of a history."""
+    return snapshots.groupBy("snapshot_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def without_snapshot(snapshots: DataFrame, snapshot_id) -> DataFrame:
+    """A history without one snapshot."""
+    return snapshots.where(~F.col("snapshot_id").eqNullSafe(F.lit(snapshot_id)))
+
+
+def delete_snapshot(spark: SparkSession, folder: str, snapshot_id: str) -> bool:
+    """Take a snapshot out of a history on disk: its partition alone goes. Whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot_id={snapshot_id}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+LATEST_SCHEMA = "id string, label string, timestamp string, source string, files array<struct<path:string,size:long,hash:string>>"
+
+
+def latest_json(texts: DataFrame, column: str = "value") -> DataFrame:
+    """``id, label, timestamp, source, files`` of snapshots written as JSON, a whole document each; null fields where one is broken."""
+    return texts.select(F.from_json(column, LATEST_SCHEMA).alias("s")).select("s.*")
+
+
+def as_latest_json(rows: DataFrame, label: str = "", source: str = "") -> DataFrame:
+    """One JSON document for each snapshot, as :func:`latest_json` reads it; as long as a snapshot has files."""
+    files = F.array_sort(F.collect_list(F.struct("path", "size", "hash"))).alias("files")
+    packed = rows.groupBy(F.col("snapshot_id").cast("string").alias("id")).agg(files)
+    return packed.select(F.to_json(F.struct("id", F.lit(label).alias("label"), F.lit(source).alias("source"), "files")).alias("value"))
+
+
+def refreshed_index(old: DataFrame, files: DataFrame, build, path: str = "path", by: tuple[str, ...] = ("size", "checksum")) -> DataFrame:
+    """An index over ``files`` that keeps the rows of unchanged files and builds the others anew.
+
+    ``build`` turns files into index rows and sees changed and new ones
+    alone; rows of files that are gone are dropped.
+    """
+    state = diff(old, files, [path], list(by), unchanged=True)
+    same = old.join(state.where("status = 'unchanged'").select(path), path, "left_semi")
+    fresh = build(files.join(state.where("status in ('added', 'modified')").select(path), path, "left_semi"))
+    return same.unionByName(fresh.select(*same.columns))
+
+
 def latest_before(snapshots: DataFrame, current, column: str = "snapshot_id") -> DataFrame:
     """The latest snapshot before ``current``, null if there is none."""
     return snapshots.where(F.col(column) < F.lit(current)).agg(F.max(column).alias("latest"))

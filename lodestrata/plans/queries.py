@@ -7,35 +7,13 @@ for versions of one object.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql_text, text
-from ..operators import aggregates, graph, inventory, routines, rules, search, versions
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from ..operators import aggregates, graph, inventory, rules, search, versions
+from .registry import query, table
 
 # DuckDB's counterpart of functions.text.with_lines over documents.
 LINES = "(SELECT doc_id, source, lang, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line_no FROM documents WHERE text <> '')"
@@ -62,12 +40,6 @@ def search_sql_lines(spark, sf_dir):
     return hits.where(search.in_sql(F.col("line"))).select("doc_id", "line_no")
 
 
-@query("SELECT event_id, event_type FROM events WHERE regexp_matches(props, '(?i)(subroutine|function)\\s+(\\w+\\s+)?k\\s*\\(') OR regexp_matches('function int k (', '(?i)(subroutine|function)\\s+(\\w+\\s+)?k\\s*\\(') AND event_id < 10")
-def search_function_mode(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.where(search.defines_routine(F.col("props"), "k") | (search.defines_routine(F.lit("function int k ("), "k") & (F.col("event_id") < 10))).select("event_id", "event_type")
-
-
 @query(f"SELECT doc_id, line_no::INT AS line_no FROM {LINES} WHERE contains(lower(line), 'the ') ORDER BY doc_id, line_no LIMIT 20")
 def search_first_hits(spark, sf_dir):
     hits = search.search_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "the ")
@@ -97,10 +69,12 @@ def live_filter(spark, sf_dir):
 # -- SQL mining -----------------------------------------------------------------------
 
 
-@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])from\\s+([a-z_][a-z0-9_]*)', 1))) AS tbl FROM documents")
+_TABLE_NAME = r'''(?i)(?:from|into|update|join|table)\s+((?:\[[^\]\n]+\]|"[^"\n]+"|[\w$#]+)(?:\.(?:\[[^\]\n]+\]|"[^"\n]+"|[\w$#]+))*)'''
+
+
+@query(f"SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{_TABLE_NAME}', 1), lambda x: regexp_replace(x, '[\\[\\]\"]', '', 'g')), lambda x: length(x) > 1 AND lower(x) NOT IN {sql_text.NO_TABLES}))) AS tbl FROM documents")
 def sql_tables(spark, sf_dir):
-    names = sql_text.every(F.lower("text"), r"(?:^|[^a-z0-9_])from\s+([a-z_][a-z0-9_]*)")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(names)).alias("tbl"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(sql_text.tables(F.col("text"))).alias("tbl"))
 
 
 @query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS name FROM pages")
@@ -109,7 +83,7 @@ def dw_columns(spark, sf_dir):
 
 
 # Statements made from the events table: every clause that the miners look for, in values that vary.
-_STATEMENT = "concat('SELECT a', cast(user_id AS {s}), ' FROM t', cast(user_id % 7 AS {s}), ' WHERE x > ', cast(event_id AS {s}), ' AND y IN (SELECT id FROM u) GROUP BY k', cast(user_id % 3 AS {s}), ' HAVING count(*) > 1 ORDER BY k', cast(user_id % 5 AS {s}), ' DESC')"
+_STATEMENT = "concat('SELECT a', cast(user_id AS {s}), ' FROM t', cast(user_id % 7 AS {s}), ' WHERE x > ', cast(event_id AS {s}), ' AND y IN (SELECT id FROM u', cast(user_id % 4 AS {s}), ') GROUP BY k', cast(user_id % 3 AS {s}), ' HAVING count(*) > 1 ORDER BY k', cast(user_id % 5 AS {s}), ' DESC')"
 _DUCK = f"(SELECT event_id, {_STATEMENT.format(s='VARCHAR')} AS sql FROM events)"
 
 
@@ -123,11 +97,9 @@ def sql_clauses(spark, sf_dir):
     return _statements(spark, sf_dir).select("event_id", sql_text.where_clause(s).alias("where_clause"), sql_text.group_by_clause(s).alias("group_by_clause"), sql_text.order_by_clause(s).alias("order_by_clause"))
 
 
-@query(f"SELECT event_id, unnest(list_sort(list_distinct(regexp_extract_all(sql, 'FROM (\\w+)', 1)))) AS tbl FROM {_DUCK} WHERE event_id % 10 = 0 OR event_id > 0")
+@query(f"SELECT event_id, unnest(list_distinct(regexp_extract_all(sql, 'FROM (\\w+)', 1))) AS tbl FROM {_DUCK}")
 def statement_tables(spark, sf_dir):
-    # single characters are no table names, so the inner table does not count here
-    wide = _statements(spark, sf_dir).select("event_id", F.replace("sql", F.lit("FROM u)"), F.lit("FROM uu)")).alias("sql"))
-    return wide.select("event_id", F.explode(sql_text.tables(F.col("sql"))).alias("tbl")).withColumn("tbl", F.when(F.col("tbl") == "uu", "u").otherwise(F.col("tbl")))
+    return _statements(spark, sf_dir).select("event_id", F.explode(sql_text.tables(F.col("sql"))).alias("tbl"))
 
 
 @query(f"SELECT event_id, 'in' AS kind, regexp_extract(sql, '(IN \\(SELECT.*)', 1) AS snippet FROM {_DUCK}")
@@ -135,10 +107,10 @@ def statement_subqueries(spark, sf_dir):
     return _statements(spark, sf_dir).select("event_id", F.explode(sql_text.subqueries(F.col("sql"))).alias("s")).select("event_id", "s.kind", "s.snippet")
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])union([^a-z0-9_]|$)') AS has_union FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])union([^a-z0-9_]|$)') AS has_union, contains(lower(text), ' join ') AS has_join, ((length(lower(text)) - length(replace(lower(text), 'select ', ''))) // 7)::INT AS selects FROM documents")
 def union_detect(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", sql_text.has_union(F.col("text")).alias("has_union"))
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", sql_text.has_union(t).alias("has_union"), sql_text.has_join(t).alias("has_join"), sql_text.select_count(t).alias("selects"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])union([^a-z0-9_]|$)') AS has_union FROM documents")
@@ -191,20 +163,6 @@ def lint_by_severity(spark, sf_dir):
     return rules.by_severity(_findings(spark, sf_dir))
 
 
-_KEYWORD_RULES = {"GOTO_USAGE": "contains(upper(line), 'GOTO ') OR contains(upper(line), ' GOTO')", "TODO_FIXME": "regexp_matches(upper(line), 'TODO|FIXME|HACK')", "GLOBAL_VAR": "contains(upper(line), 'GLOBAL ') AND NOT contains(upper(line), 'GLOBAL FUNCTION') AND NOT contains(upper(line), 'GLOBAL SUBROUTINE')", "DEPRECATED_API": " OR ".join(f"contains(line, '{m}')" for m in rules.DEPRECATED_NAMES), "HARDCODED_CONN": " OR ".join(f"contains(line, '{m}')" for m in rules.CONNECTION_MARKS)}
-
-
-# Source lines made from the events table, one for each keyword rule and some for none.
-_SOURCE_LINE = "concat(CASE event_id % 8 WHEN 0 THEN 'goto done ' WHEN 1 THEN '// TODO: ' WHEN 2 THEN 'global long ' WHEN 3 THEN 'global function ' WHEN 4 THEN 'SetPointer(x) ' WHEN 5 THEN 'SQLCA.DBMS = ' WHEN 6 THEN 'x = Post(' ELSE 'return ' END, event_type)"
-
-
-@query(" UNION ALL ".join(f"SELECT event_id, '{r}' AS rule FROM (SELECT event_id, {_SOURCE_LINE} AS line FROM events) WHERE {p}" for r, p in _KEYWORD_RULES.items()))
-def lint_keywords(spark, sf_dir):
-    chosen = rules.Registry(rules.line_rules()).chosen(enabled=list(_KEYWORD_RULES))
-    lines = table(spark, sf_dir, "events").select("event_id", F.expr(_SOURCE_LINE).alias("text"))
-    return rules.lint_lines(lines, ["event_id"], chosen).select("event_id", "rule")
-
-
 @query(f"SELECT doc_id, line_no::INT AS line_no, octet_length(encode(line))::INT AS bytes FROM {LINES} WHERE octet_length(encode(line)) > 200")
 def byte_length(spark, sf_dir):
     found = text.with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -285,9 +243,9 @@ def table_usage(spark, sf_dir):
     return aggregates.usage(rows, "item", "l_suppkey")
 
 
-@query("SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1 HAVING count(*) > 12")
+@query("SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS spent FROM orders GROUP BY 1 HAVING count(*) > 12")
 def threshold_hotspots(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n")).where("n > 12").drop("n")
+    return aggregates.above(table(spark, sf_dir, "orders"), ["o_custkey"], 12, F.sum("o_totalprice").alias("spent"))
 
 
 @query("SELECT source AS library, count(*) AS objects, sum(f)::BIGINT AS findings, sum(n_chars)::BIGINT AS lines FROM (SELECT source, n_chars, CASE WHEN n_chars > 3000 THEN 1 ELSE 0 END AS f FROM documents) GROUP BY 1")
@@ -305,7 +263,7 @@ def review_score(spark, sf_dir):
 @query("SELECT event_type, count(*) FILTER (value IS NULL OR value <= 50) AS succeeded, count(*) FILTER (value > 50) AS failed, count(*) AS attempts FROM events GROUP BY 1")
 def retry_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("error", F.when(F.col("value") > 50, "late"))
-    return rows.groupBy("event_type").agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("attempts"))
+    return aggregates.outcomes(rows, keys=["event_type"])
 
 
 @query("SELECT p_partkey, trunc(p_size * 0.5::DOUBLE + p_partkey * 0.3::DOUBLE + 7 * 0.2::DOUBLE)::BIGINT AS low, trunc(p_size * 2.0::DOUBLE + p_partkey * 1.0::DOUBLE + 7 * 0.5::DOUBLE)::BIGINT AS high, (p_partkey * 37 // 1000 + 2 * p_size)::BIGINT AS days FROM part")
@@ -361,24 +319,23 @@ def totals_delta(spark, sf_dir):
     return versions.totals_delta(*_two_versions(spark, sf_dir), ["n_chars"])
 
 
-def _turn_lines(spark, sf_dir, turn):
-    return text.with_lines(table(spark, sf_dir, "conversations").where(F.col("turn") == turn).select("conv_id", "text"))
-
-
-_TURN_LINES = "(SELECT conv_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1)::INT AS line_no FROM conversations WHERE turn = {} AND text <> '')"
+# A conversation's turns are the versions of one object: every turn is compared with the one before it.
+_TURN_LINES = "(SELECT conv_id, turn + {} AS version, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1)::INT AS line_no FROM conversations WHERE text <> '')"
 
 
-@query(f"SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.line_no, b.line_no) AS line_no, a.line AS old_line, b.line AS new_line FROM {_TURN_LINES.format(0)} a FULL JOIN {_TURN_LINES.format(2)} b ON a.conv_id = b.conv_id AND a.line_no = b.line_no WHERE a.line IS DISTINCT FROM b.line")
+@query(f"SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.version, b.version) AS version, coalesce(a.line_no, b.line_no) AS line_no, a.line AS old_line, b.line AS new_line FROM {_TURN_LINES.format(1)} a FULL JOIN {_TURN_LINES.format(0)} b ON a.conv_id = b.conv_id AND a.version = b.version AND a.line_no = b.line_no WHERE a.line IS DISTINCT FROM b.line")
 def line_diff_positional(spark, sf_dir):
-    return versions.line_diff(_turn_lines(spark, sf_dir, 0), _turn_lines(spark, sf_dir, 2), ["conv_id"])
+    turns = table(spark, sf_dir, "conversations")
+    of = lambda step: text.with_lines(turns.select("conv_id", (F.col("turn") + step).alias("version"), "text"))
+    return versions.line_diff(of(1), of(0), ["conv_id", "version"])
 
 
-@query("SELECT a.conv_id, len(list_distinct(list_filter(string_split(b.text, chr(10)), lambda x: NOT list_contains(string_split(a.text, chr(10)), x))))::INT AS added, len(list_distinct(list_filter(string_split(a.text, chr(10)), lambda x: NOT list_contains(string_split(b.text, chr(10)), x))))::INT AS removed FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")
+@query("SELECT a.conv_id, b.turn, len(list_distinct(list_filter(string_split(b.text, chr(10)), lambda x: NOT list_contains(string_split(a.text, chr(10)), x))))::INT AS added, len(list_distinct(list_filter(string_split(a.text, chr(10)), lambda x: NOT list_contains(string_split(b.text, chr(10)), x))))::INT AS removed FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def line_set_diff(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    of = lambda t, c: turns.where(F.col("turn") == t).select("conv_id", F.split("text", "\n").alias(c))
+    of = lambda step, c: turns.select("conv_id", (F.col("turn") + step).alias("turn"), F.split("text", "\n").alias(c))
     added, removed = versions.line_set_counts(F.col("a"), F.col("b"))
-    return of(0, "a").join(of(1, "b"), "conv_id").select("conv_id", added.alias("added"), removed.alias("removed"))
+    return of(1, "a").join(of(0, "b"), ["conv_id", "turn"]).select("conv_id", "turn", added.alias("added"), removed.alias("removed"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -391,10 +348,11 @@ def latest_snapshot(spark, sf_dir):
     return versions.latest_before(table(spark, sf_dir, "orders"), datetime(1998, 1, 1), "o_orderdate")
 
 
-@query("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderkey % 2 = 1))) AS odd FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 2 = 1) > 0")
+@query("WITH s AS (SELECT o_custkey, coalesce(list_distinct(list(o_orderpriority) FILTER (o_orderkey % 2 = 0)), []) AS a, coalesce(list_distinct(list(o_orderpriority) FILTER (o_orderkey % 2 = 1)), []) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS removed, list_sort(list_filter(a, lambda x: list_contains(b, x))) AS common FROM s")
 def name_sets(spark, sf_dir):
-    sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderpriority"))).alias("odd"))
-    return sets.select("o_custkey", versions.name_sets(F.array().cast("array<string>"), F.col("odd"))["added"].alias("odd")).where(F.size("odd") > 0)
+    of = lambda rest: F.collect_set(F.when(F.col("o_orderkey") % 2 == rest, F.col("o_orderpriority")))
+    sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(versions.name_sets(of(0), of(1)).alias("s"))
+    return sets.select("o_custkey", "s.added", "s.removed", "s.common")
 
 
 @query("SELECT conv_id, list_transform(list_filter(list_zip(r, list_prepend(NULL, r[:-2])), lambda x: x[1] IS DISTINCT FROM x[2]), lambda x: x[1]) AS roles FROM (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1)")
@@ -446,25 +404,6 @@ def table_schema(spark, sf_dir):
     return graph.table_schema(reports).withColumnsRenamed({"table": "tbl", "column": "col"})
 
 
-@query("SELECT event_id, kind, dst FROM events, (VALUES ('inherits', 'u_base'), ('creates', 'n_thing'), ('opens', 'w_main'), ('report', 'd_list'), ('table', 'u_base'), ('table', 'invoices')) v(kind, dst)")
-def object_edges(spark, sf_dir):
-    source = F.lit("global type w_x from u_base\ncreate n_thing\nOpen(w_main)\ndw_1.dataobject='d_list'\nselect a from invoices where b = 1")
-    rows = table(spark, sf_dir, "events").select("event_id", source.alias("text"))
-    return graph.edges(rows, "event_id").select(F.col("src").alias("event_id"), "kind", "dst")
-
-
-@query("SELECT event_id, 'of_' || event_type AS name, (2)::INT AS line_start, (4)::INT AS line_end, 'private' AS access FROM events")
-def routine_inventory(spark, sf_dir):
-    source = F.concat(F.lit("global long il_x = 3\nprivate function long of_"), F.col("event_type"), F.lit(" (long a)\nreturn a\nend function\n"))
-    return routines.routines(table(spark, sf_dir, "events").select("event_id", source.alias("text")), ["event_id"]).select("event_id", "name", "line_start", "line_end", "access")
-
-
-@query("SELECT event_id, unnest(['keyword', 'name', 'operator', 'number', 'comment']) AS kind, unnest(['return', event_type, '+', user_id::VARCHAR, '// end']) AS token, unnest([0, 1, 2, 3, 4])::INT AS position FROM events")
-def token_stream(spark, sf_dir):
-    source = F.concat(F.lit("return "), F.col("event_type"), F.lit(" + "), F.col("user_id"), F.lit(" // end"))
-    return routines.tokens(table(spark, sf_dir, "events").select("event_id", source.alias("text")), ["event_id"])
-
-
 # -- inventory ---------------------------------------------------------------------------------------------
 
 
@@ -520,22 +459,22 @@ def init_summary(spark, sf_dir):
     return aggregates.init_summary(rows, "library", "long_kind", "size")
 
 
-@query("SELECT event_type, count(*) AS entries, sum(user_id)::BIGINT AS hits, least(sum(user_id) / count(*), 1.0)::DOUBLE AS rate FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("SELECT event_type, count(*) AS entries, sum(user_id % 3)::BIGINT AS hits, least(sum(user_id % 3) / count(*), 1.0)::DOUBLE AS rate FROM events GROUP BY 1")
 def hit_rate(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("hits"))
-    return aggregates.cache_stats(rows).where("entries > 0").withColumn("event_type", F.lit("click"))
+    return aggregates.cache_stats(table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("hits")), keys=["event_type"])
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_pick(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", text.pick(F.col("props"), "k").alias("k"))
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents WHERE lang = 'fr' GROUP BY 1")
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY 1, 2 UNION ALL SELECT 'others', source, count(*) FROM documents WHERE coalesce(lang NOT IN ('en', 'de', 'fr', 'es'), true) GROUP BY 2")
 def concatenated_results(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    of = lambda lang: docs.where(F.col("lang") == lang).groupBy("source").agg(F.count("*").alias("n"))
-    return of("en").unionByName(of("fr"))
+    docs, known = table(spark, sf_dir, "documents"), ["en", "de", "fr", "es"]
+    of = lambda rows, lang: rows.groupBy("source").agg(F.count("*").alias("n")).select(F.lit(lang).alias("lang"), "source", "n")
+    others = docs.where(F.coalesce(~F.col("lang").isin(*known), F.lit(True)))
+    return aggregates.concatenated([of(docs.where(F.col("lang") == x), x) for x in known] + [of(others, "others")])
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")

@@ -6,6 +6,9 @@ import html
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, graph, rules
 
 #: Rows that a section of a report shows; the aggregates behind it cover everything.
 MOST_ROWS = 100
@@ -44,6 +47,58 @@ def as_json(title: str, sections: dict[str, DataFrame], most: int = MOST_ROWS) -
     return json.dumps({"title": title} | {name: [r.asDict(recursive=True) for r in df.limit(most).collect()] for name, df in sections.items()}, default=str, ensure_ascii=False)
 
 
+# -- the reports of a project: which tables each one shows -------------------------------------
+
+
+def review_sections(objects: DataFrame, findings: DataFrame, reports: DataFrame, dependencies: DataFrame, advice: DataFrame) -> dict[str, DataFrame]:
+    """Review: ``objects(library, kind, lines)``, findings of line rules, report objects with ``name, style, tables, columns, sql``, library dependencies, suggestions."""
+    kinds = objects.groupBy("kind").agg(F.count("*").alias("objects"), F.sum("lines").alias("lines")).orderBy("kind")
+    libraries = objects.groupBy("library").agg(F.count("*").alias("objects"), F.count_distinct("kind").alias("kinds")).orderBy("library")
+    used = aggregates.usage_counts(reports.select("name", F.explode("tables").alias("table")), "table", "name").orderBy(F.desc("n"), "table").limit(30)
+    listed = reports.select("name", "style", F.concat_ws(", ", "tables").alias("tables"), F.size("columns").alias("columns"), F.col("sql").isNotNull().alias("has_sql")).orderBy("name")
+    return {"Objects": kinds, "Libraries": libraries, "Findings by rule": rules.by_rule(findings, "name").orderBy(F.desc("n"), "rule"), "First findings": findings.orderBy("name", "line_no", "rule").limit(30), "Tables": used, "Report objects": listed, "Dependencies": dependencies.orderBy("src_library", "dst_library"), "Suggestions": advice.orderBy("suggestion")}
+
+
+def refactoring_sections(findings: DataFrame, most: int = 100) -> dict[str, DataFrame]:
+    """Refactoring: findings by severity and by rule, and the first of them."""
+    return {"By severity": rules.by_severity(findings).orderBy("severity"), "By rule": rules.by_rule(findings, "name").orderBy(F.desc("n"), "rule"), "Findings": findings.orderBy("name", "line_no", "rule").limit(most)}
+
+
+def snapshot_sections(snapshot_id: str, label: str, changes: DataFrame) -> dict[str, DataFrame]:
+    """Manifest of a snapshot: changes by status, and every changed path."""
+    spark = changes.sparkSession
+    head = spark.createDataFrame([(snapshot_id, label)], "id string, label string")
+    return {"Snapshot": head, "Changes": changes.groupBy("status").agg(F.count("*").alias("files")).orderBy("status"), "Files": changes.orderBy("status", "path")}
+
+
+def analysis_sections(objects: DataFrame, findings: DataFrame, routines: DataFrame, inheritance: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Analysis: totals, kinds, findings by object, complex routines of each ``object``, inheritance, what each object depends on."""
+    return {
+        "Summary": rules.quality_summary(objects, findings),
+        "Objects": objects.groupBy("kind").agg(F.count("*").alias("objects")).orderBy(F.desc("objects"), "kind"),
+        "Findings": rules.by_object(findings, ["name"]).orderBy("name"),
+        "Complex routines": aggregates.complex_routines(routines, ["object"]),
+        "Inheritance": inheritance.orderBy("child", "parent"),
+        "Dependencies": edges.select("src", "dst").distinct().orderBy("src", "dst"),
+    }
+
+
+def report_object_sections(reports: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Report objects: their SQL, the tables and columns they read, and the scripts that use them."""
+    schema = graph.table_schema(reports).withColumn("reports", F.concat_ws(", ", "reports")).orderBy("table", "column")
+    return {"Report objects": reports.select("name", "style", F.concat_ws(", ", "tables").alias("tables")).orderBy("name"), "Tables": schema, "Used by": users.select("name", F.concat_ws(", ", "used_by").alias("used_by")).orderBy("name")}
+
+
+def sql_listing(reports: DataFrame) -> DataFrame:
+    """Only the SQL of report objects, a text each with its name in front."""
+    return reports.where("sql is not null").select(F.concat(F.lit("-- "), "name", F.lit("\n"), "sql", F.lit(";\n")).alias("value"))
+
+
+def rendered(title: str, sections: dict[str, DataFrame], form: str = "markdown", most: int = MOST_ROWS) -> str:
+    """A report as ``markdown``, ``html`` or ``json``."""
+    return {"markdown": markdown, "html": page, "json": as_json}[form](title, sections, most)
+
+
 def export_sources(sources: DataFrame, folder: str, by: list[str]) -> None:
     """Texts written as Parquet below a folder for each value of ``by``, such as library and kind."""
     sources.write.mode("overwrite").partitionBy(*by).parquet(folder)

@@ -33,15 +33,36 @@ def with_names(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("relative", rel).withColumn("name", file_name(F.col("path"))).withColumn("ext", extension(F.col("name"))).withColumn("depth", F.size(F.split("relative", "/")) - 1).withColumn("library", F.when(F.col("depth") == 0, "(root)").otherwise(F.substring_index("relative", "/", 1)))
 
 
-def source_files(files: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, skip_folders: bool = True) -> DataFrame:
-    """Files of :func:`with_names` with one of the extensions, in any case, outside skipped folders."""
+def source_files(files: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, skip_folders: bool = True, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """Files of :func:`with_names` with one of the extensions, in any case, outside skipped folders.
+
+    Folders that start with a dot are skipped, and those named in ``skipped``;
+    with none named, dot folders alone. Without ``skip_folders`` the whole
+    tree counts.
+    """
     out = files.where(F.col("ext").isin(*[e.lower() for e in extensions]))
     if skip_folders:
-        folder = F.lit(rf"(?:^|/)(?:\.[^/]*|{'|'.join(SKIPPED)})/")
+        folder = F.lit(rf"(?:^|/)(?:{'|'.join([r'\.[^/]*', *skipped])})/")
         out = out.where(~F.regexp_like("relative", folder))
     return out
 
 
+def library_files(files: DataFrame) -> DataFrame:
+    """Libraries anywhere in a tree."""
+    return source_files(files, (".pbl",), skip_folders=False)
+
+
+def report_files(files: DataFrame) -> DataFrame:
+    """Libraries, compiled libraries and executables of a tree, names in lower case."""
+    return source_files(files, (".pbl", ".pbd", ".exe"), skip_folders=False).withColumn("name", F.lower("name"))
+
+
+def shallow_files(files: DataFrame, depth: int = 3, quick: bool = False) -> DataFrame:
+    """Files at most ``depth`` folders down, with their ``kind`` by first bytes; ``quick`` goes by the extension and reads no content."""
+    near = files.where(F.col("depth") <= depth)
+    return near.withColumn("kind", F.replace("ext", F.lit("."), F.lit("")) if quick else file_kind(F.col("content"), F.col("name")))
+
+
 def file_kind(content: Column, name: Column) -> Column:
     """``pbl``, ``pbd``, ``exe`` or the extension, by the first bytes."""
     head = F.substring(content, 1, 4)

@@ -18,14 +18,21 @@ BLOCK, NODE, PER_NODE, PER_BLOCK, LARGEST = 512, 3072, 40, 502, 10_000_000
 TYPES = ("application", "datawindow", "window", "menu", "function", "structure", "userobject", "query", "pipeline", "project", "proxy", "binary", "embedded_sql", "web_service", "component", "soap_client", "soap_server", "web_proxy", "nativejson", "restclient")
 EXTENSION_TYPES = {".sra": 0, ".srd": 1, ".srw": 2, ".srm": 3, ".srf": 4, ".srs": 5, ".sru": 6, ".srq": 7, ".srp": 8, ".srj": 9, ".srx": 10, ".sre": 12}
 PREFIX_TYPES = {"d_": 1, "w_": 2, "m_": 3, "n_": 6, "u_": 6, "f_": 4, "gf_": 4, "s_": 5}
+# Words in an entry's comment that name its type, before extension and prefix: fixed values.
+COMMENT_TYPES = {"application": 0, "datawindow": 1, "window": 2, "menu": 3, "function": 4, "structure": 5, "user object": 6, "userobject": 6, "query": 7, "pipeline": 8, "project": 9, "proxy": 10, "embedded sql": 12}
+# Versions that the strict reader takes: fixed values.
+STRICT_VERSIONS = ("0500", "0600")
 
 ENTRY_ARROW = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("type_code", pa.int32()), ("type_name", pa.string()), ("is_source", pa.bool_()), ("version", pa.string()), ("is_unicode", pa.bool_()), ("data_offset", pa.int64()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("data", pa.binary()), ("error", pa.string())])
 ENTRY_SCHEMA = "path string, ordinal int, name string, type_code int, type_name string, is_source boolean, version string, is_unicode boolean, data_offset long, size long, modified timestamp, data binary, error string"
 
 
-def type_of(name: str) -> tuple[int, bool]:
-    """Type number and whether it is source: by extension, else by prefix, else binary."""
+def type_of(name: str, comment: str = "") -> tuple[int, bool]:
+    """Type number and whether it is source: by a word of the comment, else by extension, else by prefix, else binary."""
     low = name.lower()
+    said = next((t for word, t in COMMENT_TYPES.items() if word in comment.lower()), None) if comment else None
+    if said is not None:
+        return said, low[max(low.rfind("."), 0) :] in EXTENSION_TYPES
     dot = low.rfind(".")
     if dot > 0 and low[dot:] in EXTENSION_TYPES:
         return EXTENSION_TYPES[low[dot:]], True
@@ -48,46 +55,65 @@ def payload(raw: bytes, offset: int, size: int) -> bytes:
     return bytes(out)
 
 
-def entries(raw: bytes) -> Iterator[dict]:
-    """Entries of a library in order, the first of each name; raises ValueError for anything else."""
+def _nodes(raw: bytes, first: int, both: bool) -> Iterator[bytes]:
+    """Node blocks along the right siblings, or along both siblings of each; each one once."""
+    todo, seen = [first], set()
+    while todo:
+        at = todo.pop()
+        if not at or at in seen or raw[at : at + 4] != b"NOD*":
+            continue
+        seen.add(at)
+        block = raw[at : at + NODE]
+        if len(block) < NODE:
+            raise ValueError("node cut off")
+        yield block
+        todo.append(struct.unpack_from("<I", block, 12)[0])
+        if both:
+            todo.append(struct.unpack_from("<I", block, 4)[0])
+
+
+def entries(raw: bytes, strict: bool = False) -> Iterator[dict]:
+    """Entries of a library in order, the first of each name; raises ValueError for anything else.
+
+    ``strict`` walks both siblings of every node and takes entries of the
+    versions in :data:`STRICT_VERSIONS` alone.
+    """
     if raw[:4] != b"HDR*":
         raise ValueError("no library header")
     unicode = raw[BLOCK : BLOCK + 4] != b"FRE*" and (raw[2 * BLOCK : 2 * BLOCK + 4] == b"FRE*" or b"\xff\xfe" in raw[:32])
     wide, charset = (2, "utf-16-le") if unicode else (1, "latin-1")
-    node, seen, names = (3 if unicode else 2) * BLOCK, set(), set()
-    ordinal = 0
-    while node and node not in seen and raw[node : node + 4] == b"NOD*":
-        seen.add(node)
-        block = raw[node : node + NODE]
-        if len(block) < NODE:
-            raise ValueError("node cut off")
-        node, count = struct.unpack_from("<I", block, 12)[0], struct.unpack_from("<H", block, 20)[0]
+    names, ordinal = set(), 0
+    for block in _nodes(raw, (3 if unicode else 2) * BLOCK, strict):
         at = 32
-        for _ in range(min(count, 200)):
+        for _ in range(min(struct.unpack_from("<H", block, 20)[0], 200)):
             fixed = at + 4 + 4 * wide
             if block[at : at + 4] != b"ENT*" or fixed + 16 > NODE:
                 break
             version = block[at + 4 : fixed].decode(charset, "replace").strip("\0")
             offset, size, stamp, length = *struct.unpack_from("<III", block, fixed), struct.unpack_from("<H", block, fixed + 14)[0]
             at = fixed + 16 + length
-            name = block[fixed + 16 : at - wide].decode(charset, "replace").rstrip("\0").strip()
+            name, _, comment = block[fixed + 16 : at - wide].decode(charset, "replace").rstrip("\0").partition("\0")
+            name = name.strip()
+            if strict and version not in STRICT_VERSIONS:
+                continue
             if name and name not in names and 0 < offset <= len(raw) and 0 < size <= LARGEST:
                 names.add(name)
-                code, source = type_of(name)
+                code, source = type_of(name, comment)
                 yield {"ordinal": ordinal, "name": name, "type_code": code, "type_name": TYPES[code], "is_source": source, "version": version, "is_unicode": unicode, "data_offset": offset, "size": size, "modified": (stamp // 1000 if stamp > 3_000_000_000 else stamp) * 1_000_000 if stamp else None, "data": payload(raw, offset, size)}
                 ordinal += 1
 
 
-def read_entries(files: DataFrame) -> DataFrame:
+def read_entries(files: DataFrame, strict: bool = False) -> DataFrame:
     """Entries of every library in ``files(path, content)``; a file that is none gives one row with an error.
 
     A library is parsed where its file is read; nothing is shuffled.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows = [{"path": path} | e for e in entries(raw or b"")]
+                    rows = [{"path": path} | e for e in entries(raw or b"", strict)]
                 except (ValueError, struct.error) as e:
                     rows = [{"path": path, "error": str(e)}]
                 if rows:
@@ -134,14 +160,39 @@ def build(items: list[tuple[str, bytes]], unicode: bool = True, version: str = "
     return bytes(header) + b"FRE*".ljust(BLOCK, b"\0") + bytes(body) + bytes(data)
 
 
-def pack(rows: DataFrame, library: str = "library", unicode: bool = True) -> DataFrame:
-    """``(library, content)``: one library of each group's ``name`` and ``data``."""
+#: Bytes of a library that one task puts together; larger ones become error rows.
+LARGEST_LIBRARY = 1 << 30
+
+
+def pack(rows: DataFrame, library: str = "library", unicode: bool = True, largest: int = LARGEST_LIBRARY) -> DataFrame:
+    """``(library, content, error)``: one library of each group's ``name`` and ``data``.
+
+    The sizes are summed before any payload moves: a library over ``largest``
+    bytes, or with names that a node cannot hold, becomes a row with an error.
+    Null data is empty, null names are left out.
+    """
+    rows = rows.select(library, "name", F.coalesce("data", F.lit(b"")).alias("data")).where(F.col("name").isNotNull())
+    blocks = F.greatest(F.ceil(F.octet_length("data") / PER_BLOCK), F.lit(1)) * BLOCK
+    sizes = rows.groupBy(library).agg(F.sum(blocks).alias("_bytes"), F.count("*").alias("_n"))
+    need = F.col("_bytes") + (F.col("_n") / PER_NODE + 1) * NODE + 4 * BLOCK
+    large = sizes.where(need > largest).select(library)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("name")
-        return pd.DataFrame({"library": [frame[library].iloc[0]], "content": [build(list(zip(frame["name"], frame["data"])), unicode)]})
+        try:
+            made, error = build(list(zip(frame["name"], frame["data"])), unicode), None
+        except (ValueError, struct.error) as e:
+            made, error = None, str(e)
+        return pd.DataFrame({"library": [frame[library].iloc[0]], "content": [made], "error": [error]})
 
-    return rows.groupBy(library).applyInPandas(one, "library string, content binary")
+    schema = "library string, content binary, error string"
+    fitting = rows.join(large, rows[library].eqNullSafe(large[library]), "left_anti").groupBy(library).applyInPandas(one, schema)
+    return fitting.unionByName(large.select(F.col(library).cast("string").alias("library"), F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("error")))
+
+
+def folder_rows(files: DataFrame, text_col: str = "content") -> DataFrame:
+    """``(library, name, data)`` of a tree of source files with names as in a scan; the first folder names the library."""
+    return files.select("library", "name", F.col(text_col).alias("data"))
 
 
 def source_text(data: pd.Series) -> pd.Series:
@@ -164,6 +215,22 @@ def source_text(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
+def encoded(text: Column, charset: str = "UTF-16LE") -> Column:
+    """Bytes of a text, as entries of a library hold them."""
+    return F.encode(text, charset)
+
+
+def listing(entry_rows: DataFrame) -> DataFrame:
+    """Entries, source entries, compiled ones and errors of each library file."""
+    known = F.col("error").isNull()
+    return entry_rows.groupBy("path").agg(F.count_if(known).alias("entries"), F.count_if(known & F.col("is_source")).alias("source"), F.count_if(known & ~F.col("is_source")).alias("compiled"), F.count_if(~known).alias("errors"))
+
+
+def of_origin(entry_rows: DataFrame, compiled: bool = False) -> DataFrame:
+    """Source entries, or compiled ones."""
+    return entry_rows.where(F.col("error").isNull() & (F.col("is_source") != F.lit(compiled)))
+
+
 def sources(entry_rows: DataFrame) -> DataFrame:
     """Source entries with their ``text``."""
     decode = F.pandas_udf(source_text, "string")
@@ -175,6 +242,23 @@ def entry(entry_rows: DataFrame, name: str) -> DataFrame:
     return entry_rows.where(F.lower("name") == name.lower()).dropDuplicates(["path"])
 
 
+#: Folders of an export by type where they are not the type's own name: fixed values.
+TYPE_FOLDERS = {"web_service": "webservice"}
+
+
+def type_folder(type_label: Column) -> Column:
+    """Folder that an export by type puts an entry into."""
+    out = F.coalesce(type_label, F.lit("other"))
+    for label, folder in TYPE_FOLDERS.items():
+        out = F.when(out == label, folder).otherwise(out)
+    return out
+
+
+def type_label(code: Column) -> Column:
+    """Type by number, ``other`` for an unknown one."""
+    return F.coalesce(F.get(F.array(*map(F.lit, TYPES)), code), F.lit("other"))
+
+
 def type_name(name: Column) -> Column:
     """Type by extension, as a column."""
     labels = F.create_map(*[F.lit(x) for e, t in EXTENSION_TYPES.items() for x in (e, TYPES[t])])

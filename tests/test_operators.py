@@ -53,3 +53,23 @@ def test_aggregates(spark):
     row = spark.range(1).select(aggregates.review_score(F.lit(0), F.lit(200_000), F.lit(50), F.lit(60)), aggregates.score_label(F.lit(60))).first()
     assert tuple(row) == (60, "fair")
     assert tuple(spark.range(1).select(*aggregates.effort(F.lit(3), F.lit(2), F.lit(1))).first()) == (2, 8)
+
+
+def test_ancestors_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(200)] + [("a", "a"), ("b", None)], "child string, parent string")
+    found = {(r["child"], r["ancestor"]): r["distance"] for r in graph.ancestors(chain).collect()}
+    assert len(found) == 200 * 201 // 2 and found["n0", "n200"] == 200
+    assert graph.ancestors(chain.limit(0)).count() == 0
+
+
+def test_dependent_rows(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "x"), (None, "x")], "src string, dst string")
+    assert graph.dependents(rows).first()["dependents"] == ["a", "b"] and graph.dependent_counts(rows).first()["n"] == 2
+
+
+def test_history_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x")], "path string, size long, content string")
+    for day in ("d1", "d2"):
+        versions.append_snapshot(versions.snapshot(rows, day), f"file://{tmp_path}/h")
+    assert versions.delete_snapshot(spark, f"file://{tmp_path}/h", "d1") and not versions.delete_snapshot(spark, f"file://{tmp_path}/h", "d9")
+    assert [r["snapshot_id"] for r in versions.listed_snapshots(spark.read.parquet(f"file://{tmp_path}/h")).collect()] == ["d2"]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import queries
+from lodestrata.plans import object_queries, queries, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
@@ -31,12 +31,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(queries.SQL))
+@pytest.mark.parametrize("name", list(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     ours = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
-    result = duck.execute(queries.SQL[name])
+    result = duck.execute(registry.SQL[name])
     at = {d[0]: i for i, d in enumerate(result.description)}
     assert sorted(at) == columns
     assert ours == sorted((tuple(plain(r[at[c]]) for c in columns) for r in result.fetchall()), key=repr)

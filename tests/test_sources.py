@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans import reports
-from lodestrata.sources import executables, files, libraries
+from lodestrata.sources import executables, files, libraries, sinks
 from lodestrata.streaming import changes
 
 
@@ -103,3 +103,49 @@ def test_config(tmp_path):
     found = config.load(str(tmp_path / "a" / "b"))
     assert found["thresholds"] == {"routine_lines": 200, "nesting": 7, "complexity": 20} and found["own"] == 1
     assert config.load(str(tmp_path)) == config.DEFAULTS
+
+
+def test_strict_reader_and_comments():
+    raw = bytearray(libraries.build([("w_a.srw", b"1"), ("w_b.srw", b"2")], version="0600"))
+    second = raw.index("0600".encode("utf-16-le"), raw.index(b"ENT*", raw.index(b"ENT*") + 4))
+    raw[second : second + 8] = "1250".encode("utf-16-le")
+    assert [e["name"] for e in libraries.entries(bytes(raw), strict=True)] == ["w_a.srw"] and len(list(libraries.entries(bytes(raw)))) == 2
+    assert libraries.type_of("x", "A Data Window? no: datawindow object") == (1, False) and libraries.type_of("w_a.srw", "user object") == (6, True)
+
+
+def test_left_siblings_are_read_too():
+    raw = bytearray(libraries.build([(f"w_{i:02}.srw", b"x") for i in range(60)]))
+    first = raw.index(b"NOD*")
+    struct.pack_into("<II", raw, first + 4, struct.unpack_from("<I", raw, first + 12)[0], 0)
+    struct.pack_into("<I", raw, first + 12, 0)
+    assert len(list(libraries.entries(bytes(raw)))) == 40 and len(list(libraries.entries(bytes(raw), strict=True))) == 60
+
+
+def test_libraries_too_large_are_errors(spark):
+    rows = spark.createDataFrame([("a", "w.srw", b"x" * 5000), ("b", "w.srw", b"x"), ("c", "n" * 2000 + ".srw", b"x"), ("d", None, b"x"), ("e", "w.srw", None)], "library string, name string, data binary")
+    got = {r["library"]: r["error"] for r in libraries.pack(rows, largest=9000).collect()}
+    assert got == {"a": "too large", "b": None, "c": "names too long for a node", "e": None}
+
+
+def test_files_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("l", "w_a.srw", "window", "long enough\0 text"), ("l", "w_b.srw", "window", "short"), ("m", "ws.srx", "web_service", "also long enough")], "library string, name string, type_name string, text string")
+    done = sinks.write_files(sinks.export_paths(rows, by_type=True, library="library"), f"file://{tmp_path}/out").collect()
+    assert {(r["path"], r["bytes"], r["error"]) for r in done} == {("l/window/w_a.srw", 16, None), ("m/webservice/ws.srx", 16, None)}
+    assert (tmp_path / "out/l/window/w_a.srw").read_text() == "long enough text"
+    bad = spark.createDataFrame([("../x", b"1"), (None, b"1"), ("/abs", b"1")], "path string, content binary")
+    assert all(r["error"] for r in sinks.write_files(bad, f"file://{tmp_path}/out").collect()) and not (tmp_path / "x").exists()
+    tree = sinks.tree_paths(rows.select("name", "text"), "shop")
+    assert {r["path"] for r in tree.collect()} == {"framework.pbl/w_a.srw", "common.pbl/ws.srx"}
+
+
+def test_four_reports(spark):
+    objects = spark.createDataFrame([("l", "w_a", "window", 3)], "library string, name string, kind string, lines int")
+    findings = spark.createDataFrame([("w_a", 1, "GOTO_USAGE", "warning", "")], "name string, line_no int, rule string, severity string, message string")
+    listed = spark.createDataFrame([("d_a", "grid", ["t"], [("t.a", "long")], "select a from t")], "name string, style string, tables array<string>, columns array<struct<dbname:string,type:string>>, sql string")
+    pairs = spark.createDataFrame([("l", "m", 2)], "src_library string, dst_library string, n long")
+    advice = spark.createDataFrame([("clean", 0)], "suggestion string, n long")
+    found = reports.rendered("R", reports.review_sections(objects, findings, listed, pairs, advice))
+    assert all(x in found for x in ("| window | 1 | 3 |", "| t | 1 |", "| d_a | grid | t | 1 | True |", "| l | m | 2 |", "| clean | 0 |"))
+    users = spark.createDataFrame([("d_a", ["w_a"])], "name string, used_by array<string>")
+    assert "<td>w_a</td>" in reports.rendered("D", reports.report_object_sections(listed, users), "html")
+    assert '"rule": "GOTO_USAGE"' in reports.rendered("F", reports.refactoring_sections(findings), "json")

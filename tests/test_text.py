@@ -143,4 +143,32 @@ def test_empty_catch_of_a_file_and_its_fix(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([(1, 'if a = "x~"y" then // end')], "id int, text string")
-    assert [(r["kind"], r["token"]) for r in routines.tokens(df, ["id"]).orderBy("position").collect()] == [("keyword", "if"), ("name", "a"), ("operator", "="), ("string", '"x~"y"'), ("keyword", "then"), ("comment", "// end")]
+    assert [(r["kind"], r["token"]) for r in routines.tokens(df, ["id"]).orderBy("position").collect()] == [("keyword", "if"), ("name", "a"), ("operator", "="), ("string", '"x~"y"'), ("keyword", "then"), ("line_comment", "// end")]
+
+
+def test_second_where_and_statements_over_lines(spark):
+    assert one(spark, "SELECT a FROM t WHERE x = 1 WHERE y = 2", sql_text.where_clause) == "x = 1"
+    assert one(spark, "SELECT a\n INTO :b\n FROM t;", sql_text.hardcoded_sql) and not one(spark, "select a;\nx from y", sql_text.hardcoded_sql)
+
+
+@pytest.mark.parametrize("sql, tables", [("select 1 from A a, b left join [c].[d] x on x.i = a.i where 1=1", ["a", "b", "c.d", "x"]), ('select 1 from "T"', ["t"]), ("select 1", [])])
+def test_from_list(spark, sql, tables):
+    assert one(spark, sql, sql_text.from_list) == tables
+
+
+def test_catches_on_their_lines(spark):
+    source = "try\nx()\ncatch (e)\nend try\ncatch of\n a long way to go\nend try\nCATCH (f)\nEnd Try"
+    df = spark.createDataFrame([("f", source), ("g", None), ("h", "")], "f string, text string")
+    assert sorted(r["line_no"] for r in rules.empty_catches(df, ["f"]).collect()) == [3, 8]
+
+
+def test_fixes_and_advice(spark):
+    long = "global long a\npublic function long of_a ()\n" + "x = 1\n" * 201 + "try\ncatch (e)\nend try\nend function\n"
+    df = spark.createDataFrame([("f", long, "window"), ("d", "SELECT * FROM t", "datawindow")], "f string, text string, kind string")
+    found = routines.routines(df, ["f"])
+    details, texts = rules.run_fixes(df, found, ["f"])
+    assert {(r["f"], r["rule"], r["applied"]) for r in details.collect()} == {("f", "fix_empty_catch", True), ("f", "fix_long_routine", False), ("d", "fix_select_star", False)}
+    assert texts.count() == 1 and tuple(rules.fix_counts(details).first()) == (1, 0, 2, 3)
+    assert rules.run_fixes(df, found, ["f"], config={"rules": {"enabled": None, "disabled": ["fix_empty_catch"]}, "thresholds": {"routine_lines": 500}})[0].count() == 1
+    none = df.limit(0).select(F.lit("").alias("rule"), "f")
+    assert [r["suggestion"] for r in rules.suggestions(none).collect()] == ["clean"]
