@@ -39,6 +39,20 @@ def test_language_of_held_out_documents(spark, docs):
     assert len(kept & set(range(300))) >= 295 and not kept & {900, 901, 902}
 
 
+def test_strange_texts_are_rejected(spark):
+    r = random.Random(12)
+    data = [(i, say(lang, 7000 + i, r.randint(1, 80)), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 200)]
+    model = language_id.train(spark.createDataFrame(data, SCHEMA))
+    strange = ["qzxv wkjq " * 20, "これは日本語の文章です。" * 8, "Это предложение написано на русском языке. " * 4, "asdf1234 jkl qwrt %%%% zxcv", "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300))]
+    docs = spark.createDataFrame(data + [(10_000 + i, t, None, "s") for i, t in enumerate(strange)], SCHEMA)
+    got = {x["doc_id"]: x for x in language_id.identify(docs, model).collect()}
+    assert not any(got[10_000 + i]["accepted"] for i in range(len(strange)))
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["accepted"] for i in held) >= 0.99 * len(held) and sum(got[i]["lang_pred"] == data[i][2] for i in held) >= 0.95 * len(held)
+    kept = {x["doc_id"] for x in language_id.keep_accepted(docs, model).collect()}
+    assert kept == {i for i, x in got.items() if x["accepted"]}
+
+
 def test_language_without_labels(spark, docs):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(bare, language_id.train(bare)).collect()} == {"und"}
