@@ -88,6 +88,26 @@ def chained(data):
         yield i, t, t[: len(t) - cut] + n[:cut], n
 
 
+def phrase_fingerprint(text):
+    """The fingerprint once more, from a plain set of phrases."""
+    phrases, now = set(), ""
+    for c in text:
+        now += c
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    bins, m = [None] * 64, (1 << 64) - 1
+    for w in phrases:
+        h = 0
+        for c in w:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & m
+        h = (h ^ h >> 31) * 0xD6E8FEB86659FD93 & m
+        h ^= h >> 32
+        k = h >> 58
+        bins[k] = h if bins[k] is None else min(bins[k], h)
+    return "".join("0000" if x is None else f"{x % 65535 + 1:04x}" for x in bins)
+
+
 def test_lz_chain(spark):
     data = [(i * 7 % 101, say("en", i % 40, 5 + i)) for i in range(60)] + [(500, ""), (501, "ab"), (502, "é" * 90), (503, "x" * 20_000)]
     docs = spark.createDataFrame([(*d, "en", "s") for d in data], SCHEMA).repartition(6)
@@ -97,7 +117,7 @@ def test_lz_chain(spark):
         a, b, c = map(lz_fingerprint.fingerprint, (t, edited, following))
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (lz_fingerprint.written(a), lz_fingerprint.written(b))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (lz_fingerprint.written(a), lz_fingerprint.written(b)) == tuple(map(phrase_fingerprint, (t, edited)))
         assert (r["near_edited"], r["near_next"]) == (lz_fingerprint.likeness(a, b), lz_fingerprint.likeness(a, c))
     plain = {r["doc_id"]: r["fingerprint"] for r in lz_fingerprint.fingerprints(docs).collect()}
     assert plain == {i: r["fingerprint"] for i, r in got.items()}
@@ -108,9 +128,27 @@ def test_lz_odd_tables(spark):
     assert lz_fingerprint.chained(odd).count() == 4 and lz_fingerprint.chained(odd.limit(0)).count() == 0
     alone = lz_fingerprint.chained(odd.where("doc_id is null")).first()
     assert alone["near_next"] == 1.0
-    df = spark.createDataFrame([(lz_fingerprint.written(lz_fingerprint.fingerprint(say("en", 1))), lz_fingerprint.written(lz_fingerprint.fingerprint(say("en", 1) + " more words here")))], "a string, b string")
-    estimate = df.select(lz_fingerprint.estimated_likeness(F.col("a"), F.col("b"))).first()[0]
-    assert abs(estimate - lz_fingerprint.likeness(lz_fingerprint.fingerprint(say("en", 1)), lz_fingerprint.fingerprint(say("en", 1) + " more words here"))) < 0.05
+
+
+def test_likeness_from_the_written_fingerprints(spark):
+    docs = spark.createDataFrame([(i, say("en", i % 9, 5 + i)) for i in range(40)] + [(90, ""), (91, None)], "doc_id long, text string")
+    got = lz_fingerprint.chained(docs)
+    again = got.withColumn("again", lz_fingerprint.estimated_likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).collect()
+    assert all(abs(r["again"] - r["near_edited"]) < 1e-12 for r in again) and len(again) == 42
+
+
+def test_lz_ids_of_any_type(spark):
+    data = [(f"doc-{i:04}", say("en", i, 5 + i % 7)) for i in range(80)] + [(None, say("de", i, 9)) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id string, text string").repartition(5)
+    got = lz_fingerprint.chained(docs, range_bytes=900).collect()
+    assert len(got) == 120
+    named = {r["doc_id"]: r for r in got if r["doc_id"]}
+    order = sorted((d for d in data if d[0]), reverse=True)
+    for (i, t), (_, following) in zip(order, order[1:]):
+        cut = len(t) // 3
+        assert named[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()
+    edits = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for _, t in data for _, n in data}
+    assert all(r["edited_sha256"] in edits for r in got) and len({r["edited_sha256"] for r in got}) == 120
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
