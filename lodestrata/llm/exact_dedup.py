@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, sent_if_small, text_of
+from .shared import discard, presence, saved, text_of, without
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 64
-#: Surviving (length, prefix) keys up to this many go to every task (32 MB at 16 bytes each).
-BROADCAST_KEYS = 2_000_000
 
 
 def digest(text: Column) -> Column:
@@ -23,9 +21,11 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Level one counts lengths, level two counts (length, hash of the first
     characters) within lengths that repeat, level three hashes the full text
-    of what is left. Every level counts with map-side aggregation, so a group
-    that holds a third of all rows is a handful of partial rows a task. The
-    text is never shuffled.
+    of what is left: rows whose (length, prefix) may be among those that
+    repeat, by a filter of bounded size; what passes by chance has a digest
+    of its own and is no group. Every level counts with map-side
+    aggregation, so a group that holds a third of all rows is a handful of
+    partial rows a task. The text is never shuffled.
 
     Null texts are empty texts. ``keep_id`` is the largest id of the group
     (null if all are null); ``group_size`` counts rows, repeated rows too. An
@@ -34,20 +34,21 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).select("id", "t", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix"))
     # As many rows as there are lengths, so Spark may broadcast them; else both sides move and skewed lengths are split.
     lengths = saved(keyed.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "lengths")
-    alive = saved(keyed.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix"), "prefixes")
-    if alive.count() <= BROADCAST_KEYS:
-        full = keyed.join(F.broadcast(alive), ["len", "prefix"], "left_semi").select("id", digest(F.col("t")).alias("digest"))
-    else:  # digests are far smaller than texts, so they are what moves
-        full = keyed.select("id", "len", "prefix", digest(F.col("t")).alias("digest")).join(alive, ["len", "prefix"], "left_semi").select("id", "digest")
-    return full.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    alive = saved(keyed.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("len", "prefix").alias("h")), "prefixes")
+    full = keyed.where(presence(alive)(F.xxhash64("len", "prefix"))).select("id", digest(F.col("t")).alias("digest"))
+    groups = saved(full.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    discard(lengths, alive)
+    return groups
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, ``keep_id, group_size, kept, digest``.
 
-    Of rows that repeat both id and text, one is kept.
+    Null texts are empty ones; a group whose ids are all null keeps one of
+    its rows. Of rows that repeat both id and text, one is kept. An empty
+    table gives no rows; columns besides the two are not read.
     """
-    groups = saved(copy_groups(docs, id_col, text_col), "groups")
+    groups = copy_groups(docs, id_col, text_col)
     rows = docs.select(F.col(id_col), digest(text_of(text_col)).alias("digest")).groupBy(id_col, "digest").agg(F.count("*").alias("repeats"))
     return (
         rows.join(groups, "digest", "left")
@@ -60,23 +61,20 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of equal texts: the one with the largest id.
 
     Rows go out as they came in, with all their columns. Only ids and hashes
-    are grouped. The list of dropped rows goes to every task if it is short;
-    beyond that the texts join it once.
+    are grouped; rows that stay are not moved, those that go are. Null texts
+    are empty ones; of rows that repeat both id and text one stays.
     """
-    keyed = docs.withColumn("__tie", F.xxhash64(text_of(text_col)))
     ids = docs.select(F.col(id_col).alias("id"), digest(text_of(text_col)).alias("digest"), F.xxhash64(text_of(text_col)).alias("tie"))
-    groups = saved(copy_groups(docs, id_col, text_col), "groups")
+    groups = copy_groups(docs, id_col, text_col)
     rows = ids.join(groups, "digest").groupBy("id", "digest", "tie", "keep_id").agg(F.count("*").alias("n"))
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    gone = saved(rows.where(~kept).select(F.col("id").alias("__id"), F.col("tie").alias("__t")).distinct(), "losers")
-    again = saved(rows.where(kept & (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("tie").alias("__t")).distinct(), "repeats")
-    same = lambda few: keyed[id_col].eqNullSafe(few["__id"]) & (keyed["__tie"] == few["__t"])
-    gone = sent_if_small(gone)
-    left = keyed.join(gone, same(gone), "left_anti")
+    gone = saved(rows.where(~kept).select("id", "tie").distinct(), "losers")
+    again = saved(rows.where(kept & (F.col("n") > 1)).select(F.xxhash64("id", "tie").alias("h")), "repeats")
+    keys = {"id": F.col(id_col), "tie": F.xxhash64(text_of(text_col))}
+    left = without(docs, gone, keys)
     if again.isEmpty():
-        return left.drop("__tie")
-    # Rows that repeat both id and text: one of them stays.
-    again = sent_if_small(again)
-    once = left.join(again, left[id_col].eqNullSafe(again["__id"]) & (left["__tie"] == again["__t"]), "left_anti")
-    few = left.join(again, left[id_col].eqNullSafe(again["__id"]) & (left["__tie"] == again["__t"]), "left_semi").dropDuplicates([id_col, "__tie"])
-    return once.unionByName(few).drop("__tie")
+        return left
+    # Rows that repeat both id and text: one of them stays. A row that passes the filter by chance has no equal and stays too.
+    marked = left.withColumn("__again", presence(again)(F.xxhash64(*keys.values()))).withColumn("__tie", keys["tie"])
+    few = marked.where("__again").dropDuplicates([id_col, "__tie"])
+    return marked.where(~F.col("__again")).unionByName(few).drop("__again", "__tie")

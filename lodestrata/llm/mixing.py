@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key, saved, sent_if_small, text_of
+from .shared import id_key, saved, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -17,6 +17,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 #: Sources that a mix may have; their table (a few dozen bytes each) goes to the driver and to every task.
 MAX_SOURCES = 100_000
+#: Single copies that go to every task; their number follows the sources, of which each has a few dozen at most.
+MOST_CHANGES = 500_000
 #: Documents of each source, size class and direction that may even out what rounding left.
 SPARES = 4
 
@@ -113,7 +115,9 @@ def _solved(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     plan = F.broadcast(spark.createDataFrame(rates, "__mix_s string, __mix_source_size long, __mix_target double, __mix_rate double"))
     none = spark.createDataFrame([], f"doc_id {dict(sized.dtypes)['doc_id']}, change long")
     rounded = _with_copies(sized, "doc_id", "source", plan, none, cap).select("doc_id", "source", "size", F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"))
-    return sized, plan, sent_if_small(saved(_even_out(rounded, cap), "changes"))
+    changes = saved(_even_out(rounded, cap), "changes")
+    # At most a few for each source, however many documents there are: sent to every task below a checked count.
+    return sized, plan, F.broadcast(changes) if changes.limit(MOST_CHANGES + 1).count() <= MOST_CHANGES else changes.hint("merge")
 
 
 def _with_copies(rows: DataFrame, id_col: str, source_col: str, plan: DataFrame, changes: DataFrame, cap: int) -> DataFrame:
@@ -160,7 +164,11 @@ def _even_out(rounded: DataFrame, cap: int) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; rows taken 0 times are left out. Texts stay where they are."""
+    """``docs`` with each row repeated as often as the mix takes it; rows taken 0 times are left out.
+
+    Rows keep all their columns, whatever their names; texts stay where they
+    are. Null ids and texts, repeated rows and empty tables as in :func:`mix`.
+    """
     _, plan, changes = _solved(docs, id_col, text_col, source_col, weights, share, cap)
     mixed = _with_copies(docs, id_col, source_col, plan, changes, cap).where("__mix_copies > 0")
     return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[mixed[c] for c in docs.columns])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,19 +45,63 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a saved table of ids, or of as little, that may go to every task (about 60 MB there).
-SENT_ROWS = 500_000
+#: Bits of a presence filter: 16 for each key, within these bounds (at most 8 MB).
+PRESENCE_BITS = (1 << 10, 1 << 26)
 
 
-def sent_if_small(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """A saved table marked for broadcast if it has at most ``rows`` rows, else for a sort-merge join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+def presence(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of a long column against ``keys``, a saved table of one long column.
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`saved` wrote and nothing needs any more."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+    False means that no key is equal; true that one is, or, by chance, that
+    none is (about 1 in 70). The filter's size is bounded: beyond its bound
+    more values pass by chance, and never does a key fail. So whoever uses it
+    looks exactly at what passes and leaves the rest where it is, at every
+    size of the table.
+    """
+    name, spark = keys.columns[0], keys.sparkSession
+    bits = 1 << max(PRESENCE_BITS[0].bit_length() - 1, min(PRESENCE_BITS[1].bit_length() - 1, (16 * keys.count()).bit_length()))
+    places = [F.col(name).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(bits - 1))]
+    spots = keys.select(F.explode(F.array(*places)).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(max(1, bits >> 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def present(values: pd.Series) -> pd.Series:
+        table, h = shared.value, values.to_numpy().astype(np.int64).view(np.uint64)
+        out = np.ones(len(h), bool)
+        for shift in (0, 32):
+            at = ((h >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
+            out &= (table[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(out)
+
+    return present
+
+
+def without(docs: DataFrame, gone: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` that no row of ``gone`` equals in all of ``by``, null equal to null.
+
+    ``by`` names the columns of ``gone``, a saved table, and gives the
+    expression over ``docs`` for each. Rows that the presence filter of
+    ``gone`` has not seen stay where they are; only the others, those that go
+    and a few more, are shuffled to be compared exactly.
+    """
+    mark, keys = F.xxhash64(*by.values()), gone.select(F.xxhash64(*by).alias("h"))
+    present = presence(keys)
+    rows = docs.withColumn("__doubt", present(mark))
+    listed = gone.select(*[F.col(n).alias(f"__gone_{n}") for n in by]).hint("merge")
+    doubtful = rows.where("__doubt").drop("__doubt")
+    same = F.lit(True)
+    for n, c in by.items():
+        same = same & c.eqNullSafe(F.col(f"__gone_{n}"))
+    return rows.where(~F.col("__doubt")).drop("__doubt").unionByName(doubtful.join(listed, same, "left_anti"))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`saved` wrote and nothing needs any more."""
+    spark = tables[0].sparkSession
+    for folder in {name.rpartition("/")[0] for df in tables for name in df.inputFiles()}:
         if "/lodestrata/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
