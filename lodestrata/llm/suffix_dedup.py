@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, saved, text_of
+from .shared import discard, pieces, presence, saved, text_of
 from .suffix_array import suffix_array
 
 #: Bytes of a string that may occur once only.
@@ -46,10 +46,10 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 
 def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all substrings of ``gram`` bytes, a power of two, by doubling."""
-    h, power, n = b.astype(np.uint64) + np.uint64(1), _P, 1
+    h, power, n = b.astype(np.uint64) + np.uint64(1), int(_P), 1
     while n < gram:
-        h = h[:-n] * power + h[n:]
-        power, n = power * power, 2 * n
+        h = h[:-n] * np.uint64(power) + h[n:]
+        power, n = power * power & 0xFFFFFFFFFFFFFFFF, 2 * n
     h ^= h >> np.uint64(32)
     h *= _Q
     h ^= h >> np.uint64(29)
@@ -137,9 +137,9 @@ def anchor_filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
             at = _slots(batch.column("anchor").to_numpy().view(np.uint64), bits)
             yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
-    rows = anchors.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = anchors.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(bits >> 6, np.int64)
-    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return table, bits
 
 
@@ -297,10 +297,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bins = rows.select("text").mapInArrow(_bins(broadcast(table), bits, length, gram, width), "core long, mark binary, top int, t0 int, left binary, right binary")
     bins = saved(bins.dropDuplicates(["mark", "core", "top"]), "bins")
     crowds = saved(bins.groupBy("core").agg(F.count("*").alias("bins")).where("bins > 1"), "crowds")
-    met = bins.join(crowds, "core")
-    few = met.where(F.col("bins") <= ARRAY_BINS).drop("bins")
+    # Bins of crowded cores do not meet by core, so no task gets all of them; what passes the filter by chance is counted exactly there too.
+    crowded_core = presence(saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded"))
+    bins = bins.withColumn("crowded", crowded_core(F.col("core")))
+    few = bins.where(~F.col("crowded")).join(crowds.where(F.col("bins") <= ARRAY_BINS).select("core"), "core").drop("crowded")
     arrays = few.repartition("core").sortWithinPartitions("core", "mark").mapInArrow(_arrays(width), "mark binary, a long, b long")
-    windows = saved(met.where(F.col("bins") > ARRAY_BINS).drop("bins").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
+    windows = saved(bins.where("crowded").drop("crowded").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
     twice = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
     crowded = windows.join(twice, "window").select("mark", "a", (F.col("a") + 1).alias("b"))
     ranges = saved(copies.unionByName(arrays).unionByName(crowded).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges")), "ranges")
@@ -336,7 +338,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = saved(spans.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "spans"), "spans")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["tie"] == spans["_tie"]), "left").select("doc_id", "text", "spans")
+    # Documents that lose nothing stay where they are; the others meet their spans.
+    marked = rows.withColumn("hit", presence(saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked"))(F.xxhash64("doc_id", "tie")))
+    hit = marked.where("hit")
+    met = hit.join(spans.hint("merge"), hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["tie"] == spans["_tie"]), "left").select("doc_id", "text", "spans")
+    joined = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast(dict(spans.dtypes)["spans"]).alias("spans")).unionByName(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
