@@ -4,7 +4,10 @@ Two fingerprints that differ in at most ``k`` bits, cut into ``k // 2 + 1``
 segments, agree in some segment but for at most one bit. So each segment is
 indexed once for every bit of it, with that bit blanked: segments that differ
 in one bit share the variant that blanks it, equal segments share them all.
-Variants meet by equality and the full distance is then verified.
+Variants meet by equality and the full distance is then verified. A variant
+that too many fingerprints share is not compared pair by pair: the bits that
+it leaves open are cut and indexed in the same way, again and again, until few
+enough share a key.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import pieces, saved, sent_if_small
+from .shared import discard, pieces, presence, saved, without
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -26,6 +29,8 @@ MAX_DISTANCE = 4
 SEED = 42
 #: Members of a variant that are compared inside one block.
 BLOCK = 1024
+#: Open bits from which a variant is not refined further; few fingerprints can share it then.
+LEAST_OPEN = 9
 #: Runs up to this length are compared by shifting whole columns.
 SHORT_RUN = 8
 
@@ -136,25 +141,95 @@ def _compare(distance: int):
     return run
 
 
+def _first_variants(fps: DataFrame, distance: int) -> DataFrame:
+    """``fp, key`` for every one-wildcard variant of a whole fingerprint."""
+    return fps.select("fp", F.explode(variant_keys(F.col("fp"), distance)).alias("key"))
+
+
+def _opened(members: DataFrame, distance: int) -> DataFrame:
+    """Members of first variants with the bits that these leave open, packed, as ``rest`` and ``width``."""
+    cuts = segments(distance)
+    blanked = F.shiftrightunsigned("key", max(n for _, n in cuts))
+    rest, width = F.lit(None).cast("long"), F.lit(None).cast("int")
+    for first, n in cuts:
+        here = (blanked >= first) & (blanked < first + n)
+        low, high = F.col("fp").bitwiseAND(F.lit((1 << first) - 1)), F.shiftleft(F.shiftrightunsigned("fp", first + n), first) if first + n < BITS else F.lit(0).cast("long")
+        rest, width = F.when(here, low.bitwiseOR(high)).otherwise(rest), F.when(here, BITS - n).otherwise(width)
+    return members.withColumn("rest", rest).withColumn("width", width)
+
+
+def _refined(members: DataFrame, distance: int) -> DataFrame:
+    """Members of a key under all one-wildcard variants of their open bits, with what these leave open."""
+    k = distance // 2 + 1
+    at = members.withColumn("bit", F.explode(F.expr("sequence(0, width - 1)"))).withColumn("part", F.expr(f"CAST(bit * {k} DIV width AS INT)"))
+    at = at.withColumn("first", F.expr(f"CAST((part * width + {k - 1}) DIV {k} AS INT)")).withColumn("after", F.expr(f"CAST(((part + 1) * width + {k - 1}) DIV {k} AS INT)"))
+    value = F.expr("shiftrightunsigned(rest, first) & (shiftleft(1L, after - first) - 1) & ~shiftleft(1L, bit - first)")
+    left = F.expr("(rest & (shiftleft(1L, first) - 1)) | shiftleft(shiftrightunsigned(rest, after), first)")
+    return at.select(F.xxhash64("key", "bit", value).alias("key"), "fp", left.alias("rest"), F.expr("width - after + first").alias("width"), "label", "tester")
+
+
+def _cells(members: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """``cell, fp``: keys of up to ``block`` members whole, larger ones in cells of about so many, each with the key's least member."""
+    sized = members.join(shared.where("n > 2").select("key", "a", F.ceil(F.col("n") / block).alias("cells")), "key")
+    own = sized.select(F.xxhash64("key", F.pmod(F.xxhash64("fp"), "cells")).alias("cell"), "fp")
+    leading = shared.where(F.col("n") > block).select("key", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("of"))
+    return own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("a").alias("fp")))
+
+
+def _linked(cells: DataFrame, distance: int) -> DataFrame:
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(distance), "a long, b long")
+
+
 def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp`` within ``distance`` bits.
 
     They connect exactly what all such pairs connect, without listing all
-    pairs: a variant with two members is read off its minimum and maximum; a
-    larger one is compared in one block and gives one link a member at most; a
-    variant beyond ``block`` members is cut into blocks, and every pair of
-    blocks is a cell of its own, so no task meets an unbounded group and no
-    pair is lost.
+    pairs: a variant with two members is read off its minimum and maximum, and
+    one with up to ``block`` members is compared in one cell and gives one
+    link a member at most.
+
+    A more crowded variant is compared in cells of about ``block`` members
+    that share its least member, which connects dense groups. Where its
+    members are still in several parts then, they go on to the variants of
+    the bits that are open, and of those only to such as hold a member
+    outside the largest part and another part. Rows grow with the members,
+    not with their pairs. When few bits are open, the members outside the
+    largest part meet all others in pairs of cells.
     """
-    variants = fps.select("fp", F.explode(variant_keys(F.col("fp"), distance)).alias("key"))
-    shared = saved(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
-    pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
-    many = shared.where("n > 2").select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    members = variants.join(many, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    cells = members.select("fp", "key", "blocks", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(distance), "a long, b long")
-    return pairs.unionByName(found)
+    level = _first_variants(fps, distance)
+    shared = saved(level.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    links = saved(shared.where((F.col("n") == 2) & near).select("a", "b").unionByName(_linked(_cells(level, shared, block), distance)), "links")
+    crowded = shared.where(F.col("n") > block).select("key")
+    if crowded.isEmpty():
+        return links
+    members = saved(_opened(level.join(crowded, "key"), distance), "members")
+    while True:
+        roots = saved(connected_components(links), "parts")
+        named = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "rest", "width", F.coalesce("root", "fp").alias("label"))
+        counted = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
+        open_ = saved(named.join(counted.where("others > 0"), "key").withColumn("tester", F.col("label") != F.col("main")), "open")
+        if open_.isEmpty():
+            return links
+        last = open_.where(F.col("width") <= LEAST_OPEN)
+        deeper = _refined(open_.where(F.col("width") > LEAST_OPEN), distance)
+        kept = deeper.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("tester").alias("tested"), F.min("label").alias("low"), F.max("label").alias("high"))
+        kept = saved(kept.where("n > 1 and tested and low <> high").select("key", "n", "a", "b"), "variants")
+        found = kept.where((F.col("n") == 2) & near).select("a", "b").unionByName(_linked(_cells(deeper.select("key", "fp"), kept, block), distance)).unionByName(_linked(_pairs_of_cells(last, block), distance))
+        links = saved(links.unionByName(found).distinct(), "links")
+        crowded = kept.where(F.col("n") > block).select("key")
+        if crowded.isEmpty():
+            return links
+        members = saved(deeper.join(crowded, "key").select("key", "fp", "rest", "width"), "members")
+
+
+def _pairs_of_cells(members: DataFrame, block: int) -> DataFrame:
+    """``cell, fp``: members outside a key's largest part meet all its members, cell by cell."""
+    sized = members.withColumn("i_cells", F.ceil(F.col("all") / block)).withColumn("j_cells", F.ceil(F.col("others") / block))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = sized.withColumn("i", F.pmod(F.xxhash64("fp"), "i_cells")).withColumn("j", upto("j_cells"))
+    testing = sized.where("tester").withColumn("i", upto("i_cells")).withColumn("j", F.pmod(F.xxhash64("fp", F.lit(1)), "j_cells"))
+    return met.unionByName(testing).select(F.xxhash64("key", "i", "j").alias("cell"), "fp").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -170,7 +245,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     links = near_links(nodes.select("fp"), distance)
-    roots = saved(connected_components(links), "components")
+    roots = connected_components(links)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = saved(named.join(least, "root").select("fp", "component_id"), "labels")
@@ -267,6 +342,11 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bucket of several cells are still not connected then, all outside its
     largest part meet every member. So a connected group of any size gives a
     few rows a document, and no pair of a bucket is left out.
+
+    Null ids are left out; null texts are empty ones, and all texts without
+    words are one set; fewer words than a shingle has are one shingle. Rows
+    that repeat an id with another text count under that id. An empty table
+    gives no links; other columns are not read.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)[id_col]
@@ -291,8 +371,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = buckets.where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "least", F.ceil(F.col("n") / CELL).alias("cells"))
     buckets = saved(buckets, "buckets")
     members = saved(keys.join(buckets.select("key", "cells"), "key"), "members")
-    wanted = saved(members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("first").alias("doc_id")).distinct(), "wanted")
-    sets = saved(base.join(sent_if_small(wanted), "doc_id", "left_semi").mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
+    # One document of each set is read again; what passes the filter by chance brings sets that meet no bucket.
+    wanted = saved(members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.xxhash64("first").alias("h")), "wanted")
+    sets = saved(base.where(presence(wanted)(F.xxhash64("doc_id"))).mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
 
     def verified(cells: DataFrame) -> DataFrame:
         held = cells.join(sets.hint("merge"), "node").select("cell", "node", "label", "tester", "hashes")
@@ -322,10 +403,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents are in one group if their fingerprints link them as in
     :func:`near_groups`, or their shingles as in :func:`similar_links`.
-    Documents with a null id stay. Rows keep all their columns.
+    Documents with a null id stay, and of repeated rows all do if their id
+    does; documents without words are copies of each other. Rows keep all
+    their columns, whatever their names, and an empty table stays empty.
     """
     groups = near_groups(docs, id_col, text_col, words, distance)
     links = groups.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     roots = connected_components(links.unionByName(similar_links(docs, id_col, text_col)))
-    gone = sent_if_small(saved(roots.where("node <> root").select(F.col("node").alias("__id")).distinct(), "near_losers"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    gone = saved(roots.where("node <> root").select(F.col("node").alias("id")).distinct(), "near_losers")
+    return without(docs, gone, {"id": F.col(id_col)})

@@ -73,19 +73,34 @@ def test_near_groups(spark, docs, distance, block, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted([(i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, expected)], key=key)
 
 
+def connected_by(spark, fps, **settings):
+    """Whether links connect the fingerprints exactly as all pairs within four bits do."""
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = near_dedup.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), **settings)
+    assert all(bin((r["a"] ^ r["b"]) & ((1 << 64) - 1)).count("1") <= 4 for r in links.collect())
+    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    got = [roots.get(s, s) for s in signed]
+    expected = groups(list(range(len(fps))), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
+    return len(set(zip(got, expected))) == len(set(got)) == len(set(expected))
+
+
 def test_links_of_random_fingerprints(spark):
     r = random.Random(1)
     fps = []
     for _ in range(60):
         x = r.getrandbits(64)
         fps += [x] + [x ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3, 4, 5, 6)]
-    fps = sorted(set(fps))
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = near_dedup.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"))
-    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
-    got = [roots.get(s, s) for s in signed]
-    expected = groups(list(range(len(fps))), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
-    assert len(set(zip(got, expected))) == len(set(got)) == len(set(expected))
+    assert connected_by(spark, sorted(set(fps)))
+
+
+def test_links_of_crowded_fingerprints(spark):
+    """Many fingerprints with one leading segment: parts that are dense, parts that are far apart, and pairs across."""
+    r, fps = random.Random(7), []
+    for _ in range(40):
+        x = r.getrandbits(42)
+        fps += [x] + [x ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 3, 4, 6)]
+    fps += [(1 << 42) - 1 ^ 1 << a ^ 1 << b for a in range(12) for b in range(a)]
+    assert connected_by(spark, sorted(set(fps)), block=16)
 
 
 def test_components(spark):
