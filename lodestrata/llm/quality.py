@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import joined_sample
+from .samples import MAX_SAMPLE_CHARS, joined_sample
 from .shared import fold, pieces
 
 WORD_BUCKETS = 1 << 15
@@ -117,20 +117,31 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.05, dec
     return QualityModel(mean, scale, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> QualityModel:
-    """A model from a bounded sample of labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL, max_chars: int = MAX_SAMPLE_CHARS) -> QualityModel:
+    """A model from a bounded sample of labelled documents outside the held-out fold: about ``per_label`` a label, of ``max_chars`` at most.
+
+    Null labels, ids and texts teach nothing; of several labels of one id the
+    larger counts. Labels other than 0 and 1 are an error. Without two labels
+    the model is a constant: the only label, or one half.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    priors = {int(r[0]): r[1] for r in marks.where(fold(id_col) != 0).groupBy("_label").count().limit(10).collect()}
-    return fit(joined_sample(docs, marks, "_label", per_label, id_col, text_col), priors=priors)
+    counts = marks.where(fold(id_col) != 0).groupBy("_label").count().limit(3).collect()
+    if {int(r[0]) for r in counts} - {0, 1}:
+        raise ValueError(f"{label_col} has other values than 0 and 1")
+    return fit(joined_sample(docs, marks, "_label", per_label, id_col, text_col, max_chars), priors={int(r[0]): r[1] for r in counts})
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: ``doc_id, score``, from the whole text alone.
 
-    Null texts score as empty ones. Repeated rows give repeated rows.
+    Null texts score as empty ones, and very long ones whole, one at a time.
+    Repeated rows give repeated rows, null ids stay null, an empty table
+    gives none; other columns are not read.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in pieces(batches):
             scores = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])

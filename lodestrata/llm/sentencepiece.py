@@ -6,11 +6,13 @@ matrix and advance together, position by position, over the lattice of pieces
 that end there. Substring hashes find pieces by binary search in the sorted
 hashes of the vocabulary.
 
-A unigram model scores paths by the sum of piece scores. A BPE model has no
-such sum: it merges neighbours in order of score. But its result is the one
-path on which any two neighbouring pieces, taken alone, would stay as they
-are; so for BPE only such arcs are admitted, and the path that survives is
-exactly the model's own segmentation.
+At every position the best arc of each row is a maximum over the lengths of
+the pieces that end there, stored as a backpointer. A unigram model's best
+path is the one with the greatest sum of piece scores. A BPE model merges
+neighbours in order of score, so its result is the one path on which any two
+neighbouring pieces, taken alone, would stay as they are; for BPE only such
+arcs enter the maximum, and the path it leaves is exactly the model's own
+segmentation.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ SPACE = "▁"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Longer segments are merged one at a time; their number of positions would rule a batch.
 LONG_SEGMENT = 256
-#: Distinct segments that a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct segments, and their characters, that a worker remembers before it starts anew.
+REMEMBERED = 250_000
+REMEMBERED_CHARS = 4_000_000
 _NEVER = np.int32(2**31 - 1)
 #: Spreads hashes of short strings over all leading bits.
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -253,18 +256,15 @@ class PieceModel:
                 need = np.flatnonzero((i - 1 - n > 0) & (prev >= 0))
                 ok = np.ones(len(n), bool)
                 ok[need] = self.stable(prev[need], piece[need])
-                order = np.flatnonzero(ok)
-                last[row[order], i] = piece[order]
-                back[row[order], i] = n[order] + 1
-            else:
-                value = np.full((min(top, i), rows), -np.inf)
-                value[n, row] = best[row, i - 1 - n] + self.score[piece]
-                pick, all_rows = value.argmax(axis=0), np.arange(rows)
-                top_value = value[pick, all_rows]
-                known = np.isfinite(top_value)
-                best[:, i] = np.where(known, top_value, best[:, i - 1] + floor)
-                last[known, i] = arcs[pick[known], all_rows[known], i]
-                back[known, i] = pick[known] + 1
+                n, row, piece = n[ok], row[ok], piece[ok]
+            value = np.full((min(top, i), rows), -np.inf)
+            value[n, row] = best[row, i - 1 - n] + self.score[piece]
+            pick, all_rows = value.argmax(axis=0), np.arange(rows)
+            top_value = value[pick, all_rows]
+            known = np.isfinite(top_value)
+            best[:, i] = np.where(known, top_value, best[:, i - 1] + floor)
+            last[known, i] = arcs[pick[known], all_rows[known], i]
+            back[known, i] = pick[known] + 1
         return last, back
 
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,6 +344,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, new: list[str]) -> None:
@@ -375,7 +376,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: the ids of all texts in a row, and where each text's start."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self._forget()
         known, cut = self.known, self.cut.findall
         docs = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -383,6 +384,7 @@ class Encoder:
         new = [s for s in dict.fromkeys(segments) if s not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.held += sum(map(len, new))
             self._learn(new)
         codes = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
         sizes = self.sizes[codes]
@@ -412,8 +414,8 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     ``decoded_sha256`` is of the text that decoding ``ids`` gives; the two
     digests agree unless the text itself holds the escape U+2581. Null texts
     are empty texts and have no ids. Whole texts are encoded, also very long
-    ones; repeated rows give repeated rows; an empty table gives none. The
-    vocabulary is the only thing broadcast.
+    ones; repeated rows give repeated rows; an empty table gives none. Other
+    columns are not read. The vocabulary is the only thing broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"state": model.state()})
 
