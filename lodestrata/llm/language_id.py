@@ -25,7 +25,7 @@ UNKNOWN = "und"
 KNOWN_BITS = 20
 #: Share of rightly named calibration texts that may fall below twice the rejection threshold.
 FALSE_REJECTION = 0.005
-#: Calibration texts that a language needs before any text of it is rejected as strange.
+#: Calibration texts from which a language is judged by its own; half as many of all languages must there be to reject any text as strange.
 LEAST_CALIBRATION = 20
 #: Deviations of a subword that a text may be stranger than the strangest calibration text.
 SLACK = 0.75
@@ -175,14 +175,16 @@ def _calibrate(model: LanguageModel, kept: list[tuple[np.ndarray, int]]) -> None
         return
     model.threshold = 0.5 * float(np.quantile(p.max(axis=1)[right], FALSE_REJECTION))
     model.usual = np.full((len(model.languages), 3), [0.0, 0.0, np.inf])
+    known = [(familiarity(h, model.known), h, b) for (h, b), r in zip(kept, right) if r and len(h)]
     for k in range(len(model.languages)):
-        mine = [h for (h, b), r in zip(kept, right) if b == k and r and len(h)]
-        if len(mine) < LEAST_CALIBRATION:
-            continue  # too few texts to tell strange ones from: none of this language is rejected as strange
-        each = [familiarity(h, model.known) for h in mine]
-        model.usual[k, 0] = np.mean([f.mean(dtype=np.float64) for f in each])
-        model.usual[k, 1] = np.mean([f.std(dtype=np.float64) for f in each])
-        worst = max(model.strangeness(h, k) for h in mine)
+        # A language with few calibration texts is judged by those of all languages.
+        mine = [x for x in known if x[2] == k]
+        mine = mine if len(mine) >= LEAST_CALIBRATION else known
+        if len(mine) < LEAST_CALIBRATION // 2:
+            continue  # too few to tell strange texts from: none is rejected as strange
+        model.usual[k, 0] = np.mean([f.mean(dtype=np.float64) for f, _, _ in mine])
+        model.usual[k, 1] = np.mean([f.std(dtype=np.float64) for f, _, _ in mine])
+        worst = max(model.strangeness(h, k) for _, h, _ in mine)
         model.usual[k, 2] = max(0.0, worst) + SLACK * model.usual[k, 1]
 
 
