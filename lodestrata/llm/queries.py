@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, exact_dedup, language_id, lz_fingerprint, mixing, near_dedup, pii, quality, sentencepiece, suffix_dedup
 from .shared import fold
 
@@ -72,12 +70,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_simhash_near_dedup, op2_exact_dedup, op3_chat_formatting, op4_lz_fingerprints, op5_suffix_dedup, op6_pii, op7_language_id, op8_sentencepiece, op9_quality_classifier, op10_mixing)
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in numbered}
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL}
 
 
 OP2_SQL = """
