@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, saved, text_of
+from .shared import discard, pieces, saved, text_of
 
 #: Bins of a fingerprint, each keeping the least hash that falls into it, and bits kept of each.
 BINS = 64
@@ -184,6 +184,7 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     ranged = lambda df: df.withColumn("range", F.when(F.col("id").isNull(), spread).otherwise(range_of("id")))
     # The largest document of each range goes to the next range that has any, as the neighbour of the smallest there.
     tops = saved(ranged(keys).groupBy("range").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("top")), "tops")
+    discard(keys)
     order = sorted(r[0] for r in tops.select("range").collect())  # at most twice MOST_RANGES numbers
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not order:

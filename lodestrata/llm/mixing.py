@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key, saved, text_of
+from .shared import discard, id_key, saved, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -111,6 +111,7 @@ def _solved(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     totals = sorted((r for r in totals), key=lambda r: (r[0] is None, r[0] or ""))
     targets = water_fill([r[1] for r in totals], weights, share, cap)
     lam = balance(table, {r[0]: t for r, t in zip(totals, targets)})
+    discard(table)
     rates = [(r[0], r[1], t, min(float(cap), round(math.exp(lam[r[0]]), 9)) if lam[r[0]] > -math.inf else 0.0) for r, t in zip(totals, targets)]
     plan = F.broadcast(spark.createDataFrame(rates, "__mix_s string, __mix_source_size long, __mix_target double, __mix_rate double"))
     none = spark.createDataFrame([], f"doc_id {dict(sized.dtypes)['doc_id']}, change long")

@@ -202,25 +202,32 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK)
     links = saved(shared.where((F.col("n") == 2) & near).select("a", "b").unionByName(_linked(_cells(level, shared, block), distance)), "links")
     crowded = shared.where(F.col("n") > block).select("key")
     if crowded.isEmpty():
+        discard(shared)
         return links
     members = saved(_opened(level.join(crowded, "key"), distance), "members")
+    discard(shared)
     while True:
         roots = saved(connected_components(links), "parts")
         named = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "rest", "width", F.coalesce("root", "fp").alias("label"))
         counted = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
         open_ = saved(named.join(counted.where("others > 0"), "key").withColumn("tester", F.col("label") != F.col("main")), "open")
+        discard(members, roots)
         if open_.isEmpty():
+            discard(open_)
             return links
         last = open_.where(F.col("width") <= LEAST_OPEN)
         deeper = _refined(open_.where(F.col("width") > LEAST_OPEN), distance)
         kept = deeper.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("tester").alias("tested"), F.min("label").alias("low"), F.max("label").alias("high"))
         kept = saved(kept.where("n > 1 and tested and low <> high").select("key", "n", "a", "b"), "variants")
         found = kept.where((F.col("n") == 2) & near).select("a", "b").unionByName(_linked(_cells(deeper.select("key", "fp"), kept, block), distance)).unionByName(_linked(_pairs_of_cells(last, block), distance))
-        links = saved(links.unionByName(found).distinct(), "links")
+        before, links = links, saved(links.unionByName(found).distinct(), "links")
+        discard(before)
         crowded = kept.where(F.col("n") > block).select("key")
         if crowded.isEmpty():
+            discard(open_, kept)
             return links
         members = saved(deeper.join(crowded, "key").select("key", "fp", "rest", "width"), "members")
+        discard(open_, kept)
 
 
 def _pairs_of_cells(members: DataFrame, block: int) -> DataFrame:
@@ -249,6 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = saved(named.join(least, "root").select("fp", "component_id"), "labels")
+    discard(nodes, links, roots)
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -383,6 +391,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leading = buckets.where("cells > 1").select("key", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("of"))
     first_cells = own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("least").alias("node")))
     links = verified(first_cells.select("cell", "node", F.col("node").alias("label"), F.lit(True).alias("tester")))
+    done = [rows, nodes, buckets, members, wanted, sets, links]
     if not buckets.where("cells > 1").isEmpty():
         roots = saved(connected_components(links), "similar_roots").withColumnRenamed("root", "label")
         parts = saved(members.where("cells > 1").join(roots, "node", "left").select("key", "cells", "node", F.coalesce("label", "node").alias("label")), "parts")
@@ -393,9 +402,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         testing = split.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
         more = verified(met.unionByName(testing).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "label", "tester"))
         links = links.unionByName(more)
+        done += [roots, parts, more]
     named = lambda c, first: nodes.select(F.col("node").alias(c), F.col("first").alias(first))
     ends = links.distinct().join(named("a", "p"), "a").join(named("b", "q"), "b").where("p <> q")
-    return equal.unionByName(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+    found = saved(equal.unionByName(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct(), "similar_links")
+    discard(*done)
+    return found
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -409,6 +421,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = near_groups(docs, id_col, text_col, words, distance)
     links = groups.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    roots = connected_components(links.unionByName(similar_links(docs, id_col, text_col)))
+    similar = similar_links(docs, id_col, text_col)
+    roots = connected_components(links.unionByName(similar))
     gone = saved(roots.where("node <> root").select(F.col("node").alias("id")).distinct(), "near_losers")
+    discard(groups, similar, roots)
     return without(docs, gone, {"id": F.col(id_col)})
