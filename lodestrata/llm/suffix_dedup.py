@@ -33,6 +33,9 @@ GRAM = 32
 BIN = 32
 #: Bins with one core that one suffix array takes; beyond it, windows are counted by hash over all tasks.
 ARRAY_BINS = 400
+#: Contexts that have a window before its rows are dealt over ``SALTS`` tasks.
+HOT_WINDOW = 500
+SALTS = 32
 #: Symbols that go into one suffix array, if one core's bins leave room for more.
 ARRAY_SYMBOLS = 1 << 16
 #: Bits of the filter of anchors: 32 for each, within these bounds (1 MB to 128 MB).
@@ -299,13 +302,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowds = saved(bins.groupBy("core").agg(F.count("*").alias("bins")).where("bins > 1"), "crowds")
     # Bins of crowded cores do not meet by core, so no task gets all of them; what passes the filter by chance is counted exactly there too.
     crowded_core = presence(saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded"))
-    bins = bins.withColumn("crowded", crowded_core(F.col("core")))
-    few = bins.where(~F.col("crowded")).join(crowds.where(F.col("bins") <= ARRAY_BINS).select("core"), "core").drop("crowded")
+    marked = bins.withColumn("crowded", crowded_core(F.col("core")))
+    few = marked.where(~F.col("crowded")).join(crowds.where(F.col("bins") <= ARRAY_BINS).select("core"), "core").drop("crowded")
     arrays = few.repartition("core").sortWithinPartitions("core", "mark").mapInArrow(_arrays(width), "mark binary, a long, b long")
-    windows = saved(bins.where("crowded").drop("crowded").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
-    crowded = windows.join(twice, "window").select("mark", "a", (F.col("a") + 1).alias("b"))
+    windows = saved(marked.where("crowded").drop("crowded").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
+    twice = saved(windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1"), "twice")
+    # Windows that very many contexts have meet their row over several tasks; what passes the filter by chance does so too.
+    hot = presence(saved(twice.where(F.col("times") > HOT_WINDOW).select(F.xxhash64("window").alias("h")), "hot"))(F.xxhash64("window"))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = windows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).otherwise(0))
+    crowded = spread.join(twice.select("window", F.explode(salts).alias("salt")), ["window", "salt"]).select("mark", "a", (F.col("a") + 1).alias("b"))
     ranges = saved(copies.unionByName(arrays).unionByName(crowded).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges")), "ranges")
+    discard(repeated, sized, open_, bins, crowds, windows, twice)
     placed = found.select("doc_id", "tie", "places", "mark").join(ranges, "mark")
     each = placed.select("doc_id", "tie", F.explode("places").alias("place"), "ranges").select("doc_id", "tie", "place", F.explode("ranges").alias("r"))
     return each.select("doc_id", "tie", (F.col("place") + F.col("r.a")).alias("start"), (F.col("place") + F.col("r.b") + (length - 1)).alias("end"))
@@ -335,8 +343,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes. An empty table gives no rows.
     """
     id_type = dict(docs.dtypes)[id_col]
-    spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = repeated_spans(docs, id_col, text_col, length, gram)
+    spans = found.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = saved(spans.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "spans"), "spans")
+    discard(found)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     # Documents that lose nothing stay where they are; the others meet their spans.
     marked = rows.withColumn("hit", presence(saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked"))(F.xxhash64("doc_id", "tie")))

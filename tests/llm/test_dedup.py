@@ -240,6 +240,7 @@ def test_suffix_array():
 @pytest.mark.parametrize("length, gram, crowd", [(40, 16, 400), (40, 16, 2), (200, 32, 400)])
 def test_repeats_against_every_window(spark, docs, length, gram, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ARRAY_BINS", crowd)
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOW", 5)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 2000)
     rows = [(i, (t or "").encode()) for i, t in corpus()]
     times = {}
