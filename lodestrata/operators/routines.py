@@ -21,7 +21,9 @@ _EDITOR_EVENT = re.compile(r"on\s+(\w+\.\w+)\s*(?:\(([^)]*)\))?", re.I)
 _SKIP, _SKIP_END = re.compile(r"(?:forward|type)\s+prototypes\b", re.I), re.compile(r"end\s+prototypes\b", re.I)
 
 ROUTINE_SCHEMA = "name string, access string, return_type string, is_event boolean, arguments array<string>, script string, line_start int, line_end int"
-VARIABLE = r"(?im)^[ \t]*(public|protected|private|instance|shared|global)[ \t]+([\w\[\]]+)[ \t]+([\w\[\]]+)(?:[ \t]*=[ \t]*([^;\n]+))?[ \t]*;?[ \t]*$"
+# Words that a variable's declaration begins with, and second words of other declarations: fixed forms of the language.
+ACCESS = ("public", "protected", "private", "instance", "shared", "global")
+NO_DATA_TYPES = ("subroutine", "function", "type")
 
 
 def routines_of(text: str, editor: bool = False) -> Iterator[dict]:
@@ -76,9 +78,12 @@ def variables(sources: DataFrame, keys: list[str], text_col: str = "text") -> Da
     """Declarations in front of the first routine: ``access, data_type, name, initial_value``."""
     plain = F.regexp_replace(text_col, r"(?is)\b(?:forward|type)\s+prototypes\b.*?\bend\s+prototypes\b", "")
     header = F.regexp_extract(plain, r"(?ism)\A(.*?)(?=^[ \t]*(?:(?:public|protected|private|global)\s+(?:subroutine|function)\s|(?:event|on)\s+\w)|\z)", 1)
-    found = sources.select(*keys, F.explode(F.regexp_extract_all(header, F.lit(VARIABLE), 0)).alias("v"))
-    part = lambda i: F.regexp_extract("v", VARIABLE, i)
-    return found.select(*keys, F.lower(part(1)).alias("access"), part(2).alias("data_type"), part(3).alias("name"), F.trim(part(4)).alias("initial_value")).where("lower(data_type) not in ('subroutine', 'function', 'type')")
+    # A declaration is three words, the first an access, before the equals sign if there is one.
+    rows = sources.select(*keys, F.explode(F.split(header, "\r?\n")).alias("_line")).select(*keys, F.rtrim(F.col("_line"), F.lit("; \t")).alias("_line"))
+    split = rows.select(*keys, F.split(F.trim(F.substring_index("_line", "=", 1)), r"[ \t]+").alias("_w"), F.when(F.col("_line").contains("="), F.trim(F.substring("_line", F.locate("=", F.col("_line")) + 1, F.char_length("_line")))).otherwise("").alias("initial_value"))
+    named = lambda i: F.get("_w", i).rlike(r"^[\w\[\]]+$")
+    held = (F.size("_w") == 3) & F.lower(F.get("_w", 0)).isin(*ACCESS) & named(1) & named(2) & ~F.lower(F.get("_w", 1)).isin(*NO_DATA_TYPES)
+    return split.where(held).select(*keys, F.lower(F.get("_w", 0)).alias("access"), F.get("_w", 1).alias("data_type"), F.get("_w", 2).alias("name"), "initial_value")
 
 
 # Token classes in the order they are tried: fixed forms of the language. White space parts tokens and is none.
