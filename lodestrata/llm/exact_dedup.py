@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, presence, saved, text_of, without
+from .shared import discard, flagged, saved, text_of, without
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 64
@@ -35,7 +35,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # As many rows as there are lengths, so Spark may broadcast them; else both sides move and skewed lengths are split.
     lengths = saved(keyed.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "lengths")
     alive = saved(keyed.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("len", "prefix").alias("h")), "prefixes")
-    full = keyed.where(presence(alive)(F.xxhash64("len", "prefix"))).select("id", digest(F.col("t")).alias("digest"))
+    full = flagged(keyed, F.xxhash64("len", "prefix"), alive, "alive").where("alive").select("id", digest(F.col("t")).alias("digest"))
     groups = saved(full.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     discard(lengths, alive)
     return groups
@@ -75,6 +75,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if again.isEmpty():
         return left
     # Rows that repeat both id and text: one of them stays. A row that passes the filter by chance has no equal and stays too.
-    marked = left.withColumn("__again", presence(again)(F.xxhash64(*keys.values()))).withColumn("__tie", keys["tie"])
+    marked = flagged(left, F.xxhash64(*keys.values()), again, "__again").withColumn("__tie", keys["tie"])
     few = marked.where("__again").dropDuplicates([id_col, "__tie"])
     return marked.where(~F.col("__again")).unionByName(few).drop("__again", "__tie")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, pieces, presence, saved, without
+from .shared import discard, flagged, pieces, saved, without
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -381,7 +381,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = saved(keys.join(buckets.select("key", "cells"), "key"), "members")
     # One document of each set is read again; what passes the filter by chance brings sets that meet no bucket.
     wanted = saved(members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.xxhash64("first").alias("h")), "wanted")
-    sets = saved(base.where(presence(wanted)(F.xxhash64("doc_id"))).mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
+    sets = saved(flagged(base, F.xxhash64("doc_id"), wanted, "wanted").where("wanted").select("doc_id", "text").mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
 
     def verified(cells: DataFrame) -> DataFrame:
         held = cells.join(sets.hint("merge"), "node").select("cell", "node", "label", "tester", "hashes")

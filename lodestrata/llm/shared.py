@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,38 +43,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a presence filter: 16 for each key, within these bounds (at most 8 MB).
+#: Bits of a presence filter: 16 for each key, within these bounds (at most a million words of 64).
 PRESENCE_BITS = (1 << 10, 1 << 26)
 
 
-def presence(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test of a long column against ``keys``, a saved table of one long column.
+def flagged(rows: DataFrame, mark: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: whether ``keys``, a saved table of one long column, has ``mark``.
 
     False means that no key is equal; true that one is, or, by chance, that
-    none is (about 1 in 70). The filter's size is bounded: beyond its bound
-    more values pass by chance, and never does a key fail. So whoever uses it
-    looks exactly at what passes and leaves the rest where it is, at every
-    size of the table.
+    none is (about 1 in 70). The filter's bits, two for each key, lie in a
+    table of at most a million words that goes to every task: beyond that
+    bound more rows pass by chance, and never does a key fail. So whoever
+    uses it looks exactly at what passes and leaves the rest where it is, at
+    every size of the table.
     """
-    name, spark = keys.columns[0], keys.sparkSession
+    key = F.col(keys.columns[0])
     bits = 1 << max(PRESENCE_BITS[0].bit_length() - 1, min(PRESENCE_BITS[1].bit_length() - 1, (16 * keys.count()).bit_length()))
-    places = [F.col(name).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(bits - 1))]
-    spots = keys.select(F.explode(F.array(*places)).alias("at"))
-    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
-    table = np.zeros(max(1, bits >> 6), np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def present(values: pd.Series) -> pd.Series:
-        table, h = shared.value, values.to_numpy().astype(np.int64).view(np.uint64)
-        out = np.ones(len(h), bool)
-        for shift in (0, 32):
-            at = ((h >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
-            out &= (table[at >> 6] >> (at & 63)) & 1 == 1
-        return pd.Series(out)
-
-    return present
+    places = lambda h: (h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+    spots = keys.select(F.explode(F.array(*places(key))).alias("at"))
+    words = saved(spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")), "presence")
+    held = F.lit(True)
+    for i, place in enumerate(places(mark)):
+        at, word, found = f"__{name}_at{i}", f"__{name}_word{i}", f"__{name}_bits{i}"
+        rows = rows.withColumn(at, place).join(F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(found))), F.shiftright(F.col(at), 6) == F.col(word), "left")
+        held = held & F.coalesce(F.expr(f"shiftright({found}, CAST({at} & 63 AS INT)) & 1") == 1, F.lit(False))
+    return rows.withColumn(name, held).drop(*[f"__{name}_{x}{i}" for i in (0, 1) for x in ("at", "word", "bits")])
 
 
 def without(docs: DataFrame, gone: DataFrame, by: dict[str, Column]) -> DataFrame:
@@ -87,9 +78,7 @@ def without(docs: DataFrame, gone: DataFrame, by: dict[str, Column]) -> DataFram
     ``gone`` has not seen stay where they are; only the others, those that go
     and a few more, are shuffled to be compared exactly.
     """
-    mark, keys = F.xxhash64(*by.values()), gone.select(F.xxhash64(*by).alias("h"))
-    present = presence(keys)
-    rows = docs.withColumn("__doubt", present(mark))
+    rows = flagged(docs, F.xxhash64(*by.values()), gone.select(F.xxhash64(*by).alias("h")), "__doubt")
     listed = gone.select(*[F.col(n).alias(f"__gone_{n}") for n in by]).hint("merge")
     doubtful = rows.where("__doubt").drop("__doubt")
     same = F.lit(True)

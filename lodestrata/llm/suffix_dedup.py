@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, pieces, presence, saved, text_of
+from .shared import discard, flagged, pieces, saved, text_of
 from .suffix_array import suffix_array
 
 #: Bytes of a string that may occur once only.
@@ -301,17 +301,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bins = saved(bins.dropDuplicates(["mark", "core", "top"]), "bins")
     crowds = saved(bins.groupBy("core").agg(F.count("*").alias("bins")).where("bins > 1"), "crowds")
     # Bins of crowded cores do not meet by core, so no task gets all of them; what passes the filter by chance is counted exactly there too.
-    crowded_core = presence(saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded"))
-    marked = bins.withColumn("crowded", crowded_core(F.col("core")))
+    marked = flagged(bins, F.col("core"), saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded"), "crowded")
     few = marked.where(~F.col("crowded")).join(crowds.where(F.col("bins") <= ARRAY_BINS).select("core"), "core").drop("crowded")
     arrays = few.repartition("core").sortWithinPartitions("core", "mark").mapInArrow(_arrays(width), "mark binary, a long, b long")
     windows = saved(marked.where("crowded").drop("crowded").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
     twice = saved(windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1"), "twice")
     # Windows that very many contexts have meet their row over several tasks; what passes the filter by chance does so too.
-    hot = presence(saved(twice.where(F.col("times") > HOT_WINDOW).select(F.xxhash64("window").alias("h")), "hot"))(F.xxhash64("window"))
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = windows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).otherwise(0))
-    crowded = spread.join(twice.select("window", F.explode(salts).alias("salt")), ["window", "salt"]).select("mark", "a", (F.col("a") + 1).alias("b"))
+    hot = saved(twice.where(F.col("times") > HOT_WINDOW).select(F.xxhash64("window").alias("h")), "hot")
+    spread = flagged(windows, F.xxhash64("window"), hot, "hot").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = flagged(twice, F.xxhash64("window"), hot, "hot").select("window", F.explode(salts).alias("salt"))
+    crowded = spread.join(salted, ["window", "salt"]).select("mark", "a", (F.col("a") + 1).alias("b"))
     ranges = saved(copies.unionByName(arrays).unionByName(crowded).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges")), "ranges")
     discard(repeated, sized, open_, bins, crowds, windows, twice)
     placed = found.select("doc_id", "tie", "places", "mark").join(ranges, "mark")
@@ -349,7 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(found)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     # Documents that lose nothing stay where they are; the others meet their spans.
-    marked = rows.withColumn("hit", presence(saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked"))(F.xxhash64("doc_id", "tie")))
+    marked = flagged(rows, F.xxhash64("doc_id", "tie"), saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked"), "hit")
     hit = marked.where("hit")
     met = hit.join(spans.hint("merge"), hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["tie"] == spans["_tie"]), "left").select("doc_id", "text", "spans")
     joined = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast(dict(spans.dtypes)["spans"]).alias("spans")).unionByName(met)

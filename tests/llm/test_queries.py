@@ -239,7 +239,8 @@ def test_clashing_names_and_empty_tables(spark, folder):
 
 def test_presence_and_without(spark):
     keys = shared.saved(spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h")), "keys")
-    rows = spark.range(3000).withColumn("hit", shared.presence(keys)(F.xxhash64("id")))
+    rows = shared.flagged(spark.range(3000), F.xxhash64("id"), keys, "hit")
+    assert rows.columns == ["id", "hit"] and rows.count() == 3000
     assert rows.where("id % 3 = 0 and not hit").count() == 0 and rows.where("id % 3 <> 0 and hit").count() < 200
     gone = shared.saved(spark.createDataFrame([(1, None), (2, "b")], "a int, b string"), "gone")
     left = shared.without(spark.createDataFrame([(1, None, 0), (1, "b", 1), (2, "b", 2), (None, None, 3)], "x int, b string, k int"), gone, {"a": F.col("x"), "b": F.col("b")})
