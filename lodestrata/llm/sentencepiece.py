@@ -35,7 +35,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Longer segments are merged one at a time; their number of positions would rule a batch.
 LONG_SEGMENT = 256
 #: Distinct segments, and their characters, that a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 4_000_000
 _NEVER = np.int32(2**31 - 1)
 #: Spreads hashes of short strings over all leading bits.
@@ -257,14 +257,14 @@ class PieceModel:
                 ok = np.ones(len(n), bool)
                 ok[need] = self.stable(prev[need], piece[need])
                 n, row, piece = n[ok], row[ok], piece[ok]
-            value = np.full((min(top, i), rows), -np.inf)
-            value[n, row] = best[row, i - 1 - n] + self.score[piece]
-            pick, all_rows = value.argmax(axis=0), np.arange(rows)
-            top_value = value[pick, all_rows]
-            known = np.isfinite(top_value)
-            best[:, i] = np.where(known, top_value, best[:, i - 1] + floor)
-            last[known, i] = arcs[pick[known], all_rows[known], i]
-            back[known, i] = pick[known] + 1
+            value = best[row, i - 1 - n] + self.score[piece]
+            best[:, i] = best[:, i - 1] + floor
+            if len(row):
+                # the greatest value of each row that has an arc here; of equal ones the shortest piece
+                order = np.lexsort((-n, value, row))
+                pick = order[np.append(row[order[1:]] != row[order[:-1]], True)]
+                held = row[pick]
+                best[held, i], last[held, i], back[held, i] = value[pick], piece[pick], n[pick] + 1
         return last, back
 
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
