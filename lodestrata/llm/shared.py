@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, in a folder for each value of ``by``, and read back.
 
     This cuts the lineage: a lost executor costs only the task it ran, never
     the stages before the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,8 +90,8 @@ def without(docs: DataFrame, gone: DataFrame, by: dict[str, Column]) -> DataFram
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`saved` wrote and nothing needs any more."""
     spark = tables[0].sparkSession
-    for folder in {name.rpartition("/")[0] for df in tables for name in df.inputFiles()}:
-        if "/lodestrata/" in folder:
+    for folder in {"/lodestrata/".join([top, rest.partition("/")[0]]) for df in tables for name in df.inputFiles() for top, _, rest in [name.partition("/lodestrata/")]}:
+        if not folder.endswith("/lodestrata/"):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
