@@ -23,7 +23,7 @@ def turns():
 
 @pytest.fixture(scope="module")
 def windows(spark):
-    return chat.windows(spark.createDataFrame(turns(), SCHEMA).repartition(3), budget=100, history_tokens=40, history_turns=2, system_chars=20)
+    return chat.windows(spark.createDataFrame(turns(), SCHEMA).repartition(3), budget=100, history_tokens=40, history_turns=2, new_tokens=20)
 
 
 def test_reads_back(windows):
@@ -72,6 +72,19 @@ def test_a_long_system_turn_is_not_repeated_whole(spark):
     assert [t["text"] for t in back["turns"]] == [t for *_, t in rows]
 
 
+def test_a_system_turn_is_whole_where_it_fits(spark):
+    rule = "never " * 145  # 870 characters
+    rows = [(c, 0, "system", rule) for c in (1, 2)] + [(c, k, ("assistant", "user")[k % 2], f"turn {k} " + "word " * (1700 if (c, k) == (2, 9) else 30 + 41 * k % 97)) for c in (1, 2) for k in range(1, 120)]
+    got = chat.windows(spark.createDataFrame(rows, SCHEMA)).collect()
+    later = [r for r in got if r["window"]]
+    assert len(later) > 6
+    for r in later:
+        beside = "turn 9 " in r["formatted"] and r["conv_id"] == 2 and r["n_turns"] - r["n_repeated"] == 1
+        assert (f"{chat.START}system{chat.BODY}{rule}{chat.END}" in r["formatted"]) or (beside and count("word " * 1700) + count(rule) > chat.BUDGET)
+    # two windows side by side would not fit into one
+    assert all(r["tokens"] <= chat.BUDGET for r in got) and sum(r["tokens"] for r in later) / len(later) > 0.6 * chat.BUDGET
+
+
 def test_few_tokens_are_few_characters(spark):
     odd = spark.createDataFrame([("a" * 1000,), (" " * 1600,), ("a b",)], "t string").select(chat.token_count(F.col("t")).alias("n"))
     assert [r["n"] for r in odd.collect()] == [125, 100, 2]
