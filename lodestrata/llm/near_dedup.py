@@ -269,6 +269,8 @@ BANDS = 16
 BAND_ROWS = 5
 #: Members of a bucket that are compared inside one cell.
 CELL = 256
+#: Bytes of their shingles that one cell holds, about.
+CELL_BYTES = 16 << 20
 _MIN_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -340,21 +342,59 @@ def _verify(similarity: float):
     return run
 
 
+def _prefix_keys(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, node, size``: for each node the shingles by which it meets all sets that overlap enough.
+
+    With every set in one order of shingles, rarest first, two sets of which
+    one has ``s`` shingles overlap by ``similarity`` only if they share one of
+    its first ``s - ceil(similarity * s) + 1``. What a crowd has in common is
+    frequent in it and comes last, so sets that share no more than a template
+    do not meet. Shingles of one set alone come first and lead nowhere.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a set at a time, so a batch is no longer than its longest set
+                hashes = np.frombuffer(batch.column("hashes")[k].as_py(), np.int64)
+                yield pa.record_batch([pa.array([batch.column("node")[k].as_py()] * len(hashes), pa.binary()), pa.array(hashes)], ["node", "token"])
+
+    once = open_nodes.select("node").join(sets.hint("merge"), "node").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+    tokens = once.mapInArrow(spread, "node binary, token long")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    met = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    sized = met.join(open_nodes.select("node", "size"), "node")
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    alone = F.col("size") - F.size("t")
+    return sized.select("node", "size", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0).cast("long"), first - alone).cast("int"))).alias("p")).select(F.col("p.token").alias("key"), "node", "size")
+
+
+def _buckets(keys: DataFrame) -> DataFrame:
+    """``key, least, cells`` of the keys with several nodes, from ``key, node, size``; keys with the same nodes count once."""
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    cells = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") * 8 / CELL_BYTES))
+    return buckets.where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"), F.max(cells).alias("cells")).select("key", "least", "cells")
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` between documents whose shingle sets overlap by ``similarity`` or more.
 
     Buckets are the sets that agree in a band of minimum hashes. The links
-    connect exactly what all pairs of a bucket that overlap enough connect:
-    equal sets are one node, and a bucket is compared in cells of about
-    ``CELL`` members, each with the bucket's least member. Where members of a
-    bucket of several cells are still not connected then, all outside its
-    largest part meet every member. So a connected group of any size gives a
-    few rows a document, and no pair of a bucket is left out.
+    connect what all pairs of a bucket that overlap enough connect: equal
+    sets are one node, and a bucket is compared in cells of at most about
+    ``CELL`` members and ``CELL_BYTES`` of shingles, each with the bucket's
+    least member, which connects dense groups. Members of a bucket of several
+    cells that are not connected then meet by their rarest shingles, see
+    :func:`_prefix_keys`, compared in the same way. So many documents that
+    agree in a template and in nothing else give rows in proportion to their
+    number. Only where more than a cell's members share a rare shingle and are
+    still unconnected do those outside its largest part meet every member. No
+    pair of a bucket is left out.
 
     Null ids are left out; null texts are empty ones, and all texts without
     words are one set; fewer words than a shingle has are one shingle. Rows
-    that repeat an id with another text count under that id. An empty table
-    gives no links; other columns are not read.
+    that repeat an id with another text count under that id. Very long texts
+    are hashed alone and weigh as many members of a cell as they have
+    shingles for. An empty table gives no links; other columns are not read.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)[id_col]
@@ -362,47 +402,64 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(map(set_digest, sets), pa.binary()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(map(set_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(map(set_digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    rows = saved(base.mapInArrow(sign, f"doc_id {id_type}, node binary, bands array<long>"), "signatures")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "shingle_sets")
+    rows = saved(base.mapInArrow(sign, f"doc_id {id_type}, node binary, size long, bands array<long>"), "signatures")
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "shingle_sets")
     equal = rows.join(nodes.select("node", "first"), "node").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    # buckets of the same members in several bands count once
-    buckets = buckets.where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "least", F.ceil(F.col("n") / CELL).alias("cells"))
-    buckets = saved(buckets, "buckets")
+    keys = nodes.select("node", "size", F.explode("bands").alias("key"))
+    buckets = saved(_buckets(keys), "buckets")
     members = saved(keys.join(buckets.select("key", "cells"), "key"), "members")
     # One document of each set is read again; what passes the filter by chance brings sets that meet no bucket.
     wanted = saved(members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.xxhash64("first").alias("h")), "wanted")
     sets = saved(flagged(base, F.xxhash64("doc_id"), wanted, "wanted").where("wanted").select("doc_id", "text").mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
+    done = [rows, nodes, wanted, sets]
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
 
     def verified(cells: DataFrame) -> DataFrame:
         held = cells.join(sets.hint("merge"), "node").select("cell", "node", "label", "tester", "hashes")
         return saved(held.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(similarity), "a binary, b binary"), "similar")
 
-    own = members.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), "cells")).alias("cell"), "node")
-    leading = buckets.where("cells > 1").select("key", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("of"))
-    first_cells = own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("least").alias("node")))
-    links = verified(first_cells.select("cell", "node", F.col("node").alias("label"), F.lit(True).alias("tester")))
-    done = [rows, nodes, buckets, members, wanted, sets, links]
-    if not buckets.where("cells > 1").isEmpty():
+    def within_cells(buckets: DataFrame, members: DataFrame) -> DataFrame:
+        own = members.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), "cells")).alias("cell"), "node")
+        leading = buckets.where("cells > 1").select("key", "least", upto("cells").alias("of"))
+        cells = own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("least").alias("node")))
+        return verified(cells.select("cell", "node", F.col("node").alias("label"), F.lit(True).alias("tester")))
+
+    def unconnected(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of the buckets of several cells that are in several parts still, with the bucket's largest part."""
         roots = saved(connected_components(links), "similar_roots").withColumnRenamed("root", "label")
-        parts = saved(members.where("cells > 1").join(roots, "node", "left").select("key", "cells", "node", F.coalesce("label", "node").alias("label")), "parts")
+        parts = members.where("cells > 1").join(roots, "node", "left").select("key", "cells", "node", "size", F.coalesce("label", "node").alias("label"))
         counted = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        split = parts.join(counted.where("others > 0").select("key", "main", F.ceil(F.col("others") / CELL).alias("tests")), "key").withColumn("tester", F.col("label") != F.col("main"))
-        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-        met = split.withColumn("i", F.pmod(F.xxhash64("node"), "cells")).withColumn("j", upto("tests")).withColumn("tester", F.lit(False))
-        testing = split.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
-        more = verified(met.unionByName(testing).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "label", "tester"))
+        found = saved(parts.join(counted.where("others > 0"), "key"), "parts")
+        discard(roots)
+        return found
+
+    links = within_cells(buckets, members)
+    done += [buckets, members, links]
+    if not buckets.where("cells > 1").isEmpty():
+        loose = unconnected(members, links)
+        rare = saved(_prefix_keys(loose.groupBy("node").agg(F.any_value("size").alias("size")), sets, similarity), "rare")
+        buckets = saved(_buckets(rare), "buckets")
+        members = saved(rare.join(buckets.select("key", "cells"), "key"), "members")
+        more = within_cells(buckets, members)
         links = links.unionByName(more)
-        done += [roots, parts, more]
+        done += [loose, rare, buckets, members, more]
+        if not buckets.where("cells > 1").isEmpty():
+            split = unconnected(members, links)
+            done.append(split)
+            split = split.withColumn("tests", F.ceil(F.col("others") / CELL)).withColumn("tester", F.col("label") != F.col("main"))
+            met = split.withColumn("i", F.pmod(F.xxhash64("node"), "cells")).withColumn("j", upto("tests")).withColumn("tester", F.lit(False))
+            testing = split.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
+            last = verified(met.unionByName(testing).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "label", "tester"))
+            links = links.unionByName(last)
+            done.append(last)
     named = lambda c, first: nodes.select(F.col("node").alias(c), F.col("first").alias(first))
     ends = links.distinct().join(named("a", "p"), "a").join(named("b", "q"), "b").where("p <> q")
     found = saved(equal.unionByName(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct(), "similar_links")

@@ -179,6 +179,27 @@ def test_every_pair_of_a_bucket(spark, monkeypatch, cell):
     assert groups(list(range(len(texts))), lambda i, j: (j, i) in links) == expected
 
 
+def test_a_template_gives_rows_in_proportion(spark, monkeypatch):
+    """Documents that share half their words and no more: no links, and rows that grow as the documents do."""
+    monkeypatch.setattr(near_dedup, "CELL", 16)
+    template, rows = prose(77, 80), []
+    seen = near_dedup.saved
+
+    def counted(df, name, *by):
+        out = seen(df, name, *by)
+        rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", counted)
+    for n in (150, 600):
+        texts = [f"{template} {prose(50_000 + i, 80)}" for i in range(n)]
+        rows.append(0)
+        monkeypatch.setattr(near_dedup, "bands", lambda hashes: [1])
+        docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+        assert near_dedup.similar_links(docs).count() == 0
+    assert rows[1] <= 5 * rows[0]
+
+
 @pytest.mark.parametrize("kind", ["appended", "cut", "scattered"])
 def test_recall_at_the_limit(spark, kind):
     r, rows, near = random.Random(11), [], []
