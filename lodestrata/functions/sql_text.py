@@ -93,11 +93,36 @@ def union_parts(sql: Column) -> Column:
     return F.transform(F.split(sql, r"(?i)\bunion(?:\s+all)?\b"), lambda x: F.trim(x))
 
 
-def subqueries(sql: Column) -> Column:
-    """Kind and start of every subquery: ``exists``, ``not_in``, ``in`` or ``scalar``, each one once."""
-    found = every(sql, r"(?is)((?:not\s+in|in|exists|=)\s*\(\s*select\b.{0,200})")
-    kind = lambda x: F.when(F.lower(x).rlike(r"^exists"), "exists").when(F.lower(x).rlike(r"^not\s"), "not_in").when(F.lower(x).rlike(r"^in\b"), "in").otherwise("scalar")
-    return F.transform(found, lambda x: F.struct(kind(x).alias("kind"), x.alias("snippet")))
+#: Longest text of a subquery that is shown.
+MOST_SNIPPET = 200
+
+
+def subqueries(sql: Column, most: int = MOST_SNIPPET) -> Column:
+    """Kind and text of every subquery in order: ``exists``, ``not_in``, ``in`` or ``scalar``, nested ones too.
+
+    The text goes from its word to the parenthesis that closes it, or to
+    ``most`` characters of the query if it is longer or never closed. A
+    subquery's start is found without taking in what follows, so no other one
+    is lost; its end is where the depth of parentheses is back at nothing.
+    """
+    start = rf"(?is)(?=((?:\bnot\s+in|(?<!\bnot\s{{1,9}})\bin|\bexists|=)\s*\(\s*select\b.{{0,{most}}}))"
+    low = lambda x: F.lower(x)
+    kind = lambda x: F.when(low(x).startswith("exists"), "exists").when(low(x).startswith("not"), "not_in").when(low(x).startswith("in"), "in").otherwise("scalar")
+    return F.transform(every(sql, start), lambda x: F.struct(kind(x).alias("kind"), F.left(x, _closing(x)).alias("snippet")))
+
+
+def _closing(text: Column) -> Column:
+    """Where the first parenthesis of a text is closed, its length if it never is; what is in single quotes opens and closes nothing."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, c: Column) -> Column:
+        quoted = F.when(c == "'", ~acc["quoted"]).otherwise(acc["quoted"])
+        depth = acc["depth"] + F.when(quoted, 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        at = acc["at"] + 1
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), at.alias("at"), F.when((acc["end"] == 0) & (c == ")") & (depth == 0), at).otherwise(acc["end"]).alias("end"))
+
+    found = F.aggregate(F.split(text, ""), start, step)
+    return F.when(found["end"] > 0, found["end"]).otherwise(F.char_length(text))
 
 
 def attribute(attributes: Column, name: str) -> Column:

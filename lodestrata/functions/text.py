@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,37 +124,46 @@ def encode_string(text: Column) -> Column:
 # -- complexity ---------------------------------------------------------------
 
 # Keywords of the language: fixed values. Lines of a routine that start with one of these branch.
-BRANCH = r"(?i)^(?:if|else|elseif|else\s+if|choose\s+case|case|for|do\s+while|do\s+until|continue|exit|return|throw|goto)\b"
-COMMENT = r"^(?://|')"
+BRANCHES = ("if", "else", "elseif", "choose case", "case", "for", "do while", "do until", "continue", "exit", "return", "throw", "goto")
 # The faster count takes a line once if any of these words is in it (short ones) or starts it (long ones).
 SHORT_KEYWORDS = ("if", "else", "for", "next", "do", "loop", "case", "try", "exit", "and", "or")
 LONG_KEYWORDS = ("elseif", "end if", "while", "choose", "catch", "finally", "continue", "return")
-# Lines that open and close a block.
-OPENING = r"^(?:if[ (]|for[ (]|do |do while|do until|choose case|try)"
-CLOSING = r"^(?:end if|end for|end do|next|end choose|end try|loop)"
+# Starts of lines that open and close a block; those that end in a blank go on behind it.
+OPENING = ("if ", "if(", "for ", "for(", "do ", "choose case", "try")
+CLOSING = ("end if", "end for", "end do", "next", "end choose", "end try", "loop")
+
+#: White space at the ends of a line: what tools indent by, and what other platforms leave behind.
+WHITE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u3000"
+# The measures below go over a script as a whole, a line being what starts at ^ and ends at a line feed.
+_GAP = r"[ \t\r\x0B\f\x1C-\x1F\x85\xA0\u3000]"
+_LINE = rf"(?dim)^{_GAP}*+"
+
+
+def stripped(line: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(line, F.lit(WHITE))
 
 
-def _trimmed(script: Column) -> Column:
-    return F.transform(lines(script), lambda x: F.trim(x))
+def _words(words: tuple[str, ...], gap: str = _GAP + "+") -> str:
+    return "|".join(w.replace(" ", gap) for w in words)
 
 
 def code_lines(script: Column) -> Column:
     """Number of lines that are neither empty nor comments."""
-    return F.size(F.filter(_trimmed(script), lambda x: (x != "") & ~x.rlike(COMMENT)))
+    return F.regexp_count(script, F.lit(_LINE + r"(?!//|')[^\n]"))
 
 
 def complexity(script: Column) -> Column:
     """Cyclomatic complexity of a routine: 1, and 1 for each branching line, the cases of a choice counting once."""
-    code = F.filter(_trimmed(script), lambda x: ~x.rlike(COMMENT) & x.rlike(BRANCH))
-    cases = F.size(F.filter(code, lambda x: F.lower(x).startswith("case ")))
-    return F.lit(1) + F.size(code) - cases + F.when(cases > 0, 1).otherwise(0)
+    branches = F.regexp_count(script, F.lit(rf"{_LINE}(?:{_words(BRANCHES)})\b"))
+    cases = F.regexp_count(script, F.lit(rf"{_LINE}case (?=[^\n]*\S)"))
+    return F.lit(1) + branches - cases + F.when(cases > 0, 1).otherwise(0)
 
 
 def quick_complexity(script: Column) -> Column:
     """A coarser count: 1, and 1 for each line with a keyword outside its ``//`` comment."""
-    words = rf"\b(?:{'|'.join(SHORT_KEYWORDS)})\b|^(?:{'|'.join(LONG_KEYWORDS)})"
-    code = F.transform(lines(script), lambda x: F.lower(F.substring_index(F.trim(x), "//", 1)))
-    return F.lit(1) + F.size(F.filter(code, lambda x: x.rlike(words)))
+    started, inside = rf"{_GAP}*+(?:{_words(LONG_KEYWORDS, ' ')})", rf"(?:(?!//)[^\n])*?\b(?:{_words(SHORT_KEYWORDS)})\b"
+    return F.lit(1) + F.regexp_count(script, F.lit(rf"(?dim)^(?:{started}|{inside})"))
 
 
 def rating(cc: Column) -> Column:
@@ -169,8 +180,9 @@ def depth(steps: Column) -> Column:
 
 def max_nesting(script: Column) -> Column:
     """Deepest nesting of blocks in a routine."""
-    code = F.transform(lines(script), lambda x: F.lower(F.trim(x)))
-    return depth(F.transform(code, lambda x: F.when(x.rlike(OPENING), 1).when(x.rlike(CLOSING), -1).otherwise(0)))
+    starts = "|".join(re.escape(w) + (r"(?=[^\n]*\S)" if w.endswith(" ") else "") for w in OPENING + CLOSING)
+    steps = F.regexp_extract_all(script, F.lit(f"{_LINE}({starts})"), 1)
+    return depth(F.transform(steps, lambda x: F.when(F.lower(x).isin(*CLOSING), -1).otherwise(1)))
 
 
 #: Numbers that explain themselves: fixed values.
@@ -179,8 +191,7 @@ PLAIN_NUMBERS = (0, 1, 2, 4, 8, 10, 16, 32, 64, 100, 128, 256, 512, 1000, 1024,
 
 def magic_numbers(script: Column, most: int = 10) -> Column:
     """Distinct whole numbers between 2 and 100000 that a routine does not explain, in order; none after ``//`` or a quote."""
-    code = F.transform(lines(script), lambda x: F.regexp_extract(x, r"^(?:(?!//|').)*", 0))
-    found = F.flatten(F.transform(code, lambda x: F.regexp_extract_all(x, F.lit(r"(?<![.\w])(\d{1,18})(?![.\w])"), 1)))
+    found = F.filter(F.regexp_extract_all(script, F.lit(r"(?://|')[^\n]*|(?<![.\w])(\d{1,18})(?![.\w])"), 1), lambda x: x != "")
     numbers = F.transform(found, lambda x: x.cast("long"))
     kept = F.filter(numbers, lambda x: ~x.isin(*PLAIN_NUMBERS) & (x > 2) & (x < 100000))
     return F.slice(F.array_distinct(F.transform(kept, lambda x: x.cast("string"))), 1, most)

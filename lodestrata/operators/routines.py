@@ -4,50 +4,85 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_lines, complexity, max_nesting, rating
-
-# Declarations of the language: fixed forms.
-_ROUTINE = re.compile(r"(?:(?:forward\s+)?(public|protected|private|global)\s+)(subroutine|function)\s+(?:(\w+(?:\[\])?)\s+)?(\w+)\s*(?:\(([^)]*)\))?", re.I)
-_EVENT = re.compile(r"(?:event|on)\s+([\w.]+)\s*(?:\(([^)]*)\))?", re.I)
-_END = re.compile(r"end\s+(?:subroutine|function|event|on)\b", re.I)
-# The editors' dialect: access may be left out, events are those of objects.
-_EDITOR_ROUTINE = re.compile(r"(?:forward\s+)?(?:(public|protected|private|global)\s+)?(subroutine|function)\s+(?:(\w+(?:\[\])?)\s+)?(\w+)\s*(?:\(([^)]*)\))?", re.I)
-_EDITOR_EVENT = re.compile(r"on\s+(\w+\.\w+)\s*(?:\(([^)]*)\))?", re.I)
-_SKIP, _SKIP_END = re.compile(r"(?:forward|type)\s+prototypes\b", re.I), re.compile(r"end\s+prototypes\b", re.I)
+from ..functions.text import WHITE, code_lines, complexity, max_nesting, rating, stripped
 
 ROUTINE_SCHEMA = "name string, access string, return_type string, is_event boolean, arguments array<string>, script string, line_start int, line_end int"
-# Words that a variable's declaration begins with, and second words of other declarations: fixed forms of the language.
+# Words of declarations: fixed forms of the language.
+ROUTINE_ACCESS = ("public", "protected", "private", "global")
+ROUTINE_KINDS = ("subroutine", "function")
+EVENT_KINDS = ("event", "on")
+# Words that a variable's declaration begins with, and second words of other declarations.
 ACCESS = ("public", "protected", "private", "instance", "shared", "global")
 NO_DATA_TYPES = ("subroutine", "function", "type")
 
 
+def _leading(word: str, also: str = "") -> str:
+    """The letters, digits and underscores that a word begins with."""
+    return "".join(takewhile(lambda c: c.isalnum() or c == "_" or c in also, word))
+
+
+def declared(line: str, editor: bool = False) -> dict | None:
+    """The routine that a line declares, read word by word: what stands before the parenthesis, and the arguments inside."""
+    head, _, rest = line.partition("(")
+    words = head.split()
+    low = [w.lower() for w in words[:3]]
+    arguments = [a.strip() for a in rest.partition(")")[0].split(",")] if ")" in rest else []
+    found = {"access": "public", "return_type": None, "arguments": [a for a in arguments if a]}
+    if low and low[0] in EVENT_KINDS and len(words) > 1:
+        name = _leading(words[1], ".")
+        if not name or editor and (low[0] != "on" or not all(name.partition(".")[::2])):
+            return None
+        return found | {"name": name, "is_event": True}
+    at = 1 if low[:1] == ["forward"] else 0
+    if low[at : at + 1] and low[at] in ROUTINE_ACCESS:
+        found["access"], at = low[at], at + 1
+    elif at or not editor:
+        if not (editor and low[at : at + 1] and low[at] in ROUTINE_KINDS):
+            return None
+    if len(words) < at + 2 or words[at].lower() not in ROUTINE_KINDS:
+        return None
+    kind, first, *more = words[at].lower(), *words[at + 1 :]
+    plain = _leading(first)
+    typed = bool(more) and first in (plain, plain + "[]") and bool(_leading(more[0]))
+    name = _leading(more[0]) if typed else plain
+    if not name:
+        return None
+    return found | {"name": name, "is_event": False, "return_type": first if typed and kind == "function" else None}
+
+
+def _ends(line: str) -> bool:
+    words = line.lower().split(None, 2)
+    return len(words) > 1 and words[0] == "end" and _leading(words[1]) in ROUTINE_KINDS + EVENT_KINDS
+
+
+def _prototypes(line: str) -> str:
+    """``opens`` or ``closes`` for the lines around prototypes."""
+    words = [_leading(w) for w in line.lower().split(None, 2)[:2]]
+    return {"forward": "opens", "type": "opens", "end": "closes"}.get(words[0], "") if words[1:] == ["prototypes"] else ""
+
+
 def routines_of(text: str, editor: bool = False) -> Iterator[dict]:
-    """Routines in order, each up to its end line; prototypes are no routines. ``editor`` reads the editors' dialect."""
-    routine, event = (_EDITOR_ROUTINE, _EDITOR_EVENT) if editor else (_ROUTINE, _EVENT)
+    """Routines in order, each up to its end line; prototypes are no routines. ``editor`` reads the editors' dialect, where access may be left out and events are those of objects."""
     lines, i, skipping = text.splitlines(), 0, False
     while i < len(lines):
         s = lines[i].strip()
         i += 1
-        if _SKIP.match(s):
-            skipping = True
-        if _SKIP_END.match(s):
-            skipping = False
-        m = None if skipping else routine.match(s)
-        e = None if skipping or m else event.match(s)
-        if not (m or e):
+        skipping = {"opens": True, "closes": False}.get(_prototypes(s), skipping)
+        found = None if skipping else declared(s, editor)
+        if not found:
             continue
         start, body = i, []
-        while i < len(lines) and not _END.match(lines[i].strip()):
+        while i < len(lines) and not _ends(lines[i].strip()):
             body.append(lines[i])
             i += 1
         i += 1
-        arguments = (m[5] if m else e[2]) or ""
-        yield {"name": m[4] if m else e[1], "access": (m[1] or "public").lower() if m else "public", "return_type": m[3] if m and m[2].lower() == "function" else None, "is_event": not m, "arguments": [a.strip() for a in arguments.split(",") if a.strip()], "script": "\n".join(body), "line_start": start, "line_end": min(i, len(lines))}
+        yield found | {"script": "\n".join(body), "line_start": start, "line_end": min(i, len(lines))}
 
 
 def routines(sources: DataFrame, keys: list[str], text_col: str = "text", editor: bool = False) -> DataFrame:
@@ -75,12 +110,12 @@ def measured(routine_rows: DataFrame) -> DataFrame:
 
 
 def variables(sources: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Declarations in front of the first routine: ``access, data_type, name, initial_value``."""
+    """Declarations in front of the first routine: ``access, data_type, name, initial_value``. Lines that declare several names at once are not read."""
     plain = F.regexp_replace(text_col, r"(?is)\b(?:forward|type)\s+prototypes\b.*?\bend\s+prototypes\b", "")
     header = F.regexp_extract(plain, r"(?ism)\A(.*?)(?=^[ \t]*(?:(?:public|protected|private|global)\s+(?:subroutine|function)\s|(?:event|on)\s+\w)|\z)", 1)
     # A declaration is three words, the first an access, before the equals sign if there is one.
-    rows = sources.select(*keys, F.explode(F.split(header, "\r?\n")).alias("_line")).select(*keys, F.rtrim(F.col("_line"), F.lit("; \t")).alias("_line"))
-    split = rows.select(*keys, F.split(F.trim(F.substring_index("_line", "=", 1)), r"[ \t]+").alias("_w"), F.when(F.col("_line").contains("="), F.trim(F.substring("_line", F.locate("=", F.col("_line")) + 1, F.char_length("_line")))).otherwise("").alias("initial_value"))
+    rows = sources.select(*keys, F.explode(F.split(header, "\r?\n")).alias("_line")).select(*keys, F.rtrim(F.col("_line"), F.lit(";" + WHITE)).alias("_line"))
+    split = rows.select(*keys, F.split(stripped(F.substring_index("_line", "=", 1)), r"\s+").alias("_w"), F.when(F.col("_line").contains("="), stripped(F.substring("_line", F.locate("=", F.col("_line")) + 1, F.char_length("_line")))).otherwise("").alias("initial_value"))
     named = lambda i: F.get("_w", i).rlike(r"^[\w\[\]]+$")
     held = (F.size("_w") == 3) & F.lower(F.get("_w", 0)).isin(*ACCESS) & named(1) & named(2) & ~F.lower(F.get("_w", 1)).isin(*NO_DATA_TYPES)
     return split.where(held).select(*keys, F.lower(F.get("_w", 0)).alias("access"), F.get("_w", 1).alias("data_type"), F.get("_w", 2).alias("name"), "initial_value")

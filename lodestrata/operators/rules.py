@@ -25,6 +25,10 @@ DEPRECATED_CALLS = (
     (r"(?i)\bSetRedraw\b", "SetRedraw: switch redrawing by the property"),
 )
 
+# A line of a CATCH that does nothing: blank, or a comment; and a CATCH of nothing else.
+_BODY = r"(?:[ \t]*(?://[^\n]*)?\r?\n)"
+EMPTY_CATCH = rf"(?im)^[ \t]*catch\b[^\n]*\n{_BODY}*[ \t]*end[ \t]+try\b"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -74,8 +78,8 @@ def panel_rules() -> list[Rule]:
     """The rules of the refactoring panel."""
     return [
         Rule("LONG_LINE", "style", lambda x: F.octet_length(x) > 200),
-        Rule("DEEP_INDENT", "complexity", lambda x: (text.indent_width(x) >= 20) & (F.trim(x) != "")),
-        Rule("TODO_COMMENT", "dead_code", lambda x: F.trim(x).startswith("//") & F.upper(x).rlike("TODO|FIXME|HACK")),
+        Rule("DEEP_INDENT", "complexity", lambda x: (text.indent_width(x) >= 20) & (text.stripped(x) != "")),
+        Rule("TODO_COMMENT", "dead_code", lambda x: text.stripped(x).startswith("//") & F.upper(x).rlike("TODO|FIXME|HACK")),
         Rule("DEPRECATED_API", "naming", lambda x: F.lower(x).contains("setmicrohelp(")),
         Rule("HARDCODED_CONN", "style", lambda x: F.lower(x).contains("dbms=") & F.lower(x).contains("database=")),
     ]
@@ -103,7 +107,7 @@ def empty_catches(sources: DataFrame, keys: list[str], text_col: str = "text", l
     plain = F.translate(F.upper(F.col(text_col)), "\x01\x02", "  ")
     marked = F.transform(F.split(plain, "\n"), lambda x, i: F.regexp_replace(x, F.lit(r"\bCATCH\b"), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02"))))
     found = sources.select(*keys, F.explode(F.split(F.array_join(marked, "\n"), "\x01")).alias("_part")).where(F.col("_part").contains("\x02"))
-    inside = F.trim(F.regexp_extract("_part", r"(?s)\x02(.*?)\bEND TRY\b", 1))
+    inside = text.stripped(F.regexp_extract("_part", r"(?s)\x02(.*?)\bEND TRY\b", 1))
     hit = found.where(F.col("_part").rlike(r"\bEND TRY\b") & (F.octet_length(inside) < least))
     return hit.select(*keys, F.substring_index("_part", "\x02", 1).cast("int").alias("line_no"), F.lit("EMPTY_CATCH").alias("rule"), F.lit("warning").alias("severity"), F.lit("").alias("message"))
 
@@ -113,7 +117,7 @@ def routine_rules(longest: int = 200, deepest: int = 4, most_complex: int = 20)
     words = lambda c: c.cast("string")
     rules = [
         Rule("routine_too_long", "warning", lambda r: r["code_lines"] > longest, lambda r: F.concat(words(r["code_lines"]), F.lit(" lines"))),
-        Rule("empty_catch", "error", lambda r: r["script"].rlike(r"(?i)catch\s*\([^)]*\)\s*\n\s*(?://.*)?\s*end\s+try")),
+        Rule("empty_catch", "error", lambda r: r["script"].rlike(EMPTY_CATCH)),
         Rule("deep_nesting", "warning", lambda r: r["nesting"] > deepest, lambda r: F.concat(F.lit("depth "), words(r["nesting"]))),
         Rule("magic_numbers", "info", lambda r: F.size(r["numbers"]) > 0, lambda r: F.array_join(F.slice(r["numbers"], 1, 5), ", ")),
         Rule("hardcoded_sql", "warning", lambda r: sql_text.hardcoded_sql(r["script"])),
@@ -223,14 +227,22 @@ def suggestions(findings: DataFrame, library_sizes: DataFrame | None = None, rep
 
 # -- fixes ------------------------------------------------------------------------
 
-_EMPTY_CATCH = r"(?im)^([ \t]*)(catch\s*\([^)\n]*\))[ \t]*\n(\s*)(end\s+try)"
+#: The line that goes into a catch that handles nothing: a fixed value.
+LOG_LINE = "// TODO: log error - SQLCA.SQLErrText"
 
 
-def fix_empty_catches(sources: DataFrame, text_col: str = "text", log: str = 'MessageBox("Error", "Unhandled exception")') -> DataFrame:
-    """``fixed_text``, ``fixes`` and, where something was fixed, ``backup`` with the old text: a line goes into every empty CATCH."""
-    t = F.col(text_col)
-    fixed = F.regexp_replace(t, _EMPTY_CATCH, "$1$2\n$1\t" + log.replace("$", "\\$") + "\n$3$4")
-    return sources.withColumn("fixed_text", fixed).withColumn("fixes", F.regexp_count(t, F.lit(_EMPTY_CATCH))).withColumn("backup", F.when(fixed != t, t))
+def fix_empty_catches(sources: DataFrame, text_col: str = "text", log: str = LOG_LINE) -> DataFrame:
+    """``fixed_text``, ``fixes`` and, where something was fixed, ``backup`` with the old text.
+
+    A line, indented as the CATCH is, goes in front of the END TRY of every
+    CATCH that holds nothing or comments alone; by default it is a comment, so
+    the program runs as before. A CATCH that has the line already is left as
+    it is.
+    """
+    t, quoted = F.col(text_col), "".join("\\" + c if c in "\\$" else c for c in log)
+    seen = rf"(?im)^([ \t]*)(catch\b[^\n]*\n(?:(?![ \t]*\Q{log}\E){_BODY})*)([ \t]*end[ \t]+try\b)"
+    fixed = F.regexp_replace(t, seen, f"$1$2$1{quoted}\n$3")
+    return sources.withColumn("fixed_text", fixed).withColumn("fixes", F.regexp_count(t, F.lit(seen))).withColumn("backup", F.when(fixed != t, t))
 
 
 def select_stars(sources: DataFrame, keys: list[str], text_col: str = "text", kind_col: str = "kind") -> DataFrame:
@@ -241,7 +253,7 @@ def select_stars(sources: DataFrame, keys: list[str], text_col: str = "text", ki
 
 def unexplained_numbers(sources: DataFrame, keys: list[str], text_col: str = "text", most: int = 10) -> DataFrame:
     """fix_magic_numbers: distinct numbers of three to six digits, the first ``most`` of a file."""
-    numbers = F.slice(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"(?<![.\w])(\d{3,6})(?![.\w])"), 1)), 1, most)
+    numbers = F.slice(F.array_distinct(F.filter(F.split(text_col, r"[^\w.]+"), lambda x: x.rlike("^[0-9]{3,6}$"))), 1, most)
     return sources.select(*keys, F.explode(numbers).alias("detail")).select(*keys, F.lit("fix_magic_numbers").alias("rule"), F.lit("likely").alias("severity"), "detail")
 
 

@@ -10,6 +10,7 @@ what the operators find in the whole.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def _body(s: str) -> str:
         CASE {s} % 11
             WHEN 0 THEN concat('x = ', 3000 + {s} % 500, ' + 17 // 999', {NL})
             WHEN 1 THEN concat('SetPointer(HourGlass!)', {NL})
-            WHEN 2 THEN concat('try', {NL}, 'catch (throwable e)', {NL}, 'end try', {NL})
+            WHEN 2 THEN concat('try', {NL}, 'catch (throwable e)', {NL}, CASE WHEN {s} % 2 = 0 THEN concat('// nothing to do', {NL}) ELSE '' END, 'end try', {NL})
             WHEN 3 THEN concat('SELECT a INTO :b', {NL}, 'FROM t', {s} % 13, ' WHERE c = 1;', {NL})
             WHEN 4 THEN concat('for i = 1 to 10', {NL}, 'y = y + i', {NL}, 'next', {NL})
             WHEN 5 THEN concat('open(w_', {s} % 5, ')', {NL}, 'dw_1.dataobject = "d_', {s} % 60, '"', {NL})
@@ -54,8 +55,18 @@ def _body(s: str) -> str:
         repeat(concat('end if', {NL}), CAST({s} % 7 AS INT)))"""
 
 
+def _indent(s: str) -> str:
+    """What the lines behind a routine's first one are indented by: nothing, a tab or blanks."""
+    return f"CASE {s} % 3 WHEN 0 THEN '' WHEN 1 THEN chr(9) ELSE '   ' END"
+
+
+def _indented(s: str) -> str:
+    """The body, with the indent of its end line behind it."""
+    return f"replace({_body(s)}, {NL}, concat({NL}, {_indent(s)}))"
+
+
 def _block(s: str) -> str:
-    return f"concat({_head(s)}, {NL}, {_body(s)}, {_foot(s)}, {NL})"
+    return f"concat({_head(s)}, {NL}, {_indented(s)}, {_foot(s)}, {NL})"
 
 
 def _number(j: int) -> str:
@@ -67,7 +78,7 @@ _EXT = "CASE event_id % 6 WHEN 0 THEN '.srw' WHEN 1 THEN '.srd' WHEN 2 THEN '.sr
 _KIND = "CASE event_id % 6 WHEN 0 THEN 'window' WHEN 1 THEN 'datawindow' WHEN 2 THEN 'function' WHEN 3 THEN 'menu' WHEN 4 THEN 'userobject' ELSE 'structure' END"
 _TYPE = "concat('global type w_', event_id, ' from u_base_', event_id % 5)"
 _TEXT = f"""concat('forward prototypes', {NL}, 'public function long of_ghost (long a)', {NL}, 'end prototypes', {NL}, {_TYPE}, {NL},
-    'public long il_', event_id, ' = ', event_id % 100, {NL}, CASE WHEN event_id % 3 = 0 THEN concat('global string gs_', event_id, {NL}) ELSE '' END,
+    CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE '' END, 'public', CASE WHEN event_id % 4 = 0 THEN chr(9) ELSE ' ' END, 'long il_', event_id, ' = ', event_id % 100, CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE '' END, {NL}, CASE WHEN event_id % 3 = 0 THEN concat('global string gs_', event_id, {NL}) ELSE '' END,
     {_block(_number(0))}, CASE WHEN event_id % 3 >= 1 THEN {_block(_number(1))} ELSE '' END, CASE WHEN event_id % 3 >= 2 THEN {_block(_number(2))} ELSE '' END)"""
 _COLUMNS = {"event_id": "event_id", "library": "concat('lib', event_id % 20)", "name": f"concat({_PREFIX}, event_id, {_EXT})", "kind": _KIND, "text": _TEXT}
 
@@ -80,10 +91,10 @@ def objects(spark, sf_dir):
 # The same in DuckDB; and its lines, and its routines as they were put in, with their scripts.
 OBJECTS = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in _COLUMNS.items())} FROM events)"
 LINES = f"(SELECT event_id, library, name, unnest(string_split(left(text, length(text) - 1), {NL})) AS line, generate_subscripts(string_split(left(text, length(text) - 1), {NL}), 1)::INT AS line_no FROM {OBJECTS})"
-_RAW = f"(SELECT event_id, j, s, {_head('s')} AS head, {_body('s')} AS body FROM (SELECT event_id, j, event_id * 3 + j AS s FROM events, range(3) r(j)) WHERE j <= event_id % 3)"
+_RAW = f"(SELECT event_id, j, s, {_head('s')} AS head, {_indented('s')} AS body, CASE WHEN {_body('s')} = '' THEN 0 ELSE 1 + length({_indent('s')}) END AS tail FROM (SELECT event_id, j, event_id * 3 + j AS s FROM events, range(3) r(j)) WHERE j <= event_id % 3)"
 ROUTINES = f"""(SELECT event_id, j, s, CASE s % 4 WHEN 2 THEN 'ue_' ELSE 'of_' END || s AS name, CASE s % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'public' ELSE 'protected' END AS access,
     CASE s % 4 WHEN 0 THEN 'long' WHEN 3 THEN 'string' END AS return_type, s % 4 = 2 AS is_event, CASE s % 4 WHEN 0 THEN ['long al_a', 'string as_b'] WHEN 3 THEN ['datastore ads_x'] ELSE []::VARCHAR[] END AS arguments,
-    left(body, greatest(length(body) - 1, 0)) AS script, CASE WHEN body = '' THEN []::VARCHAR[] ELSE string_split(left(body, length(body) - 1), {NL}) END AS lines,
+    left(body, length(body) - tail) AS script, CASE WHEN body = '' THEN []::VARCHAR[] ELSE string_split(left(body, length(body) - tail), {NL}) END AS lines,
     (5 + (event_id % 3 = 0)::INT + 1 + coalesce(sum(2 + length(body) - length(replace(body, {NL}, ''))) OVER (PARTITION BY event_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line_start,
     (2 + length(body) - length(replace(body, {NL}, '')))::INT AS n_lines FROM {_RAW})"""
 
@@ -104,18 +115,15 @@ def routine_inventory(spark, sf_dir):
     return found_routines(spark, sf_dir).withColumn("script", text.content_hash(F.col("script")))
 
 
-_TRIMMED = "list_transform(lines, lambda x: trim(x))"
-_CODE = f"list_filter({_TRIMMED}, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|'')'))"
-_BRANCHES = rf"list_filter({_TRIMMED}, lambda x: NOT regexp_matches(x, '^(//|'')') AND regexp_matches(x, '(?i)^(?:if|else|elseif|else\s+if|choose\s+case|case|for|do\s+while|do\s+until|continue|exit|return|throw|goto)\b'))"
-_CASES = f"len(list_filter({_BRANCHES}, lambda x: starts_with(lower(x), 'case ')))"
-_CC = f"(1 + len({_BRANCHES}) - {_CASES} + CASE WHEN {_CASES} > 0 THEN 1 ELSE 0 END)::INT"
+# What the measures of a routine must be, from its number: the lines that each part of a body brings.
+_LOOPS = "CASE WHEN s % 89 = 0 THEN 18 + s % 7 ELSE 0 END"
+_CC = f"(1 + s % 7 + CASE s % 11 WHEN 4 THEN 1 WHEN 6 THEN 4 ELSE 0 END + {_LOOPS})::INT"
+_NESTING = "(s % 7 + (s % 11 IN (2, 4, 6) OR s % 89 = 0)::INT)::INT"
+_QUICK = f"(1 + 2 * (s % 7) + [0, 0, 3, 0, 2, 0, 4, 0, 0, 0, 0][s % 11 + 1] + 2 * ({_LOOPS}))::INT"
+_CODE = f"(2 * (s % 7) + [1, 1, 3, 2, 3, 2, 6, 2, 1, 2, 0][s % 11 + 1] + CASE WHEN s % 97 = 0 THEN 199 + s % 5 ELSE 0 END + 2 * ({_LOOPS}) + (s % 83 = 0)::INT)::INT"
 _RATING = "CASE WHEN cc <= 5 THEN 'A' WHEN cc <= 10 THEN 'B' WHEN cc <= 20 THEN 'C' WHEN cc <= 50 THEN 'D' ELSE 'F' END"
-_STEPS = f"list_transform({_TRIMMED}, lambda x: [CASE WHEN regexp_matches(lower(x), '^(?:if[ (]|for[ (]|do |do while|do until|choose case|try)') THEN 1 WHEN regexp_matches(lower(x), '^(?:end if|end for|end do|next|end choose|end try|loop)') THEN -1 ELSE 0 END, 0])"
-_NESTING = f"list_reduce(list_prepend([0, 0], {_STEPS}), lambda a, x: [greatest(a[1] + x[1], 0), greatest(a[2], a[1] + x[1])])[2]::INT"
-_QUICK = rf"(1 + len(list_filter(list_transform({_TRIMMED}, lambda x: lower(split_part(x, '//', 1))), lambda x: regexp_matches(x, '\b(?:{'|'.join(text.SHORT_KEYWORDS)})\b|^(?:{'|'.join(text.LONG_KEYWORDS)})'))))::INT"
-_NUMBERS = r"flatten(list_transform(list_transform(lines, lambda x: split_part(split_part(x, '//', 1), chr(39), 1)), lambda x: list_transform(regexp_extract_all(x, '(?:^|[^.\w])(\d+)(?:[^.\w]|$)', 1), lambda y: y::BIGINT)))"
-_MAGIC = f"list_filter({_NUMBERS}, lambda n, i: list_position({_NUMBERS}, n) = i AND n > 2 AND n < 100000 AND n NOT IN {text.PLAIN_NUMBERS})"
-_MEASURED = f"(SELECT *, {_CC} AS cc, {_NESTING} AS nesting, len({_CODE})::INT AS code_lines FROM {ROUTINES})"
+_MAGIC = "list_filter([CASE WHEN s % 7 > 0 AND s % 9 IN (3, 5, 6, 7) THEN s % 9 END, CASE WHEN s % 11 = 0 THEN 3000 + s % 500 END, CASE WHEN s % 11 = 0 THEN 17 END, CASE WHEN s % 89 = 0 AND NOT (s % 7 > 0 AND s % 9 = 3) THEN 3 END], lambda n: n IS NOT NULL)"
+_MEASURED = f"(SELECT *, {_CC} AS cc, {_NESTING} AS nesting, {_CODE} AS code_lines FROM {ROUTINES})"
 
 
 @query(f"SELECT event_id, name, cc, {_QUICK} AS quick_cc, {_RATING} AS rating, nesting, code_lines FROM {_MEASURED}")
@@ -131,14 +139,14 @@ def script_numbers(spark, sf_dir):
 
 _RULES = rf"""(
     SELECT event_id, name, 'routine_too_long' AS rule, 'warning' AS severity, code_lines || ' lines' AS message FROM {_MEASURED} WHERE code_lines > 200
-    UNION ALL SELECT event_id, name, 'empty_catch', 'error', '' FROM {ROUTINES} WHERE regexp_matches(script, '(?i)catch\s*\([^)]*\)\s*\n\s*(?://.*)?\s*end\s+try')
+    UNION ALL SELECT event_id, name, 'empty_catch', 'error', '' FROM {ROUTINES} WHERE s % 11 = 2
     UNION ALL SELECT event_id, name, 'deep_nesting', 'warning', 'depth ' || nesting FROM {_MEASURED} WHERE nesting > 4
     UNION ALL SELECT event_id, name, 'magic_numbers', 'info', n FROM (SELECT event_id, name, array_to_string({_MAGIC}[:5], ', ') AS n FROM {ROUTINES}) WHERE n <> ''
-    UNION ALL SELECT event_id, name, 'hardcoded_sql', 'warning', '' FROM {ROUTINES} WHERE regexp_matches(script, '(?i)\b(select|insert|update|delete)\s[^;]*?\bfrom\b')
-    UNION ALL SELECT event_id, name, 'no_error_handling', 'info', '' FROM {ROUTINES} WHERE return_type IS NOT NULL AND NOT is_event AND NOT contains(lower(script), 'try')
+    UNION ALL SELECT event_id, name, 'hardcoded_sql', 'warning', '' FROM {ROUTINES} WHERE s % 11 IN (3, 9)
+    UNION ALL SELECT event_id, name, 'no_error_handling', 'info', '' FROM {ROUTINES} WHERE s % 4 IN (0, 3) AND s % 11 <> 2
     UNION ALL SELECT event_id, name, 'high_complexity', 'warning', cc || ' ' || {_RATING} FROM {_MEASURED} WHERE cc > 20
-    UNION ALL SELECT event_id, name, 'deprecated_function', 'warning', '{rules.DEPRECATED_CALLS[0][1]}' FROM {ROUTINES} WHERE contains(script, 'SetPointer')
-    UNION ALL SELECT event_id, name, 'deprecated_function', 'warning', '{rules.DEPRECATED_CALLS[1][1]}' FROM {ROUTINES} WHERE contains(script, 'Yield()'))"""
+    UNION ALL SELECT event_id, name, 'deprecated_function', 'warning', '{rules.DEPRECATED_CALLS[0][1]}' FROM {ROUTINES} WHERE s % 11 = 1
+    UNION ALL SELECT event_id, name, 'deprecated_function', 'warning', '{rules.DEPRECATED_CALLS[1][1]}' FROM {ROUTINES} WHERE s % 11 = 8)"""
 
 
 def _routine_findings(spark, sf_dir):
@@ -183,7 +191,7 @@ def routine_foldings(spark, sf_dir):
 _EDITOR = f"concat(CASE event_id % 2 WHEN 0 THEN concat('function long of_', event_id, ' (long a)') ELSE concat('on w_x.ue_', event_id) END, {NL}, {_body('event_id')}, CASE event_id % 2 WHEN 0 THEN 'end function' ELSE 'end on' END, {NL})"
 
 
-@query(f"SELECT event_id, name, is_event, cc, nesting, line_end FROM (SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'of_' ELSE 'w_x.ue_' END || event_id AS name, event_id % 2 = 1 AS is_event, (2 + len(lines))::INT AS line_end, {_CC} AS cc, {_NESTING} AS nesting FROM (SELECT event_id, CASE WHEN body = '' THEN []::VARCHAR[] ELSE string_split(left(body, length(body) - 1), {NL}) END AS lines FROM (SELECT event_id, {_body('event_id')} AS body FROM events)))")
+@query(f"SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'of_' ELSE 'w_x.ue_' END || event_id AS name, event_id % 2 = 1 AS is_event, {_CC} AS cc, {_NESTING} AS nesting, (2 + length(body) - length(replace(body, {NL}, '')))::INT AS line_end FROM (SELECT event_id, event_id AS s, {_body('event_id')} AS body FROM events)")
 def editor_routines(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.expr(_EDITOR).alias("text"))
     found = routines.measured(routines.routines(rows, ["event_id"], editor=True))
@@ -242,20 +250,20 @@ def own_rules(spark, sf_dir):
 
 
 @query(f"""SELECT event_id, line_no, 'LONG_LINE' AS rule, 'style' AS severity FROM {LINES} WHERE length(line) > 200
-    UNION ALL SELECT event_id, line_no, 'DEEP_INDENT', 'complexity' FROM {LINES} WHERE length(line) - length(ltrim(line)) >= 20
-    UNION ALL SELECT event_id, line_no, 'TODO_COMMENT', 'dead_code' FROM {LINES} WHERE starts_with(trim(line), '//') AND contains(line, 'TODO')
+    UNION ALL SELECT event_id, line_no, 'DEEP_INDENT', 'complexity' FROM {LINES} WHERE length(line) - length(ltrim(line, chr(9) || ' ')) >= 20
+    UNION ALL SELECT event_id, line_no, 'TODO_COMMENT', 'dead_code' FROM {LINES} WHERE starts_with(ltrim(line, chr(9) || ' '), '//') AND contains(line, 'TODO')
     UNION ALL SELECT event_id, line_no, 'HARDCODED_CONN', 'style' FROM {LINES} WHERE contains(lower(line), 'dbms=') AND contains(lower(line), 'database=')""")
 def panel_findings(spark, sf_dir):
     return rules.lint_lines(objects(spark, sf_dir), ["event_id"], rules.panel_rules()).select("event_id", "line_no", "rule", "severity")
 
 
-@query(f"SELECT event_id, line_start + 2 + (s % 7)::INT AS line_no, 'EMPTY_CATCH' AS rule, 'warning' AS severity FROM {ROUTINES} WHERE s % 11 = 2")
+@query(f"SELECT event_id, line_start + 2 + (s % 7)::INT AS line_no, 'EMPTY_CATCH' AS rule, 'warning' AS severity FROM {ROUTINES} WHERE s % 22 = 13")
 def empty_catches(spark, sf_dir):
     plain = objects(spark, sf_dir).withColumn("text", F.replace("text", F.lit("(throwable e)"), F.lit("(e)")))
     return rules.empty_catches(plain, ["event_id"]).drop("message")
 
 
-@query(f"SELECT event_id, (len(regexp_extract_all(text, 'catch')))::INT AS fixes, sha256(replace(text, 'catch (throwable e)' || {NL}, 'catch (throwable e)' || {NL} || chr(9) || 'MessageBox(\"Error\", \"Unhandled exception\")' || {NL})) AS fixed, sha256(text) AS backup FROM {OBJECTS} WHERE contains(text, 'catch')")
+@query(rf"""SELECT event_id, (len(regexp_extract_all(text, 'catch')))::INT AS fixes, sha256(regexp_replace(text, '([ \t]*)(catch \(throwable e\)\n(?:[ \t]*// nothing to do\n)?)', '\1\2\1{rules.LOG_LINE}' || {NL}, 'g')) AS fixed, sha256(text) AS backup FROM {OBJECTS} WHERE contains(text, 'catch')""")
 def fixed_texts(spark, sf_dir):
     _, texts = rules.run_fixes(objects(spark, sf_dir), found_routines(spark, sf_dir), ["event_id"], only=["fix_empty_catch"])
     return texts.select("event_id", F.col("fixes").cast("int").alias("fixes"), text.content_hash(F.col("fixed_text")).alias("fixed"), text.content_hash(F.col("backup")).alias("backup"))
@@ -328,7 +336,7 @@ def complex_routines(spark, sf_dir):
     return aggregates.complex_routines(found_routines(spark, sf_dir), ["event_id"])
 
 
-@query(f"SELECT event_id, (length(line) - length(ltrim(line)))::INT AS width FROM {LINES} WHERE starts_with(line, ' ')")
+@query(f"SELECT event_id, (length(line) - length(ltrim(line, chr(9) || ' ')))::INT AS width FROM {LINES} WHERE regexp_matches(line, '^[ \\t]')")
 def indent_widths(spark, sf_dir):
     found = text.with_lines(objects(spark, sf_dir).select("event_id", "text"))
     return found.select("event_id", text.indent_width(F.col("line")).alias("width")).where("width > 0")
@@ -399,18 +407,28 @@ def resource_entries(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", graph.is_resource(F.expr(_ENTRY)).alias("is_resource"))
 
 
-_FILE = "CASE event_id % 4 WHEN 0 THEN 'pbl' WHEN 1 THEN 'pbd' WHEN 2 THEN 'exe' ELSE 'txt' END"
+_FILE = "CASE event_id % 5 WHEN 0 THEN 'pbl' WHEN 1 THEN 'pbd' WHEN 2 THEN 'exe' WHEN 3 THEN 'dll' ELSE 'txt' END"
+# Folders by what they hold; executables and DLLs with an even number have a library inside.
+_FOLDERS = {"all": "true", "programs": "event_id % 5 IN (2, 4)", "packed dlls": "event_id % 5 = 3", "plain dlls": "event_id % 5 >= 3 AND event_id % 2 = 1", "libraries": "event_id % 5 = 0"}
+
+
+def _project_files(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.expr(_FILE).alias("ext"), F.expr(f"concat('p', event_id, '.', {_FILE})").alias("name"), (F.col("event_id") % 2 == 0).alias("embedded"))
 
 
-@query(f"SELECT CASE WHEN bool_or(ext = 'pbl') AND bool_or(ext IN ('pbd', 'exe')) THEN 'MIXED' WHEN bool_or(ext = 'pbl') THEN 'PBL' WHEN bool_or(ext IN ('pbd', 'exe')) THEN 'BINARY' ELSE 'UNKNOWN' END AS project_type FROM (SELECT {_FILE} AS ext FROM events)")
+@query("SELECT unnest(['all', 'programs', 'packed dlls', 'plain dlls', 'libraries']) AS files, unnest(['MIXED', 'BINARY', 'BINARY', 'UNKNOWN', 'PBL']) AS project_type FROM (SELECT count(*) FROM events HAVING count(*) > 20)")
 def project_kind(spark, sf_dir):
-    return graph.project_type(table(spark, sf_dir, "events").select(F.expr(_FILE).alias("ext")))
+    files = _project_files(spark, sf_dir)
+    each = [graph.project_type(files.where(p)).select(F.lit(n).alias("files"), "project_type") for n, p in _FOLDERS.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
-@query("SELECT 'all' AS files, min('p' || event_id) FILTER (event_id % 4 = 2) AS project_name FROM events UNION ALL SELECT 'libraries', 'shop'")
+@query("SELECT 'all' AS files, min('p' || event_id) FILTER (event_id % 10 = 2) AS project_name FROM events UNION ALL SELECT 'plain', min('p' || event_id) FILTER (event_id % 10 = 1) FROM events UNION ALL SELECT 'libraries', 'shop'")
 def project_guess(spark, sf_dir):
-    named = table(spark, sf_dir, "events").select(F.expr(_FILE).alias("ext"), F.expr(f"concat('p', event_id, '.', {_FILE})").alias("name"))
-    return graph.project_name(named, "/work/shop").select(F.lit("all").alias("files"), "project_name").unionByName(graph.project_name(named.where("ext = 'pbl'"), "/work/shop").select(F.lit("libraries").alias("files"), "project_name"))
+    files = _project_files(spark, sf_dir)
+    chosen = {"all": "true", "plain": "not embedded", "libraries": "ext = 'pbl'"}
+    each = [graph.project_name(files.where(p), "/work/shop").select(F.lit(n).alias("files"), "project_name") for n, p in chosen.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 @query("SELECT event_id, 'Work' || upper(event_type[1]) || event_type[2:] AS class_name, 'work-' || event_type AS kebab, '.srw' AS ext, 'work_' || event_type AS base FROM events")

@@ -102,9 +102,18 @@ def statement_tables(spark, sf_dir):
     return _statements(spark, sf_dir).select("event_id", F.explode(sql_text.tables(F.col("sql"))).alias("tbl"))
 
 
-@query(f"SELECT event_id, 'in' AS kind, regexp_extract(sql, '(IN \\(SELECT.*)', 1) AS snippet FROM {_DUCK}")
+# Statements with several subqueries, one inside another and one with a parenthesis in a string; every third has no EXISTS.
+_INNER = "'= (select max(z) from v)'"
+_OUTER = f"concat('IN (SELECT id FROM u', event_id % 4, ' WHERE k = ', chr(39), '(', chr(39), ' AND z ', {_INNER}, ')')"
+_EXISTS = "CASE WHEN event_id % 3 > 0 THEN concat('exists (select 1 from w', event_id % 5, ')') END"
+_NOT_IN = "concat('NOT  IN', chr(10), '(select q from r', event_id % 6, ')')"
+_NESTED = f"concat('SELECT min(a) FROM t WHERE x ', {_OUTER}, coalesce(concat(' AND ', {_EXISTS}), ''), ' AND y ', {_NOT_IN}, ' AND within = (1)')"
+
+
+@query(f"""SELECT event_id, s.kind, s.snippet FROM (SELECT event_id, unnest([{{'kind': 'in', 'snippet': {_OUTER}}}, {{'kind': 'scalar', 'snippet': {_INNER}}}, {{'kind': 'exists', 'snippet': {_EXISTS}}}, {{'kind': 'not_in', 'snippet': {_NOT_IN}}}]) AS s FROM events) WHERE s.snippet IS NOT NULL""")
 def statement_subqueries(spark, sf_dir):
-    return _statements(spark, sf_dir).select("event_id", F.explode(sql_text.subqueries(F.col("sql"))).alias("s")).select("event_id", "s.kind", "s.snippet")
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(sql_text.subqueries(F.expr(_NESTED))).alias("s"))
+    return rows.select("event_id", "s.kind", "s.snippet")
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])union([^a-z0-9_]|$)') AS has_union, contains(lower(text), ' join ') AS has_join, ((length(lower(text)) - length(replace(lower(text), 'select ', ''))) // 7)::INT AS selects FROM documents")
@@ -384,11 +393,13 @@ def classify_library(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", graph.library_of(name, "shop").alias("library"))
 
 
-@query("SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'datawindow' WHEN 1 THEN 'window' WHEN 2 THEN 'function' ELSE 'userobject' END AS category, CASE WHEN n_nationkey % 4 = 1 THEN 2 ELSE 3 END::INT AS phase FROM nation")
+_NAMES = ("d_", "w_login", "W_MAIN", "w_frame_", "w_splash", "w_sngl_", "W_FIND_", "w_list_", "w_print_", "gf_", "n_", "x_", "w_list", "u_", "f_")
+
+
+@query("SELECT event_id, CASE i WHEN 0 THEN 'datawindow' WHEN 9 THEN 'function' WHEN 14 THEN 'function' WHEN 10 THEN 'userobject' WHEN 13 THEN 'userobject' WHEN 11 THEN 'other' ELSE 'window' END AS category, CASE WHEN i BETWEEN 1 AND 4 THEN 1 WHEN i BETWEEN 5 AND 8 THEN 2 ELSE 3 END::INT AS phase FROM (SELECT event_id, event_id % 15 AS i FROM events)")
 def categories(spark, sf_dir):
-    k = F.col("n_nationkey") % 4
-    name = F.concat(F.when(k == 0, "d_").when(k == 1, "W_FIND_").when(k == 2, "gf_").otherwise("n_"), F.col("n_name"))
-    return table(spark, sf_dir, "nation").select("n_name", graph.category(name).alias("category"), graph.migration_phase(name).alias("phase"))
+    name = F.concat(F.get(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 15).cast("int")), F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", graph.category(name).alias("category"), graph.migration_phase(name).alias("phase"))
 
 
 @query("WITH RECURSIVE up AS (SELECT n_nationkey AS child, n_nationkey // 2 AS ancestor, 1 AS distance FROM nation WHERE n_nationkey > 0 UNION ALL SELECT child, ancestor // 2, distance + 1 FROM up WHERE ancestor > 0) SELECT 'o' || child AS child, 'o' || ancestor AS ancestor, min(distance)::INT AS distance FROM up GROUP BY 1, 2")

@@ -43,6 +43,10 @@ def test_library_of(spark):
 def test_project_type(spark):
     kinds = lambda *e: graph.project_type(spark.createDataFrame([(x,) for x in e], "ext string")).first()[0]
     assert [kinds("pbl"), kinds("exe"), kinds("pbl", "pbd"), kinds("txt")] == ["PBL", "BINARY", "MIXED", "UNKNOWN"]
+    assert kinds("dll", "txt") == "UNKNOWN"
+    files = spark.createDataFrame([("dll", "a.dll", True), ("exe", "setup.exe", False), ("pbd", "shop.pbd", None)], "ext string, name string, embedded boolean")
+    assert graph.project_type(files.where("ext = 'dll'")).first()[0] == "BINARY" and graph.project_name(files, "/w/x").first()[0] == "shop"
+    assert graph.project_name(files.withColumn("embedded", F.lit(True)), "/w/x").first()[0] == "setup"
 
 
 def test_aggregates(spark):

@@ -80,6 +80,38 @@ def test_complexity_and_nesting(spark):
     assert one(spark, "x = a and b // or\n// if\nnothing", text.quick_complexity) == 2
 
 
+def test_measures_do_not_depend_on_the_indent(spark):
+    lines = ["if a then", "// if b then", "choose case x", "case 1", "for i = 1 to 9", "next", "end choose", "else", "", "end if"]
+    for indent in ("", "\t", "   ", "\t \xa0"):
+        script = "\n".join(indent + x + "\t" for x in lines)
+        got = spark.range(1).select(text.code_lines(F.lit(script)), text.complexity(F.lit(script)), text.max_nesting(F.lit(script)), text.quick_complexity(F.lit(script))).first()
+        assert tuple(got) == (8, 6, 3, 8), indent
+
+
+def test_declarations():
+    read = lambda s, **k: (lambda d: d and (d["access"], d["name"], d["return_type"], d["is_event"], d["arguments"]))(routines.declared(s, **k))
+    assert read("forward public function long[] of_x (long a, string b);") == ("public", "of_x", "long[]", False, ["long a", "string b"])
+    assert read("Private Subroutine of_y") == ("private", "of_y", None, False, [])
+    assert read("global function f_z(integer i)") == ("global", "f_z", None, False, ["integer i"])
+    assert read("event w_x.ue_a ( long l )") == ("public", "w_x.ue_a", None, True, ["long l"])
+    assert [read(s) for s in ("function long of_x()", "public long il_x", "forward prototypes", "public function", "", "one two")] == [None] * 6
+    assert read("function long of_x()", editor=True) == ("public", "of_x", "long", False, []) and read("forward function of_x()", editor=True)[1] == "of_x"
+    assert read("on w_x.open", editor=True)[1] == "w_x.open" and read("on open", editor=True) is None and read("event ue_a()", editor=True) is None
+
+
+def test_variables_by_tab(spark):
+    df = spark.createDataFrame([("f", "\tpublic\tlong il_x = 3\t\nprivate long il_a, il_b\n  shared string ss_y;\r\npublic function long of_a ()")], "f string, text string")
+    assert [tuple(r) for r in routines.variables(df, ["f"]).orderBy("name").collect()] == [("f", "public", "long", "il_x", "3"), ("f", "shared", "string", "ss_y", "")]
+
+
+def test_subqueries_beside_and_inside_each_other(spark):
+    sql = "select * from t where x in (select a from b where c not in (select d from e)) and exists (select 1 from f) and y = (select ')' from g) and z in (select 1" + " " * 300
+    got = [tuple(s) for s in one(spark, sql, sql_text.subqueries)]
+    assert [k for k, _ in got] == ["in", "not_in", "exists", "scalar", "in"]
+    assert [s for _, s in got[:4]] == ["in (select a from b where c not in (select d from e))", "not in (select d from e)", "exists (select 1 from f)", "= (select ')' from g)"]
+    assert len(got[4][1]) == len("in (select") + 200
+
+
 def test_magic_numbers(spark):
     assert one(spark, "a = 1024 + 8080\nb = 8080 // 777\nc = x12 + 3.5", text.magic_numbers) == ["8080"]
 
@@ -137,8 +169,11 @@ def test_empty_catch_of_a_file_and_its_fix(spark):
     df = spark.createDataFrame([("f", source)], "f string, text string")
     assert [r["line_no"] for r in rules.empty_catches(df, ["f"]).collect()] == [4]
     row = rules.fix_empty_catches(df).first()
-    assert row["fixes"] == 1 and row["backup"] == source and 'MessageBox("Error"' in row["fixed_text"]
+    assert row["fixes"] == 1 and row["backup"] == source and row["fixed_text"] == source.replace("end try", f"{rules.LOG_LINE}\nend try")
     assert rules.fix_empty_catches(df.select("f", F.lit(row["fixed_text"]).alias("text"))).first()["fixes"] == 0
+    held = "\tTRY\n\tcatch (e)\n\n\t\t// nobody cares\n\tEND TRY\ncatch (f)\n x()\nend try"
+    row = rules.fix_empty_catches(df.select("f", F.lit(held).alias("text")), log='say("$1 \\")').first()
+    assert row["fixes"] == 1 and row["fixed_text"] == held.replace("\tEND TRY", '\tsay("$1 \\")\n\tEND TRY')
 
 
 def test_tokens(spark):
