@@ -781,15 +781,23 @@ def _export_folder(spark):
     return f"{checkpoint_folder(spark)}/lodestrata/export-{uuid.uuid4().hex}"
 
 
+def _exported(spark, files):
+    """The list of what an export wrote; the files themselves go, the list stays."""
+    folder = _export_folder(spark)
+    done = sinks.write_files(files, folder)
+    sinks.discard_files(folder)
+    return done
+
+
 @query(f"SELECT library || '/' || kind || '/' || name AS path, length(text) AS bytes, NULL::VARCHAR AS error FROM {OBJECTS}")
 def exported_sources(spark, sf_dir):
     rows = objects(spark, sf_dir).withColumnRenamed("kind", "type_name")
-    return sinks.write_files(sinks.export_paths(rows, by_type=True, library="library"), _export_folder(spark))
+    return _exported(spark, sinks.export_paths(rows, by_type=True, library="library"))
 
 
 @query(f"SELECT {_INFERRED} || '.pbl/' || name AS path, length(text) AS bytes FROM {OBJECTS}")
 def exported_tree(spark, sf_dir):
-    return sinks.write_files(sinks.tree_paths(objects(spark, sf_dir), "shop", [("u_", "objects")]), _export_folder(spark)).where("error is null").drop("error")
+    return _exported(spark, sinks.tree_paths(objects(spark, sf_dir), "shop", [("u_", "objects")])).where("error is null").drop("error")
 
 
 @query(f"SELECT path, count(*) FILTER (is_source) AS sources, CASE WHEN count(*) FILTER (is_source) = 0 THEN 'only compiled entries: ' || count(*) ELSE count(*) FILTER (is_source) || ' exported' END AS note FROM {_STORED} GROUP BY 1")
@@ -799,7 +807,7 @@ def export_notes(spark, sf_dir):
 
 @query("SELECT event_id || '.exe/10_101_1033.pbd' AS path, 64::BIGINT AS bytes FROM events UNION ALL SELECT event_id || '.exe/2_7_1033.bin', 20 FROM events")
 def exported_resources(spark, sf_dir):
-    return sinks.write_files(sinks.embedded_paths(executables.read_resources(_executables(spark, sf_dir))), _export_folder(spark)).where("error is null").drop("error")
+    return _exported(spark, sinks.embedded_paths(executables.read_resources(_executables(spark, sf_dir)))).where("error is null").drop("error")
 
 
 @query(f"SELECT '-- d_' || event_id || {NL} || sql || ';' || {NL} AS value FROM {_DUCK_REPORT}")

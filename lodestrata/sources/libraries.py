@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.text import extension
 
@@ -41,12 +42,29 @@ def type_of(name: str, comment: str = "") -> tuple[int, bool]:
     return next((t for p, t in PREFIX_TYPES.items() if low.startswith(p)), 11), False
 
 
-def payload(raw: bytes, offset: int, size: int) -> bytes:
-    """Data of an entry, its blocks followed one after the other; a block outside the format ends it."""
+class Region:
+    """Bytes of a library, by place. This one is of bytes in memory."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.size = raw, len(raw)
+
+    def at(self, start: int, n: int) -> bytes:
+        return self.raw[start : start + n]
+
+
+def payload(region: Region, offset: int, size: int) -> bytes:
+    """Data of an entry, its blocks followed one after the other; a block outside the format ends it.
+
+    Blocks mostly follow each other, so as many as the size needs are read at
+    once, and again from where the chain leaves that stretch.
+    """
     out, at, seen = bytearray(), offset, set()
-    while 0 < at <= len(raw) - 10 and len(out) < size and at not in seen:
+    start, held = 0, b""
+    while 0 < at <= region.size - 10 and len(out) < size and at not in seen:
         seen.add(at)
-        block = raw[at : at + BLOCK]
+        if not start <= at or at + BLOCK > start + len(held):
+            start, held = at, region.at(at, BLOCK * -(-(size - len(out)) // PER_BLOCK))
+        block = held[at - start : at - start + BLOCK]
         if block[:4] != b"DAT*":
             out += block[: size - len(out)]
             break
@@ -55,15 +73,17 @@ def payload(raw: bytes, offset: int, size: int) -> bytes:
     return bytes(out)
 
 
-def _nodes(raw: bytes, first: int, both: bool) -> Iterator[bytes]:
+def _nodes(region: Region, first: int, both: bool) -> Iterator[bytes]:
     """Node blocks along the right siblings, or along both siblings of each; each one once."""
     todo, seen = [first], set()
     while todo:
         at = todo.pop()
-        if not at or at in seen or raw[at : at + 4] != b"NOD*":
+        if not at or at in seen:
+            continue
+        block = region.at(at, NODE)
+        if block[:4] != b"NOD*":
             continue
         seen.add(at)
-        block = raw[at : at + NODE]
         if len(block) < NODE:
             raise ValueError("node cut off")
         yield block
@@ -72,18 +92,21 @@ def _nodes(raw: bytes, first: int, both: bool) -> Iterator[bytes]:
             todo.append(struct.unpack_from("<I", block, 4)[0])
 
 
-def entries(raw: bytes, strict: bool = False) -> Iterator[dict]:
+def entries(raw: bytes | Region, strict: bool = False, chosen: Callable[[dict], bool] | None = None) -> Iterator[dict]:
     """Entries of a library in order, the first of each name; raises ValueError for anything else.
 
     ``strict`` walks both siblings of every node and takes entries of the
-    versions in :data:`STRICT_VERSIONS` alone.
+    versions in :data:`STRICT_VERSIONS` alone. Data is read of those entries
+    alone that ``chosen`` takes, by all their other values.
     """
-    if raw[:4] != b"HDR*":
+    region = raw if isinstance(raw, Region) else Region(raw)
+    front = region.at(0, 2 * BLOCK + 4)
+    if front[:4] != b"HDR*":
         raise ValueError("no library header")
-    unicode = raw[BLOCK : BLOCK + 4] != b"FRE*" and (raw[2 * BLOCK : 2 * BLOCK + 4] == b"FRE*" or b"\xff\xfe" in raw[:32])
+    unicode = front[BLOCK : BLOCK + 4] != b"FRE*" and (front[2 * BLOCK : 2 * BLOCK + 4] == b"FRE*" or b"\xff\xfe" in front[:32])
     wide, charset = (2, "utf-16-le") if unicode else (1, "latin-1")
     names, ordinal = set(), 0
-    for block in _nodes(raw, (3 if unicode else 2) * BLOCK, strict):
+    for block in _nodes(region, (3 if unicode else 2) * BLOCK, strict):
         at = 32
         for _ in range(min(struct.unpack_from("<H", block, 20)[0], 200)):
             fixed = at + 4 + 4 * wide
@@ -96,10 +119,12 @@ def entries(raw: bytes, strict: bool = False) -> Iterator[dict]:
             name = name.strip()
             if strict and version not in STRICT_VERSIONS:
                 continue
-            if name and name not in names and 0 < offset <= len(raw) and 0 < size <= LARGEST:
+            if name and name not in names and 0 < offset <= region.size and 0 < size <= LARGEST:
                 names.add(name)
                 code, source = type_of(name, comment)
-                yield {"ordinal": ordinal, "name": name, "type_code": code, "type_name": TYPES[code], "is_source": source, "version": version, "is_unicode": unicode, "data_offset": offset, "size": size, "modified": (stamp // 1000 if stamp > 3_000_000_000 else stamp) * 1_000_000 if stamp else None, "data": payload(raw, offset, size)}
+                found = {"ordinal": ordinal, "name": name, "type_code": code, "type_name": TYPES[code], "is_source": source, "version": version, "is_unicode": unicode, "data_offset": offset, "size": size, "modified": (stamp // 1000 if stamp > 3_000_000_000 else stamp) * 1_000_000 if stamp else None}
+                if chosen is None or chosen(found):
+                    yield found | {"data": payload(region, offset, size)}
                 ordinal += 1
 
 
@@ -160,34 +185,101 @@ def build(items: list[tuple[str, bytes]], unicode: bool = True, version: str = "
     return bytes(header) + b"FRE*".ljust(BLOCK, b"\0") + bytes(body) + bytes(data)
 
 
-#: Bytes of a library that one task puts together; larger ones become error rows.
+#: Bytes of a library that is one value; what is larger has to be written, see :func:`library_blocks`.
 LARGEST_LIBRARY = 1 << 30
+#: The last place that the format can name.
+LAST_PLACE = (1 << 32) - 1
 
 
-def pack(rows: DataFrame, library: str = "library", unicode: bool = True, largest: int = LARGEST_LIBRARY) -> DataFrame:
-    """``(library, content, error)``: one library of each group's ``name`` and ``data``.
+def _little(c: Column, n: int) -> Column:
+    """A number as ``n`` bytes, the lowest first."""
+    digits = F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))]))
+
+
+def _framed(unicode: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for place, data in zip(batch.column("at").to_pylist(), batch.column("data").to_pylist()):
+                parts = [data[i : i + PER_BLOCK] for i in range(0, len(data), PER_BLOCK)] or [b""]
+                links = [place + BLOCK * (k + 1) for k in range(len(parts) - 1)] + [0]
+                out.append(b"".join((b"DAT*" + struct.pack("<IH", link, len(p)) + p).ljust(BLOCK, b"\0") for link, p in zip(links, parts)))
+            yield pa.record_batch([batch.column("library"), batch.column("at"), pa.array(out, pa.binary())], ["library", "at", "bytes"])
+
+    return run
+
+
+def library_blocks(rows: DataFrame, library: str = "library", unicode: bool = True, version: str = "0600", stamp: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(library, at, bytes)``, the stretches of each group's library by place, and ``(library, error)``.
 
-    The sizes are summed before any payload moves: a library over ``largest``
-    bytes, or with names that a node cannot hold, becomes a row with an error.
-    Null data is empty, null names are left out.
+    The stretches are the header, each node and each entry's data blocks, so
+    no task holds a library, whatever its size: where each of them starts
+    follows from prefix sums over the names and sizes. In order of ``at`` they
+    make up the bytes that :func:`build` gives. A library beyond the places
+    that the format can name, or with names that a node cannot hold, has an
+    error and no stretches.
+
+    Null data is empty, null names are left out; names that differ only in
+    case are one entry, with the last one's spelling and data.
     """
-    rows = rows.select(library, "name", F.coalesce("data", F.lit(b"")).alias("data")).where(F.col("name").isNotNull())
-    blocks = F.greatest(F.ceil(F.octet_length("data") / PER_BLOCK), F.lit(1)) * BLOCK
-    sizes = rows.groupBy(library).agg(F.sum(blocks).alias("_bytes"), F.count("*").alias("_n"))
-    need = F.col("_bytes") + (F.col("_n") / PER_NODE + 1) * NODE + 4 * BLOCK
-    large = sizes.where(need > largest).select(library)
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("name")
-        try:
-            made, error = build(list(zip(frame["name"], frame["data"])), unicode), None
-        except (ValueError, struct.error) as e:
-            made, error = None, str(e)
-        return pd.DataFrame({"library": [frame[library].iloc[0]], "content": [made], "error": [error]})
+    wide, charset = (2, "UTF-16LE") if unicode else (1, "ISO-8859-1")
+    each = rows.where(F.col("name").isNotNull()).select(F.col(library).cast("string").alias("library"), "name", F.coalesce("data", F.lit(b"")).alias("data"))
+    once = each.groupBy("library", F.lower("name").alias("_low")).agg(F.min("name").alias("_first"), F.max(F.struct("name", "data")).alias("_e")).select("library", "_first", "_e.name", "_e.data")
+    sized = once.select("library", "_first", "name", F.octet_length("data").alias("size"), F.greatest(F.ceil(F.octet_length("data") / PER_BLOCK), F.lit(1)).alias("blocks"))
+    order = Window.partitionBy("library").orderBy("_first")
+    spot = sized.select("*", (F.row_number().over(order) - 1).alias("k"), F.coalesce(F.sum("blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.count("*").over(Window.partitionBy("library")).alias("n"))
+    node_at, nodes = (wide + 1) * BLOCK, F.greatest(F.ceil(F.col("n") / PER_NODE), F.lit(1))
+    placed = spot.select("library", "_first", "name", "size", "blocks", "n", "k", F.floor(F.col("k") / PER_NODE).alias("node"), nodes.alias("nodes"), (F.lit(node_at) + nodes * NODE + F.col("before") * BLOCK).alias("at"))
+    binary = lambda b: F.lit(b)
+    label = F.concat(F.encode("name", charset), F.encode(F.lit("\1"), charset))
+    held = F.concat(binary(b"ENT*"), F.encode(F.lit(version), charset), _little(F.col("at"), 4), _little(F.col("size"), 4), _little(F.lit(stamp), 4), _little(F.lit(0), 2), _little(F.octet_length(label), 2), label)
+    entry_rows = placed.select("library", "node", "nodes", "n", "k", (F.col("at") + F.col("blocks") * BLOCK).alias("end"), held.alias("e"))
+    per_node = entry_rows.groupBy("library", "node").agg(F.max("nodes").alias("nodes"), F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held"), F.sum(F.octet_length("e")).alias("bytes"), F.array_sort(F.collect_list(F.struct("k", "e"))).alias("es"))
+    wrong = F.when(F.max("end") > LAST_PLACE, "too large for the format").when(F.max("bytes") + 32 > NODE, "names too long for a node")
+    errors = per_node.groupBy("library").agg(wrong.alias("error")).where("error is not null")
+    bad = errors.select(F.col("library").alias("_bad"))
+    good = lambda df: df.join(bad, F.col("library").eqNullSafe(F.col("_bad")), "left_anti")
+    following = F.when(F.col("node") + 1 < F.col("nodes"), F.lit(node_at) + (F.col("node") + 1) * NODE).otherwise(0)
+    body = F.concat(binary(b"NOD*" + b"\0" * 8), _little(following, 4), binary(b"\0" * 4), _little(F.col("held"), 2), binary(b"\0" * 10), *[F.coalesce(F.get("es", F.lit(i))["e"], binary(b"")) for i in range(PER_NODE)])
+    pad = lambda c, n: F.rpad(c, n, b"\0")
+    nodes_out = good(per_node).select("library", (F.lit(node_at) + F.col("node") * NODE).alias("at"), pad(body, NODE).alias("bytes"))
+    title = binary(b"HDR*" + ("PowerBuilder Library\0" + version + "\0").encode("utf-16-le" if unicode else "latin-1"))
+    front = F.concat(pad(title, wide * BLOCK - 8), _little(F.col("n"), 4), binary(b"\0" * 4), pad(binary(b"FRE*"), BLOCK))
+    headers = good(per_node.where("node = 0")).select("library", F.lit(0).cast("long").alias("at"), front.alias("bytes"))
+    payloads = once.join(placed.select(F.col("library").alias("_l"), F.col("_first").alias("_f"), "at"), F.col("library").eqNullSafe(F.col("_l")) & (F.col("_first") == F.col("_f")))
+    data = good(payloads.select("library", "at", "data")).mapInArrow(_framed(unicode), "library string, at long, bytes binary")
+    return headers.unionByName(nodes_out).unionByName(data), errors
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each library's stretches, which come in order."""
+    name, parts, begun = None, [], False
+    row = lambda: pa.record_batch([pa.array([name], pa.string()), pa.array([b"".join(parts)], pa.binary())], ["library", "content"])
+    for batch in batches:
+        for library, part in zip(batch.column("library").to_pylist(), batch.column("bytes").to_pylist()):
+            if begun and library != name:
+                yield row()
+                parts = []
+            name, begun = library, True
+            parts.append(part)
+    if begun:
+        yield row()
 
-    schema = "library string, content binary, error string"
-    fitting = rows.join(large, rows[library].eqNullSafe(large[library]), "left_anti").groupBy(library).applyInPandas(one, schema)
-    return fitting.unionByName(large.select(F.col(library).cast("string").alias("library"), F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("error")))
+
+def pack(rows: DataFrame, library: str = "library", unicode: bool = True, largest: int = LARGEST_LIBRARY) -> DataFrame:
+    """``(library, content, error)``: one library of each group's ``name`` and ``data``, as a value.
+
+    A library of over ``largest`` bytes, or one that :func:`library_blocks`
+    finds an error in, is a row with an error; ``sinks.write_libraries``
+    writes those of any size that the format allows.
+    """
+    blocks, errors = library_blocks(rows, library, unicode)
+    large = blocks.groupBy("library").agg(F.max(F.col("at") + F.octet_length("bytes")).alias("_bytes")).where(F.col("_bytes") > largest).select(F.col("library").alias("_large"))
+    fitting = blocks.join(large, F.col("library").eqNullSafe(F.col("_large")), "left_anti")
+    made = fitting.repartition("library").sortWithinPartitions("library", "at").select("library", "bytes").mapInArrow(_joined, "library string, content binary").withColumn("error", F.lit(None).cast("string"))
+    refused = errors.unionByName(large.select(F.col("_large").alias("library"), F.lit("too large").alias("error")))
+    return made.unionByName(refused.select("library", F.lit(None).cast("binary").alias("content"), "error"))
 
 
 def folder_rows(files: DataFrame, text_col: str = "content") -> DataFrame:
@@ -195,29 +287,50 @@ def folder_rows(files: DataFrame, text_col: str = "content") -> DataFrame:
     return files.select("library", "name", F.col(text_col).alias("data"))
 
 
-def source_text(data: pd.Series) -> pd.Series:
-    """Text of entries: by byte order mark, as UTF-16 where every other byte is zero, as UTF-8, else GBK, else Latin-1."""
+@F.pandas_udf(BinaryType())
+def _from_gbk(data: pd.Series) -> pd.Series:
+    """UTF-8 bytes of GBK texts, null where they are none."""
 
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
+    def one(raw: bytes | None) -> bytes | None:
+        try:
+            return None if raw is None else raw.decode("gbk").encode()
+        except UnicodeDecodeError:
             return None
-        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return raw.decode("utf-16", "replace").split("\0")[0]
-        if len(raw) >= 4 and raw[1:64:2].count(0) > len(raw[1:64:2]) * 0.6:
-            return raw.decode("utf-16-le", "replace").split("\0")[0]
-        for charset in ("utf-8-sig", "gbk"):
-            try:
-                return raw.decode(charset).replace("\0", "")
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("latin-1").replace("\0", "")
 
     return data.map(one)
 
 
+@F.pandas_udf(BinaryType())
+def _to_gbk(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.encode("gbk", "replace"))
+
+
+def source_text(data: Column) -> Column:
+    """Text of entries: by byte order mark, as UTF-16 where every other byte is zero, as UTF-8, else GBK, else Latin-1.
+
+    All but GBK is decoded by Spark itself; bytes that are something else
+    never reach the Python worker.
+    """
+    digits = F.hex(F.substring(data, 1, 64))
+    places = F.sequence(F.lit(3), F.greatest(F.lit(3), F.char_length(digits) - 1), F.lit(4))
+    odd = F.filter(F.transform(places, lambda i: F.substring(digits, i, 2)), lambda x: x != "")
+    wide = (F.octet_length(data) >= 4) & (F.size(F.filter(odd, lambda x: x == "00")) > 0.6 * F.size(odd))
+    mark = F.left(digits, F.lit(4))
+    whole = F.when(F.octet_length(data) % 2 == 1, F.substring(data, F.lit(1), F.octet_length(data) - 1)).otherwise(data)
+    first = lambda c: F.substring_index(c, "\0", 1)
+    utf16 = lambda c, charset: first(F.decode(c, charset))
+    after = F.substring(whole, F.lit(3), F.octet_length(whole))
+    plain = F.when(F.left(digits, F.lit(6)) == "EFBBBF", F.substring(data, F.lit(4), F.octet_length(data))).otherwise(data)
+    known = mark.isin("FFFE", "FEFF") | wide
+    utf8 = F.try_validate_utf8(F.when(~known, plain))
+    gbk = F.decode(_from_gbk(F.when(~known & utf8.isNull(), data)), "UTF-8")
+    narrow = F.replace(F.coalesce(utf8, gbk, F.decode(F.when(~known, data), "ISO-8859-1")), F.lit("\0"), F.lit(""))
+    return F.when(mark == "FFFE", utf16(after, "UTF-16LE")).when(mark == "FEFF", utf16(after, "UTF-16BE")).when(wide, utf16(whole, "UTF-16LE")).otherwise(narrow)
+
+
 def encoded(text: Column, charset: str = "UTF-16LE") -> Column:
-    """Bytes of a text, as entries of a library hold them."""
-    return F.encode(text, charset)
+    """Bytes of a text, as entries of a library hold them; GBK too."""
+    return _to_gbk(text) if charset.upper() == "GBK" else F.encode(text, charset)
 
 
 def listing(entry_rows: DataFrame) -> DataFrame:
@@ -233,8 +346,7 @@ def of_origin(entry_rows: DataFrame, compiled: bool = False) -> DataFrame:
 
 def sources(entry_rows: DataFrame) -> DataFrame:
     """Source entries with their ``text``."""
-    decode = F.pandas_udf(source_text, "string")
-    return entry_rows.where(F.col("is_source")).withColumn("text", decode("data")).drop("data")
+    return entry_rows.where(F.col("is_source")).withColumn("text", source_text(F.col("data"))).drop("data")
 
 
 def entry(entry_rows: DataFrame, name: str) -> DataFrame:

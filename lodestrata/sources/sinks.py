@@ -1,54 +1,221 @@
-"""Files written by the tasks that hold them: sources as text, extracted data as it is."""
+"""Files written by the tasks that hold them and seen when all are done: sources as text, libraries, extracted data as it is."""
 
 from __future__ import annotations
 
+import io
+import json
 import posixpath
+import threading
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..operators.graph import library_of
-from .libraries import type_folder
+from .libraries import library_blocks, sources, type_folder
 
 #: Exported sources below so many bytes are left out: a fixed value.
 LEAST_BYTES = 10
 
 
+#: Where a folder keeps what tasks have written before it is committed, and the lists of what was.
+STAGING, MANIFEST = "_staging", "_manifest"
+MANIFEST_SCHEMA = "path string, bytes long, error string"
+#: Files that are moved side by side when a job commits.
+MOVERS = 32
+
+
+def clean_path(path: str | None) -> str:
+    """A path below the folder, or a ValueError."""
+    clean = posixpath.normpath(path or ".")
+    if clean.startswith("/") or clean.split("/")[0] in ("..", ".", STAGING, MANIFEST):
+        raise ValueError("path outside the folder")
+    return clean
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task leaves: the folder of its attempt, and counts."""
+
+    attempt: str
+    files: int
+    errors: int
+
+
+class FileWriter(DataSourceArrowWriter):
+    """Files of ``(path, content)`` rows; rows of one path that follow each other are one file.
+
+    A task writes below the staging folder of its attempt, with a list of what
+    it wrote. Only when all tasks have ended are the files moved to their
+    places, and the lists after them. A task that fails or runs twice leaves
+    nothing that is seen, and a job that fails leaves nothing at all.
+    """
+
+    def __init__(self, folder: str, job: str):
+        self.folder, self.job = folder, job
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(self.folder)
+        context = TaskContext.get()
+        attempt = f"{root}/{STAGING}/{self.job}/{context.partitionId()}-{context.taskAttemptId()}" if context else f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
+        store.create_dir(attempt, recursive=True)
+        message, made = Written(attempt, 0, 0), {attempt}
+        with store.open_output_stream(f"{attempt}/{MANIFEST}") as listed:
+            note = lambda path, n, error: listed.write((json.dumps({"path": path, "bytes": n, "error": error}) + "\n").encode())
+            name, out, n = None, None, 0
+
+            def close() -> None:
+                nonlocal out
+                if out is not None:
+                    out.close()
+                    note(name, n, None)
+                    message.files += 1
+                    out = None
+
+            try:
+                for batch in batches:
+                    for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                        if out is None or path != name:
+                            close()
+                            name, n = path, 0
+                            try:
+                                whole = f"{attempt}/files/{clean_path(path)}"
+                            except ValueError as e:
+                                note(path, None, str(e))
+                                message.errors += 1
+                                continue
+                            above = posixpath.dirname(whole)
+                            if above not in made:
+                                store.create_dir(above, recursive=True)
+                                made.add(above)
+                            out = store.open_output_stream(whole)
+                        if data.is_valid:
+                            n += out.write(data.as_buffer())
+                close()
+            finally:
+                if out is not None:
+                    out.close()
+        return message
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, root = fs.FileSystem.from_uri(self.folder)
+        done = [m for m in messages if m is not None]
+        made: set[str] = set()
+        lock = threading.Lock()
+
+        def move(source: str, target: str) -> None:
+            above = posixpath.dirname(target)
+            with lock:
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
+            if store.get_file_info(target).type == fs.FileType.File:
+                store.delete_file(target)
+            store.move(source, target)
+
+        def paths(message: Written) -> Iterator[str]:
+            with store.open_input_stream(f"{message.attempt}/{MANIFEST}") as listed:
+                for line in io.TextIOWrapper(listed, "utf-8"):
+                    row = json.loads(line)
+                    if row["error"] is None:
+                        yield clean_path(row["path"])
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for m in done:
+                for _ in pool.map(lambda p, at=m.attempt: move(f"{at}/files/{p}", f"{root}/{p}"), dict.fromkeys(paths(m))):
+                    pass
+        for m in done:
+            move(f"{m.attempt}/{MANIFEST}", f"{root}/{MANIFEST}/{self.job}/{posixpath.basename(m.attempt)}.json")
+        self._clear(store, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear(*fs.FileSystem.from_uri(self.folder))
+
+    def _clear(self, store: fs.FileSystem, root: str) -> None:
+        own = f"{root}/{STAGING}/{self.job}"
+        if store.get_file_info(own).type == fs.FileType.Directory:
+            store.delete_dir(own)
+
+
+class FileSink(DataSource):
+    """``df.write.format("tree").option("folder", ...)``: options ``folder``, a URI, and ``job``, a name for its list."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree"
+
+    def writer(self, schema, overwrite: bool) -> FileWriter:
+        return FileWriter(self.options["folder"], self.options.get("job", uuid.uuid4().hex))
+
+
 def write_files(files: DataFrame, folder: str, path: str = "path", content: str = "content") -> DataFrame:
-    """Write each row's bytes to ``path`` below ``folder``; a row per file: ``path, bytes, error``.
+    """Write each row's bytes to ``path`` below ``folder``, now, and return the list of what was: ``path, bytes, error``.
 
-    The files are written when the result is computed, by the tasks, through
-    whatever file system the folder's URI names. A task that runs again writes
-    the same files again. Paths that lead out of the folder are errors.
+    The files are written once, through whatever file system the folder's URI
+    names, and seen when all of them are there: see :class:`FileWriter`. Paths
+    that lead out of the folder are rows with an error. Of two rows of one
+    path that are not side by side one stays. Null content is an empty file.
     """
+    spark, job = files.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(FileSink)
+    files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content")).write.format(FileSink.name()).option("folder", folder).option("job", job).mode("append").save()
+    listed = f"{folder}/{MANIFEST}/{job}"
+    store, at = fs.FileSystem.from_uri(listed)
+    if store.get_file_info(at).type != fs.FileType.Directory:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).json(listed)
+
+
+def discard_files(folder: str) -> None:
+    """Delete what was written to a folder, but for the lists of it."""
+    store, root = fs.FileSystem.from_uri(folder)
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.type == fs.FileType.Directory and info.base_name != MANIFEST:
+            store.delete_dir(info.path)
+        elif info.type == fs.FileType.File:
+            store.delete_file(info.path)
+
+
+def write_libraries(rows: DataFrame, folder: str, library: str = "library", unicode: bool = True, suffix: str = ".pbl") -> DataFrame:
+    """Write a library of each group's ``name`` and ``data``, of any size that the format allows; a row per file: ``path, bytes, error``.
+
+    The stretches of a library pass through one task in order, so its memory
+    is that of one stretch. See ``libraries.library_blocks``.
+    """
+    blocks, errors = library_blocks(rows, library, unicode)
+    named = lambda df: df.withColumn("path", F.concat("library", F.lit(suffix)))
+    inorder = named(blocks).repartition("path").sortWithinPartitions("path", "at")
+    done = write_files(inorder, folder, content="bytes")
+    return done.unionByName(named(errors).select("path", F.lit(None).cast("long").alias("bytes"), "error"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        made = set()
-        for batch in batches:
-            done = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    clean = posixpath.normpath(name or ".")
-                    if clean.startswith(("/", "..")) or clean == ".":
-                        raise ValueError("path outside the folder")
-                    whole = posixpath.join(root, clean)
-                    above = posixpath.dirname(whole)
-                    if above not in made:
-                        store.create_dir(above, recursive=True)
-                        made.add(above)
-                    with store.open_output_stream(whole) as out:
-                        out.write(data or b"")
-                    done.append((name, len(data or b""), None))
-                except (OSError, ValueError) as e:
-                    done.append((name, None, str(e)))
-            columns = list(zip(*done)) or [(), (), ()]
-            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["path", "bytes", "error"])
-
-    return files.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "path string, bytes long, error string")
+#: What an export counts on its way: entries by what becomes of them.
+OUTCOMES = ("sources", "compiled", "failed", "skipped")
+
+
+def export_entries(entry_rows: DataFrame, folder: str, by_type: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """Write the source entries of libraries to a tree; ``(list of the files, counts)``.
+
+    The counts are observed while the export runs: sources, compiled entries,
+    files that are no libraries, and sources that are too short to be written.
+    Nothing is read or parsed a second time for them.
+    """
+    seen, short = Observation(), Observation()
+    known = F.col("error").isNull()
+    watched = entry_rows.observe(seen, F.count_if(known & F.col("is_source")).alias("sources"), F.count_if(known & ~F.col("is_source")).alias("compiled"), F.count_if(~known).alias("failed"))
+    held = sources(watched).withColumn("library", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", ""))
+    parts = [F.col("library")] + ([type_folder(F.col("type_name"))] if by_type else []) + [F.col("name")]
+    placed = held.select(F.concat_ws("/", *parts).alias("path"), file_bytes(F.col("text")).alias("content")).observe(short, F.count_if(F.col("content").isNull()).alias("skipped"))
+    done = write_files(placed.where("content is not null"), folder)
+    return done, {k: seen.get.get(k, short.get.get(k, 0)) for k in OUTCOMES}
 
 
 def file_bytes(text: Column) -> Column:

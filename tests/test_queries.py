@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import object_queries, queries, registry  # noqa: F401
+from lodestrata.plans import object_extra, object_queries, queries, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()

@@ -1,10 +1,12 @@
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans import reports
-from lodestrata.sources import executables, files, libraries, sinks
+from lodestrata.sources import executables, files, libraries, library_source, sinks
 from lodestrata.streaming import changes
 
 
@@ -35,11 +37,11 @@ def test_sibling_cycle_ends():
 
 
 def test_source_text(spark):
-    import pandas as pd
-
-    texts = ["long of_x", "﻿bom"]
-    data = pd.Series([texts[0].encode("utf-16-le"), texts[1].encode("utf-8"), "名称".encode("gbk"), b"\xff\xfea\x00b\x00", None])
-    assert libraries.source_text(data).tolist() == ["long of_x", "bom", "名称", "ab", None]
+    said = {"long of_x".encode("utf-16-le"): "long of_x", "\ufeffbom".encode(): "bom", "名称".encode("gbk"): "名称", b"\xff\xfea\x00b\x00": "ab", b"\xfe\xff\x00a\x00\x00\x00b": "a", b"": "", b"x": "x", b"a\x00b": "ab", b"caf\xe9": "café", b"abcd": "abcd", None: None, "é".encode(): "é", b"a\x00b\x00c": "ab", b"\xff\xfe": ""}
+    df = spark.createDataFrame([(k,) for k in said], "data binary")
+    assert {None if r[0] is None else bytes(r[0]): r[1] for r in df.select("data", libraries.source_text(F.col("data"))).collect()} == said
+    back = spark.range(1).select(libraries.encoded(F.lit("名é"), "gbk"), libraries.encoded(F.lit("a"))).first()
+    assert bytes(back[0]) == "名é".encode("gbk", "replace") and bytes(back[1]) == b"a\0"
 
 
 def executable(library: bytes) -> bytes:
@@ -127,6 +129,108 @@ def test_libraries_too_large_are_errors(spark):
     assert got == {"a": "too large", "b": None, "c": "names too long for a node", "e": None}
 
 
+@pytest.mark.parametrize("unicode", [True, False])
+def test_blocks_are_those_of_a_library_in_memory(spark, unicode):
+    r = random.Random(5)
+    items = {lib: [(f"{r.choice('wdfu')}_{r.choice(['x', 'X', 'é'])}{i}.sr{r.choice('wdf')}", bytes([65 + i % 26]) * r.choice([0, 1, 501, 502, 503, 1004, 5000])) for i in range(n)] for lib, n in (("a", 95), ("b", 1), ("c", 40), ("d", 41))}
+    items["b"] += [("Same.srw", b"1"), ("same.SRW", b"2")]
+    rows = spark.createDataFrame([(lib, n, d) for lib, each in items.items() for n, d in each], "library string, name string, data binary").repartition(3)
+    expected = {lib: libraries.build(sorted(each), unicode) for lib, each in items.items()}
+    assert {x["library"]: bytes(x["content"]) for x in libraries.pack(rows, unicode=unicode).collect()} == expected
+    blocks, errors = libraries.library_blocks(rows, unicode=unicode)
+    assert errors.count() == 0 and blocks.agg(F.max(F.octet_length("bytes"))).first()[0] < 6000
+    text = libraries.pack(rows)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in text
+
+
+def test_libraries_beyond_one_value_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("big", f"w_{i:02}.srw", bytes([i]) * 3000) for i in range(50)] + [("bad", "n" * 2000 + ".srw", b"x")], "library string, name string, data binary")
+    assert {r["library"]: r["error"] for r in libraries.pack(rows, largest=9000).collect()} == {"big": "too large", "bad": "names too long for a node"}
+    done = {r["path"]: (r["bytes"], r["error"]) for r in sinks.write_libraries(rows, f"file://{tmp_path}/out").collect()}
+    raw = (tmp_path / "out/big.pbl").read_bytes()
+    assert done == {"big.pbl": (len(raw), None), "bad.pbl": (None, "names too long for a node")} and not (tmp_path / "out/bad.pbl").exists()
+    assert raw == libraries.build([(f"w_{i:02}.srw", bytes([i]) * 3000) for i in range(50)])
+
+
+@pytest.fixture
+def shelf(tmp_path):
+    for k in range(3):
+        (tmp_path / f"lib{k}.pbl").write_bytes(libraries.build([(f"w_{k}_{i}.srw", bytes([65 + i % 26]) * (1 + 997 * i % 4001)) for i in range(90)] + [(f"d_{k}.srd", b"report")], stamp=100_000_000))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/bad.PBD").write_bytes(b"junk")
+    (tmp_path / "sub/cut.pbl").write_bytes(libraries.build([(f"w_{i}.srw", b"x") for i in range(60)])[:6000])
+    (tmp_path / "notes.txt").write_bytes(b"HDR*")
+    return tmp_path
+
+
+@pytest.mark.parametrize("split", [1 << 30, 20_000])
+def test_library_source_equals_the_reader(spark, shelf, split):
+    library_source.register(spark)
+    read = spark.read.format("library").option("splitBytes", split).load(f"file://{shelf}")
+    raw = files.scan(spark, f"file://{shelf}").where("lower(path) like '%.pb_'").select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "content")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(read) == key(libraries.read_entries(raw)) and read.count() == 3 * 91 + 2
+    assert key(read.where("type_name = 'datawindow'")) == key(libraries.read_entries(raw).where("type_name = 'datawindow'"))
+    assert read.where("name in ('d_1.srd', 'w_2_5.srw')").count() == 2 and read.where("path like '%lib1.pbl' and size > 100").count() > 10
+    assert (read.rdd.getNumPartitions() > 5) == (split == 20_000)
+
+
+def test_a_filter_reads_fewer_bytes(shelf):
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    def read(*filters):
+        reader = library_source.LibraryReader({"path": f"file://{shelf}"})
+        left, n, rows = list(reader.pushFilters(list(filters))), 0, 0
+        for part in reader.partitions():
+            with open(part.path.removeprefix("file://"), "rb") as f:
+                region = library_source.FileRegion(pa.PythonFile(f), part.size)
+                rows += sum(b.num_rows for b in reader.batches(part, region))
+                n += region.read_bytes
+        return n, rows, left
+
+    everything, one, library = read(), read(EqualTo(("name",), "d_1.srd")), read(EqualTo(("path",), f"file://{shelf}/lib2.pbl"), GreaterThan(("size",), 5))
+    assert everything[1] == 275 and one[1] == 1 and one[0] < everything[0] / 5 and one[2] == []
+    assert library[1] == 91 and library[0] < everything[0] / 2 and len(library[2]) == 1
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    folder = tmp_path / "out"
+
+    @F.udf("binary")
+    def broken(i):
+        if i == 7:
+            raise ValueError("no")
+        return b"data"
+
+    rows = spark.range(40).repartition(4).select(F.concat(F.lit("d/f"), "id").alias("path"), broken("id").alias("content"))
+    with pytest.raises(Exception):
+        sinks.write_files(rows, f"file://{folder}")
+    assert [p for p in folder.rglob("*") if p.is_file()] == []
+    good = sinks.write_files(rows.where("id <> 7"), f"file://{folder}")
+    assert good.count() == good.count() == 39 and sum(p.is_file() for p in (folder / "d").iterdir()) == 39
+    listed = [p for p in (folder / sinks.MANIFEST).rglob("*.json")]
+    assert sum(len(p.read_text().splitlines()) for p in listed) == 39 and not list((folder / sinks.STAGING).glob("*"))
+    sinks.discard_files(f"file://{folder}")
+    assert good.count() == 39 and not (folder / "d").exists()
+
+
+def test_two_attempts_of_a_task(tmp_path):
+    writer = sinks.FileWriter(f"file://{tmp_path}", "job")
+    rows = lambda *x: iter([pa.record_batch([pa.array([p for p, _ in x], pa.string()), pa.array([c for _, c in x], pa.binary())], ["path", "content"])])
+    first, second, other = writer.write(rows(("a", b"1"), ("b/c", b"2"))), writer.write(rows(("a", b"1"), ("b/c", b"2"))), writer.write(rows(("big", b"x"), ("big", b"y"), ("big", None), ("../z", b"0"), ("..name", b"3")))
+    writer.commit([second, other, None])
+    assert first.attempt != second.attempt and (other.files, other.errors) == (2, 1)
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file() and sinks.MANIFEST not in str(p)} == {"a": b"1", "b/c": b"2", "big": b"xy", "..name": b"3"}
+
+
+def test_outcomes_are_observed_during_the_export(spark, tmp_path):
+    raw = libraries.build([("w_a.srw", b"long enough to be written"), ("w_b.srw", b"short"), ("x.bin", b"compiled")])
+    df = spark.createDataFrame([("a/one.pbl", raw), ("bad.pbl", b"junk")], "path string, content binary")
+    done, counts = sinks.export_entries(libraries.read_entries(df), f"file://{tmp_path}/out")
+    assert counts == {"sources": 2, "compiled": 1, "failed": 1, "skipped": 1}
+    assert [r["path"] for r in done.collect()] == ["one/window/w_a.srw"] and (tmp_path / "out/one/window/w_a.srw").exists()
+
+
 def test_files_are_written(spark, tmp_path):
     rows = spark.createDataFrame([("l", "w_a.srw", "window", "long enough\0 text"), ("l", "w_b.srw", "window", "short"), ("m", "ws.srx", "web_service", "also long enough")], "library string, name string, type_name string, text string")
     done = sinks.write_files(sinks.export_paths(rows, by_type=True, library="library"), f"file://{tmp_path}/out").collect()
