@@ -815,34 +815,81 @@ def report_sql_listing(spark, sf_dir):
     return reports.sql_listing(report_rows(spark, sf_dir).select("name", sql_text.report_object(F.col("text"))["sql"].alias("sql")))
 
 
-def _report_lines(spark, text_value: str):
-    """A rendered report, a row per line."""
-    return spark.createDataFrame(list(enumerate(text_value.split("\n"), 1)), "line_no int, line string")
+def _rows(section: int, order: str, line: str, source: str) -> str:
+    return f"SELECT {section} AS section, 1 AS part, row_number() OVER (ORDER BY {order}) AS place, {line} AS line FROM {source}"
 
 
-@query(f"""WITH body AS (SELECT 1 AS part, 0 AS k, '# Refactoring' AS line UNION ALL SELECT 1, 1, '' UNION ALL SELECT 2, 0, '## By severity' UNION ALL SELECT 2, 1, '' UNION ALL SELECT 2, 2, '| severity | n |' UNION ALL SELECT 2, 3, '|---|---|'
-    UNION ALL SELECT 2, 3 + row_number() OVER (ORDER BY severity), '| ' || severity || ' | ' || n || ' |' FROM (SELECT severity, count(*) AS n FROM {_LINE_FINDINGS} GROUP BY 1) UNION ALL SELECT 2, 1000, ''
-    UNION ALL SELECT 3, 0, '## By rule' UNION ALL SELECT 3, 1, '' UNION ALL SELECT 3, 2, '| rule | severity | n | files |' UNION ALL SELECT 3, 3, '|---|---|---|---|'
-    UNION ALL SELECT 3, 3 + row_number() OVER (ORDER BY n DESC, rule), '| ' || rule || ' | ' || severity || ' | ' || n || ' | ' || files || ' |' FROM (SELECT rule, severity, count(*) AS n, count(DISTINCT name) AS files FROM {_LINE_FINDINGS} GROUP BY 1, 2) UNION ALL SELECT 3, 1000, '')
-    SELECT (row_number() OVER (ORDER BY part, k))::INT AS line_no, line FROM body""")
+def _fixed(section: int, part: int, *lines: str) -> str:
+    return " UNION ALL ".join(f"SELECT {section}, {part}, {k + 1}, '" + x.replace("'", "''") + "'" for k, x in enumerate(lines))
+
+
+def _table(section: int, name: str, columns: list[str], order: str, source: str, title: str | None = None) -> str:
+    """A section of a Markdown report."""
+    row = "'| ' || " + " || ' | ' || ".join(columns) + " || ' |'"
+    head = ([f"# {title}", ""] if title else []) + [f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *head), _fixed(section, 2, "")])
+
+
+_BY_RULE = f"(SELECT rule, severity, count(*) AS n, count(DISTINCT name) AS files FROM {_LINE_FINDINGS} GROUP BY 1, 2)"
+
+
+@query(" UNION ALL ".join([
+    _table(0, "By severity", ["severity", "n"], "severity", f"(SELECT severity, count(*) AS n FROM {_LINE_FINDINGS} GROUP BY 1)", "Refactoring"),
+    _table(1, "By rule", ["rule", "severity", "n", "files"], "n DESC, rule, severity", _BY_RULE),
+    _table(2, "Findings", ["name", "line_no", "rule", "severity"], "name, line_no, rule", _LINE_FINDINGS),
+]))
 def refactoring_report(spark, sf_dir):
-    sections = reports.refactoring_sections(_line_findings(spark, sf_dir))
-    del sections["Findings"]
-    return _report_lines(spark, reports.rendered("Refactoring", sections))
+    return reports.rendered("Refactoring", reports.refactoring_sections(_line_findings(spark, sf_dir)))
+
+
+_CHANGED = "(SELECT name AS path, 'modified' AS status FROM " + OBJECTS + " WHERE (event_id % 2 = 0) <> (event_id % 3 = 0))"
 
 
-@query(f"""SELECT (row_number() OVER (ORDER BY k))::INT AS line_no, line FROM (SELECT 0 AS k, '# Snapshot' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, '## Snapshot' UNION ALL SELECT 3, '' UNION ALL SELECT 4, '| id | label |' UNION ALL SELECT 5, '|---|---|' UNION ALL SELECT 6, '| s3 | nightly |' UNION ALL SELECT 7, ''
-    UNION ALL SELECT 8, '## Changes' UNION ALL SELECT 9, '' UNION ALL SELECT 10, '| status | files |' UNION ALL SELECT 11, '|---|---|' UNION ALL SELECT 12, '| modified | ' || count(*) || ' |' FROM events WHERE (event_id % 2 = 0) <> (event_id % 3 = 0) UNION ALL SELECT 13, '')""")
+@query(" UNION ALL ".join([
+    _table(0, "Snapshot", ["id", "label"], "id", "(SELECT 's3' AS id, 'nightly' AS label)", "Snapshot"),
+    _table(1, "Changes", ["status", "files"], "status", f"(SELECT status, count(*) AS files FROM {_CHANGED} GROUP BY 1)"),
+    _table(2, "Files", ["path", "status"], "status, path", _CHANGED),
+]))
 def snapshot_manifest(spark, sf_dir):
     history = _history(spark, sf_dir)
     changes = versions.diff(versions.snapshot_rows(history, "s2"), versions.snapshot_rows(history, "s3"), ["path"], ["size", "hash"])
-    sections = reports.snapshot_sections("s3", "nightly", changes)
-    del sections["Files"]
-    return _report_lines(spark, reports.rendered("Snapshot", sections))
+    return reports.rendered("Snapshot", reports.snapshot_sections("s3", "nightly", changes))
 
 
-@query(f"SELECT json_object('title', 'Totals', 'Objects', (SELECT list(json_object('kind', kind, 'objects', n) ORDER BY n DESC, kind) FROM (SELECT kind, count(*) AS n FROM {OBJECTS} GROUP BY 1)))::VARCHAR AS json")
+def _json_part(section: int, name: str, columns: list[str], order: str, source: str, first: str = "", last: bool = False) -> str:
+    """A section of a JSON report."""
+    row = "CASE WHEN row_number() OVER (ORDER BY " + order + ") > 1 THEN ',' ELSE '' END || json_object(" + ", ".join(f"'{c}', {c}" for c in columns) + ")::VARCHAR"
+    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *([first] if first else []), f',"{name}":['), _fixed(section, 2, "]", *(["}"] if last else []))])
+
+
+_COUNTED = "count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info"
+
+
+@query(" UNION ALL ".join([
+    _json_part(0, "Summary", ["objects", "findings", "error", "warning", "info"], "objects", f"(SELECT (SELECT count(*) FROM events) AS objects, count(*) AS findings, {_COUNTED} FROM {_LINE_FINDINGS})", '{"title":"Totals"'),
+    _json_part(1, "Objects", ["kind", "objects"], "objects DESC, kind", f"(SELECT kind, count(*) AS objects FROM {OBJECTS} GROUP BY 1)"),
+    _json_part(2, "Findings", ["name", "error", "warning", "info", "findings"], "name", f"(SELECT name, {_COUNTED}, count(*) AS findings FROM {_LINE_FINDINGS} GROUP BY 1)"),
+    _json_part(3, "Complex routines", ["object", "name", "cc", "rating", "code_lines"], "cc DESC, object, name", f"(SELECT event_id AS object, name, cc, {_RATING} AS rating, code_lines FROM {_MEASURED} WHERE cc > 10 ORDER BY cc DESC, event_id, name LIMIT 30)"),
+    _json_part(4, "Inheritance", ["child", "parent"], "child, parent", "(SELECT 'w_' || event_id AS child, 'u_base_' || event_id % 5 AS parent FROM events)"),
+    _json_part(5, "Dependencies", ["src", "dst"], "src, dst", f"(SELECT DISTINCT name AS src, dst FROM {_EDGES} JOIN {OBJECTS} USING (event_id))", last=True),
+]))
 def analysis_json(spark, sf_dir):
-    sections = reports.analysis_sections(objects(spark, sf_dir), _line_findings(spark, sf_dir), found_routines(spark, sf_dir).withColumnRenamed("event_id", "object"), graph.inheritance(objects(spark, sf_dir)), graph.edges(objects(spark, sf_dir), "name"))
-    found = reports.as_json("Totals", {"Objects": sections["Objects"]})
-    return spark.createDataFrame([(found.replace(": ", ":").replace(", ", ","),)], "json string")
+    made = objects(spark, sf_dir)
+    sections = reports.analysis_sections(made, _line_findings(spark, sf_dir), found_routines(spark, sf_dir).withColumnRenamed("event_id", "object"), graph.inheritance(made), graph.edges(made, "name"))
+    return reports.rendered("Totals", sections, "json")
+
+
+def _html_part(section: int, name: str, columns: list[str], order: str, source: str, title: str | None = None) -> str:
+    """A section of an HTML report."""
+    row = "'<tr><td>' || " + " || '</td><td>' || ".join(columns) + " || '</td></tr>'"
+    head = [f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1>"] if title else []
+    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *head, f"<h2>{name}</h2><table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"), _fixed(section, 2, "</table>")])
+
+
+@query(" UNION ALL ".join([
+    _html_part(0, "By severity", ["severity", "n"], "severity", f"(SELECT severity, count(*) AS n FROM {_LINE_FINDINGS} GROUP BY 1)", "Refactoring"),
+    _html_part(1, "By rule", ["rule", "severity", "n", "files"], "n DESC, rule, severity", _BY_RULE),
+    _html_part(2, "Findings", ["name", "line_no", "rule", "severity"], "name, line_no, rule", _LINE_FINDINGS),
+]))
+def refactoring_page(spark, sf_dir):
+    return reports.rendered("Refactoring", reports.refactoring_sections(_line_findings(spark, sf_dir)), "html")

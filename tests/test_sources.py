@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 
@@ -91,8 +92,17 @@ def test_stream(spark, tree):
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 1), ("<c>", None)], "name string, n int")
-    assert "| a\\|b | 1 |" in reports.markdown("T", {"S": df})
-    assert "&lt;c&gt;" in reports.page("T", {"S": df}) and '"n": 1' in reports.as_json("T", {"S": df})
+    sections = {"S": reports.Section(df, ["name"]), "none": reports.Section(df.limit(0), ["name"])}
+    said = lambda form: [r["line"] for r in reports.rendered("T & co", sections, form).orderBy("section", "part", "place").collect()]
+    assert said("markdown") == ["# T & co", "", "## S", "", "| name | n |", "|---|---|", "| <c> |  |", "| a\\|b | 1 |", "", "## none", "", "| name | n |", "|---|---|", ""]
+    assert "<tr><td>&lt;c&gt;</td><td></td></tr>" in said("html") and "T &amp; co" in said("html")[0]
+    assert json.loads("".join(said("json"))) == {"title": "T & co", "S": [{"name": "<c>", "n": None}, {"name": "a|b", "n": 1}], "none": []}
+    many = spark.range(5000).select(F.col("id").alias("n"))
+    lines = reports.rendered("M", {"S": reports.Section(many, ["n"])})
+    assert lines.where("part = 1").select("place", "line").orderBy("place").collect() == [(i + 1, f"| {i} |") for i in range(5000)]
+    reports.write_report(lines, f"file://{tmp_path}/report")
+    written = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*"))).splitlines()
+    assert len(written) == 5000 + 7 and written[6:8] == ["| 0 |", "| 1 |"] and written[-2] == "| 4999 |"
     reports.export_sources(df, f"file://{tmp_path}/out", ["name"])
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
 
@@ -248,8 +258,9 @@ def test_four_reports(spark):
     listed = spark.createDataFrame([("d_a", "grid", ["t"], [("t.a", "long")], "select a from t")], "name string, style string, tables array<string>, columns array<struct<dbname:string,type:string>>, sql string")
     pairs = spark.createDataFrame([("l", "m", 2)], "src_library string, dst_library string, n long")
     advice = spark.createDataFrame([("clean", 0)], "suggestion string, n long")
-    found = reports.rendered("R", reports.review_sections(objects, findings, listed, pairs, advice))
-    assert all(x in found for x in ("| window | 1 | 3 |", "| t | 1 |", "| d_a | grid | t | 1 | True |", "| l | m | 2 |", "| clean | 0 |"))
+    said = lambda lines: "\n".join(r["line"] for r in lines.collect())
+    found = said(reports.rendered("R", reports.review_sections(objects, findings, listed, pairs, advice)))
+    assert all(x in found for x in ("| window | 1 | 3 |", "| t | 1 |", "| d_a | grid | t | 1 | true |", "| l | m | 2 |", "| clean | 0 |"))
     users = spark.createDataFrame([("d_a", ["w_a"])], "name string, used_by array<string>")
-    assert "<td>w_a</td>" in reports.rendered("D", reports.report_object_sections(listed, users), "html")
-    assert '"rule": "GOTO_USAGE"' in reports.rendered("F", reports.refactoring_sections(findings), "json")
+    assert "<td>w_a</td>" in said(reports.rendered("D", reports.report_object_sections(listed, users), "html"))
+    assert '"rule":"GOTO_USAGE"' in said(reports.rendered("F", reports.refactoring_sections(findings), "json"))
