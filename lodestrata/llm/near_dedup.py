@@ -343,7 +343,7 @@ def _verify(similarity: float):
 
 
 def _prefix_keys(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``key, node, size``: for each node the shingles by which it meets all sets that overlap enough.
+    """``key, node, size, label``: for each node of ``open_nodes(node, size, label)`` the shingles by which it meets all sets that overlap enough.
 
     With every set in one order of shingles, rarest first, two sets of which
     one has ``s`` shingles overlap by ``similarity`` only if they share one of
@@ -362,10 +362,10 @@ def _prefix_keys(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     tokens = once.mapInArrow(spread, "node binary, token long")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     met = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    sized = met.join(open_nodes.select("node", "size"), "node")
+    sized = met.join(open_nodes, "node")
     first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
     alone = F.col("size") - F.size("t")
-    return sized.select("node", "size", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0).cast("long"), first - alone).cast("int"))).alias("p")).select(F.col("p.token").alias("key"), "node", "size")
+    return sized.select("node", "size", "label", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0).cast("long"), first - alone).cast("int"))).alias("p")).select(F.col("p.token").alias("key"), "node", "size", "label")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -375,6 +375,18 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return buckets.where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"), F.max(cells).alias("cells")).select("key", "least", "cells")
 
 
+def _mixed(keys: DataFrame) -> DataFrame:
+    """``key, main, cells, tests`` of the keys whose nodes are in several parts, from ``key, node, size, label``; keys with the same nodes count once.
+
+    ``main`` is the key's largest part; the nodes outside it need as many
+    cells as ``tests``, all its nodes as many as ``cells``.
+    """
+    parts = keys.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    whole = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"), F.sum("shingles").alias("shingles"), F.min("least").alias("least"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("others > 0")
+    held = F.greatest(F.col("n") / CELL, F.col("shingles") * 8 / CELL_BYTES)
+    return whole.groupBy("n", "least", "x", "y").agg(F.min_by(F.struct("key", "main", F.ceil(held).alias("cells"), F.ceil(held * F.col("others") / F.col("n")).alias("tests")), "key").alias("b")).select("b.*")
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` between documents whose shingle sets overlap by ``similarity`` or more.
 
@@ -384,11 +396,11 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``CELL`` members and ``CELL_BYTES`` of shingles, each with the bucket's
     least member, which connects dense groups. Members of a bucket of several
     cells that are not connected then meet by their rarest shingles, see
-    :func:`_prefix_keys`, compared in the same way. So many documents that
-    agree in a template and in nothing else give rows in proportion to their
-    number. Only where more than a cell's members share a rare shingle and are
-    still unconnected do those outside its largest part meet every member. No
-    pair of a bucket is left out.
+    :func:`_prefix_keys`: of the sets that share one, those outside the
+    largest part meet all others, cell by cell. So many documents that agree
+    in a template and in nothing else give rows in proportion to their
+    number; only where more than a cell's sets share a rare shingle and are
+    still unconnected do cells meet in pairs. No pair of a bucket is left out.
 
     Null ids are left out; null texts are empty ones, and all texts without
     words are one set; fewer words than a shingle has are one shingle. Rows
@@ -432,34 +444,24 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cells = own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("least").alias("node")))
         return verified(cells.select("cell", "node", F.col("node").alias("label"), F.lit(True).alias("tester")))
 
-    def unconnected(members: DataFrame, links: DataFrame) -> DataFrame:
-        """Members of the buckets of several cells that are in several parts still, with the bucket's largest part."""
-        roots = saved(connected_components(links), "similar_roots").withColumnRenamed("root", "label")
-        parts = members.where("cells > 1").join(roots, "node", "left").select("key", "cells", "node", "size", F.coalesce("label", "node").alias("label"))
-        counted = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        found = saved(parts.join(counted.where("others > 0"), "key"), "parts")
-        discard(roots)
-        return found
-
     links = within_cells(buckets, members)
     done += [buckets, members, links]
-    if not buckets.where("cells > 1").isEmpty():
-        loose = unconnected(members, links)
-        rare = saved(_prefix_keys(loose.groupBy("node").agg(F.any_value("size").alias("size")), sets, similarity), "rare")
-        buckets = saved(_buckets(rare), "buckets")
-        members = saved(rare.join(buckets.select("key", "cells"), "key"), "members")
-        more = within_cells(buckets, members)
+    crowded = members.where("cells > 1")
+    if not crowded.isEmpty():
+        roots = saved(connected_components(links), "similar_roots").withColumnRenamed("root", "label")
+        labelled = saved(crowded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "parts")
+        # members of buckets that are connected by now need no more
+        split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        loose = saved(labelled.join(split, "key", "left_semi").groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("label").alias("label")), "loose")
+        rare = saved(_prefix_keys(loose, sets, similarity), "rare")
+        mixed = saved(_mixed(rare), "mixed")
+        met = rare.join(mixed, "key").withColumn("tester", F.col("label") != F.col("main"))
+        every = met.withColumn("i", F.pmod(F.xxhash64("node"), "cells")).withColumn("j", upto("tests")).withColumn("tester", F.lit(False))
+        testing = met.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
+        pairs = every.unionByName(testing).groupBy(F.xxhash64("key", "i", "j").alias("cell"), "node", "label").agg(F.max("tester").alias("tester"))
+        more = verified(pairs)
         links = links.unionByName(more)
-        done += [loose, rare, buckets, members, more]
-        if not buckets.where("cells > 1").isEmpty():
-            split = unconnected(members, links)
-            done.append(split)
-            split = split.withColumn("tests", F.ceil(F.col("others") / CELL)).withColumn("tester", F.col("label") != F.col("main"))
-            met = split.withColumn("i", F.pmod(F.xxhash64("node"), "cells")).withColumn("j", upto("tests")).withColumn("tester", F.lit(False))
-            testing = split.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
-            last = verified(met.unionByName(testing).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "label", "tester"))
-            links = links.unionByName(last)
-            done.append(last)
+        done += [roots, labelled, loose, rare, mixed, more]
     named = lambda c, first: nodes.select(F.col("node").alias(c), F.col("first").alias(first))
     ends = links.distinct().join(named("a", "p"), "a").join(named("b", "q"), "b").where("p <> q")
     found = saved(equal.unionByName(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct(), "similar_links")
