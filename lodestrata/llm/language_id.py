@@ -220,15 +220,16 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     """``docs`` without the documents that the model rejects, as they came in, whatever columns they have.
 
     Null texts, texts without a letter and all texts under a model without
-    languages go; ids play no part, so null and repeated ones stay. Long
-    texts are taken one at a time; an empty table gives an empty one.
+    languages go; ids play no part, so null and repeated ones stay. Texts
+    are taken from their batch one at a time, whatever their length; an empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for some in texts:
-            yield some.map(lambda t: model.predict(t)[2]).astype(bool)
+            yield pa.array((model.predict(t.as_py())[2] for t in some), pa.bool_())
 
     return docs.where(accepted(F.col(text_col)))

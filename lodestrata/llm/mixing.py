@@ -56,7 +56,8 @@ def balance(table: DataFrame, targets: dict, rounds: int = 60, tolerance: float
     the sources, and Spark sums those in every iteration over ``table(source,
     size, docs)``. The Hessian is diagonal, as a word has one source.
 
-    A source without words or with target 0 gets minus infinity.
+    A source without words or with target 0 gets minus infinity. Rates that
+    have not settled after ``rounds`` are an error.
     """
     spark = table.sparkSession
     lam = {s: (0.0 if t > 0 else -math.inf) for s, t in targets.items()}
@@ -75,8 +76,8 @@ def balance(table: DataFrame, targets: dict, rounds: int = 60, tolerance: float
             lam[s] += gap if gap <= 1 else math.log1p(gap)  # a damped step where the full one would overshoot
             worst = max(worst, abs(gap))
         if worst <= tolerance:
-            break
-    return lam
+            return lam
+    raise RuntimeError(f"the rates have not settled after {rounds} rounds: a source is off by {worst:.3g} of its target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:

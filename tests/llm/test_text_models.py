@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,19 @@ def test_mix_of_nothing(spark, docs):
     wordless = spark.createDataFrame([(1, "", "en", "s"), (2, None, "en", None)], SCHEMA)
     assert [r["taken"] for r in mixing.mix(wordless).collect()] == [0, 0]
     assert mixing.apply_mix(docs).columns == docs.columns
+
+
+def test_rates_that_do_not_settle_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 10, 5), ("b", 3, 7)], "source string, size long, docs long")
+    lam = mixing.balance(rows, {"a": 100.0, "b": 10.5})
+    assert abs(np.exp(lam["a"]) - 2) < 1e-9 and abs(np.exp(lam["b"]) - 0.5) < 1e-9
+    with pytest.raises(RuntimeError):
+        mixing.balance(rows, {"a": 100.0, "b": 10.5}, rounds=1)
+
+
+def test_long_texts_are_judged_whole(spark):
+    model = language_id.train(spark.createDataFrame([(i, say("en" if i % 2 else "de", i, 60), "en" if i % 2 else "de") for i in range(120)], "doc_id long, text string, lang string"))
+    long = (say("en", 7, 4000) + " ") * 60
+    rows = spark.createDataFrame([(1, long), (2, None), (3, say("en", 8, 60))], "doc_id long, text string")
+    assert len(long) > 1 << 20 and [r["doc_id"] for r in language_id.keep_accepted(rows, model).orderBy("doc_id").collect()] == [1, 3]
+    assert language_id.identify(rows, model).where("doc_id = 1").first()["lang_pred"] == "en"
