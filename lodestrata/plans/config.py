@@ -6,6 +6,10 @@ import copy
 import json
 from pathlib import Path
 
+from pyspark.sql import Column
+
+from ..operators.graph import library_of
+
 NAME = ".lodestrata.json"
 DEFAULTS = {"rules": {"enabled": None, "disabled": []}, "thresholds": {"routine_lines": 200, "nesting": 4, "complexity": 20}, "naming": {"project": "app", "custom": []}}
 
@@ -24,3 +28,9 @@ def load(start: str, name: str = NAME) -> dict:
         if (folder / name).is_file():
             return merged(DEFAULTS, json.loads((folder / name).read_text(encoding="utf-8")))
     return copy.deepcopy(DEFAULTS)
+
+
+def placed(name: Column, settings: dict) -> Column:
+    """The library that an entry belongs to by its name, under a project's naming settings."""
+    naming = settings["naming"]
+    return library_of(name, naming["project"], [tuple(pair) for pair in naming["custom"]])

@@ -815,28 +815,28 @@ def report_sql_listing(spark, sf_dir):
     return reports.sql_listing(report_rows(spark, sf_dir).select("name", sql_text.report_object(F.col("text"))["sql"].alias("sql")))
 
 
-def _rows(section: int, order: str, line: str, source: str) -> str:
+def _report_rows(section: int, order: str, line: str, source: str) -> str:
     return f"SELECT {section} AS section, 1 AS part, row_number() OVER (ORDER BY {order}) AS place, {line} AS line FROM {source}"
 
 
-def _fixed(section: int, part: int, *lines: str) -> str:
+def _report_fixed(section: int, part: int, *lines: str) -> str:
     return " UNION ALL ".join(f"SELECT {section}, {part}, {k + 1}, '" + x.replace("'", "''") + "'" for k, x in enumerate(lines))
 
 
-def _table(section: int, name: str, columns: list[str], order: str, source: str, title: str | None = None) -> str:
+def _report_table(section: int, name: str, columns: list[str], order: str, source: str, title: str | None = None) -> str:
     """A section of a Markdown report."""
     row = "'| ' || " + " || ' | ' || ".join(columns) + " || ' |'"
     head = ([f"# {title}", ""] if title else []) + [f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *head), _fixed(section, 2, "")])
+    return " UNION ALL ".join([_report_rows(section, order, row, source), _report_fixed(section, 0, *head), _report_fixed(section, 2, "")])
 
 
 _BY_RULE = f"(SELECT rule, severity, count(*) AS n, count(DISTINCT name) AS files FROM {_LINE_FINDINGS} GROUP BY 1, 2)"
 
 
 @query(" UNION ALL ".join([
-    _table(0, "By severity", ["severity", "n"], "severity", f"(SELECT severity, count(*) AS n FROM {_LINE_FINDINGS} GROUP BY 1)", "Refactoring"),
-    _table(1, "By rule", ["rule", "severity", "n", "files"], "n DESC, rule, severity", _BY_RULE),
-    _table(2, "Findings", ["name", "line_no", "rule", "severity"], "name, line_no, rule", _LINE_FINDINGS),
+    _report_table(0, "By severity", ["severity", "n"], "severity", f"(SELECT severity, count(*) AS n FROM {_LINE_FINDINGS} GROUP BY 1)", "Refactoring"),
+    _report_table(1, "By rule", ["rule", "severity", "n", "files"], "n DESC, rule, severity", _BY_RULE),
+    _report_table(2, "Findings", ["name", "line_no", "rule", "severity"], "name, line_no, rule", _LINE_FINDINGS),
 ]))
 def refactoring_report(spark, sf_dir):
     return reports.rendered("Refactoring", reports.refactoring_sections(_line_findings(spark, sf_dir)))
@@ -846,9 +846,9 @@ _CHANGED = "(SELECT name AS path, 'modified' AS status FROM " + OBJECTS + " WHER
 
 
 @query(" UNION ALL ".join([
-    _table(0, "Snapshot", ["id", "label"], "id", "(SELECT 's3' AS id, 'nightly' AS label)", "Snapshot"),
-    _table(1, "Changes", ["status", "files"], "status", f"(SELECT status, count(*) AS files FROM {_CHANGED} GROUP BY 1)"),
-    _table(2, "Files", ["path", "status"], "status, path", _CHANGED),
+    _report_table(0, "Snapshot", ["id", "label"], "id", "(SELECT 's3' AS id, 'nightly' AS label)", "Snapshot"),
+    _report_table(1, "Changes", ["status", "files"], "status", f"(SELECT status, count(*) AS files FROM {_CHANGED} GROUP BY 1)"),
+    _report_table(2, "Files", ["path", "status"], "status, path", _CHANGED),
 ]))
 def snapshot_manifest(spark, sf_dir):
     history = _history(spark, sf_dir)
@@ -859,7 +859,7 @@ def snapshot_manifest(spark, sf_dir):
 def _json_part(section: int, name: str, columns: list[str], order: str, source: str, first: str = "", last: bool = False) -> str:
     """A section of a JSON report."""
     row = "CASE WHEN row_number() OVER (ORDER BY " + order + ") > 1 THEN ',' ELSE '' END || json_object(" + ", ".join(f"'{c}', {c}" for c in columns) + ")::VARCHAR"
-    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *([first] if first else []), f',"{name}":['), _fixed(section, 2, "]", *(["}"] if last else []))])
+    return " UNION ALL ".join([_report_rows(section, order, row, source), _report_fixed(section, 0, *([first] if first else []), f',"{name}":['), _report_fixed(section, 2, "]", *(["}"] if last else []))])
 
 
 _COUNTED = "count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info"
@@ -883,7 +883,7 @@ def _html_part(section: int, name: str, columns: list[str], order: str, source:
     """A section of an HTML report."""
     row = "'<tr><td>' || " + " || '</td><td>' || ".join(columns) + " || '</td></tr>'"
     head = [f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1>"] if title else []
-    return " UNION ALL ".join([_rows(section, order, row, source), _fixed(section, 0, *head, f"<h2>{name}</h2><table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"), _fixed(section, 2, "</table>")])
+    return " UNION ALL ".join([_report_rows(section, order, row, source), _report_fixed(section, 0, *head, f"<h2>{name}</h2><table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"), _report_fixed(section, 2, "</table>")])
 
 
 @query(" UNION ALL ".join([

@@ -41,13 +41,22 @@ def _header(raw: bytes) -> dict:
     return {"machine": MACHINES.get(machine, hex(machine)), "is_64bit": wide, "timestamp": stamp, "sections": sections, "certificates": {"offset": at, "size": size} if at else None, "resources": directory(RESOURCES)[0]}
 
 
+def _limits(header: dict, size: int) -> tuple[int, int]:
+    end = max((x["offset"] + x["size"] for x in header["sections"]), default=0)
+    certificates = (header["certificates"] or {"offset": 0})["offset"]
+    return end, certificates if end <= certificates <= size and certificates else size
+
+
+def bounds(front: bytes, size: int) -> tuple[int, int]:
+    """Where the last section of a file of ``size`` bytes ends, and where a search for libraries stops: at certificates behind it, else at the end."""
+    return _limits(_header(front), size)
+
+
 def image(raw: bytes) -> dict:
     """Header facts, and ``(offset, size, place)`` of embedded libraries: appended after the last section or inside one."""
     header = _header(raw)
-    end = max((x["offset"] + x["size"] for x in header["sections"]), default=0)
-    certificates = (header["certificates"] or {"offset": 0})["offset"]
+    end, stop = _limits(header, len(raw))
     found, at = [], raw.find(LIBRARY_MARK)
-    stop = certificates if end <= certificates <= len(raw) and certificates else len(raw)
     while 0 <= at < stop:
         following = raw.find(LIBRARY_MARK, at + 4)
         until = following if 0 <= following < stop else stop

@@ -43,8 +43,8 @@ class FileRegion(Region):
 
 
 @dataclass
-class Part(InputPartition):
-    """Every ``of``-th entry of a file, from the ``k``-th on."""
+class Part:
+    """One of the ``of`` parts of a file."""
 
     path: str
     size: int
@@ -52,6 +52,26 @@ class Part(InputPartition):
     of: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """What one task reads: a part of a large file, or as many small ones as make up a part."""
+
+    parts: list[Part]
+
+
+def bundled(parts: list[Part], most_bytes: int, most_parts: int = 2000) -> list[Bundle]:
+    """Parts in order, together up to so many bytes."""
+    out, held = [], 0
+    for p in parts:
+        size = -(-p.size // p.of)
+        if not out or held + size > most_bytes or len(out[-1].parts) >= most_parts:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += size
+    return out
+
+
 def listed(folder: str, pattern: str, split: int) -> list[Part]:
     """Parts of all files below a folder, or of the one file, whose names match."""
     store, root = fs.FileSystem.from_uri(folder)
@@ -88,16 +108,18 @@ class LibraryReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Bundle]:
         paths = [f for f in self.filters if f.attribute[0] == "path"]
-        return [p for p in listed(self.folder, self.pattern, self.split) if wanted({"path": p.path}, paths)]
+        return bundled([p for p in listed(self.folder, self.pattern, self.split) if wanted({"path": p.path}, paths)], self.split)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(part.path)
-        with store.open_input_file(at) as file:
-            yield from self.batches(part, FileRegion(file, part.size))
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        for part in bundle.parts:
+            store, at = fs.FileSystem.from_uri(part.path)
+            with store.open_input_file(at) as file:
+                yield from self.batches(part, FileRegion(file, part.size))
 
     def batches(self, part: Part, region: Region) -> Iterator[pa.RecordBatch]:
+        """Every ``of``-th entry of a file, from the ``k``-th on."""
         try:
             for _ in entries(region, self.strict, lambda e: False):
                 pass  # as in read_entries, a file whose nodes are broken is one row with an error and nothing else

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans import reports
-from lodestrata.sources import executables, files, libraries, library_source, sinks
+from lodestrata.sources import executable_source, executables, files, libraries, library_source, sinks
 from lodestrata.streaming import changes
 
 
@@ -64,6 +64,39 @@ def test_executable_with_library(spark):
     assert [r["name"] for r in libraries.read_entries(executables.embedded_libraries(df)).collect()] == ["w_a.srw"]
 
 
+@pytest.mark.parametrize("size", [64, 513, 1 << 20])
+def test_ranges_find_what_the_whole_file_has(spark, tmp_path, size):
+    """Marks lie at every distance from a seam; a mark that is no library ends the one before it."""
+    lib, r = libraries.build([("w_a.srw", b"hello")]), random.Random(size)
+    files_of = {"plain.exe": executable(b""), "one.exe": executable(lib), "named.exe": executable(b"made with PowerBuilder"), "bad.exe": b"MZ", "none.exe": b""}
+    for k in range(12):
+        junk = bytes(r.randrange(97, 123) for _ in range(r.randrange(0, 1500)))
+        files_of[f"f{k}.exe"] = executable(junk + lib + b"HDR*" * (k % 3) + junk[:k] + lib + junk)
+    signed = bytearray(executable(lib + b"HDR*" + lib))
+    struct.pack_into("<H", signed, 84, 240)  # room for the directories
+    signed[88 + 240 : 88 + 280] = signed[88 + 224 : 88 + 264]
+    struct.pack_into("<II", signed, 88 + 96 + 8 * executables.CERTIFICATES, 512 + len(lib) + 4, 9)
+    files_of["signed.exe"] = bytes(signed)
+    for name, raw in files_of.items():
+        (tmp_path / name).write_bytes(raw)
+    executable_source.register(spark)
+    marks = spark.read.format("executable").option("rangeBytes", size).load(f"file://{tmp_path}").cache()
+    base = F.element_at(F.split("path", "/"), -1)
+    got = sorted(map(tuple, executable_source.libraries_inside(marks).select(base, "offset", "size", "place").collect()))
+    expected, kinds = [], {}
+    for name, raw in files_of.items():
+        try:
+            found = executables.image(raw)
+            kinds[name] = (found["is_pb_exe"], len(found["embedded"]), None)
+            expected += [(name, x["offset"], x["size"], x["place"]) for x in found["embedded"]]
+        except ValueError as e:
+            kinds[name] = (None, 0, str(e))
+    assert got == sorted(expected) and len(got) > 24
+    seen = {x["f"]: (x["is_pb_exe"], x["libraries"], x["error"]) for x in executable_source.images(marks).withColumn("f", base).collect()}
+    assert seen == {k: v for k, v in kinds.items() if k != "none.exe"} | {"none.exe": (None, 0, "no executable")}
+    assert kinds["signed.exe"][1] == 1 and kinds["named.exe"][0]
+
+
 @pytest.fixture
 def tree(tmp_path):
     for name, content in {"lib/w_main.srw": b"hello world\nfoo bar", "lib/d_x.SRD": "﻿SELECT".encode("utf-16-le"), "a.pbl": b"HDR*....", ".git/w_z.srw": b"hello", "node_modules/w_y.srw": b"hello", "run.exe": b"MZ..", "note.txt": b"hello"}.items():
@@ -191,7 +224,7 @@ def test_a_filter_reads_fewer_bytes(shelf):
     def read(*filters):
         reader = library_source.LibraryReader({"path": f"file://{shelf}"})
         left, n, rows = list(reader.pushFilters(list(filters))), 0, 0
-        for part in reader.partitions():
+        for part in [p for bundle in reader.partitions() for p in bundle.parts]:
             with open(part.path.removeprefix("file://"), "rb") as f:
                 region = library_source.FileRegion(pa.PythonFile(f), part.size)
                 rows += sum(b.num_rows for b in reader.batches(part, region))
