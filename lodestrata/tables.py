@@ -14,9 +14,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    # A running session does not take the setting any more; its context keeps the folder.
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:

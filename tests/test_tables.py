@@ -43,3 +43,19 @@ def test_added_changed_removed(spark, rocks, tmp_path):
         found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["path"], r["h"], r["status"]) for r in spark.read.parquet(f"file://{tmp_path}/out").select("path", F.hour("scanned").alias("h"), "status").collect())
     assert got == [("a", 1, "added"), ("a", 3, "changed"), ("a", 3, "removed"), ("b", 1, "added"), ("b", 2, "changed"), ("c", 1, "added"), ("c", 1, "removed"), ("c", 5, "added"), ("c", 5, "removed"), ("d", 2, "added"), ("d", 3, "removed")]
+
+
+def test_folder_where_none_is_set(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    program = """
+from lodestrata.session import build_session
+from lodestrata.tables import checkpoint_folder, stored
+spark = build_session("unset", **{"spark.master": "local[1]", "spark.ui.enabled": "false"})
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert stored(spark.range(3)).count() == 3 and checkpoint_folder(spark) == checkpoint_folder(spark)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", program], check=True, timeout=300, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root})
