@@ -301,7 +301,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bins = saved(bins.dropDuplicates(["mark", "core", "top"]), "bins")
     crowds = saved(bins.groupBy("core").agg(F.count("*").alias("bins")).where("bins > 1"), "crowds")
     # Bins of crowded cores do not meet by core, so no task gets all of them; what passes the filter by chance is counted exactly there too.
-    marked = flagged(bins, F.col("core"), saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded"), "crowded")
+    full = saved(crowds.where(F.col("bins") > ARRAY_BINS).select("core"), "crowded")
+    marked = flagged(bins, F.col("core"), full, "crowded")
     few = marked.where(~F.col("crowded")).join(crowds.where(F.col("bins") <= ARRAY_BINS).select("core"), "core").drop("crowded")
     arrays = few.repartition("core").sortWithinPartitions("core", "mark").mapInArrow(_arrays(width), "mark binary, a long, b long")
     windows = saved(marked.where("crowded").drop("crowded").mapInArrow(_all_windows(width), "window binary, mark binary, a long"), "windows")
@@ -313,7 +314,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salted = flagged(twice, F.xxhash64("window"), hot, "hot").select("window", F.explode(salts).alias("salt"))
     crowded = spread.join(salted, ["window", "salt"]).select("mark", "a", (F.col("a") + 1).alias("b"))
     ranges = saved(copies.unionByName(arrays).unionByName(crowded).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges")), "ranges")
-    discard(repeated, sized, open_, bins, crowds, windows, twice)
+    discard(repeated, sized, open_, crowds, full, marked, hot, spread, salted)
     placed = found.select("doc_id", "tie", "places", "mark").join(ranges, "mark")
     each = placed.select("doc_id", "tie", F.explode("places").alias("place"), "ranges").select("doc_id", "tie", "place", F.explode("ranges").alias("r"))
     return each.select("doc_id", "tie", (F.col("place") + F.col("r.a")).alias("start"), (F.col("place") + F.col("r.b") + (length - 1)).alias("end"))
@@ -349,7 +350,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(found)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     # Documents that lose nothing stay where they are; the others meet their spans.
-    marked = flagged(rows, F.xxhash64("doc_id", "tie"), saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked"), "hit")
+    touched = saved(spans.select(F.xxhash64("_id", "_tie").alias("h")), "marked")
+    marked = flagged(rows, F.xxhash64("doc_id", "tie"), touched, "hit")
+    discard(touched)
     hit = marked.where("hit")
     met = hit.join(spans.hint("merge"), hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["tie"] == spans["_tie"]), "left").select("doc_id", "text", "spans")
     joined = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast(dict(spans.dtypes)["spans"]).alias("spans")).unionByName(met)

@@ -294,3 +294,14 @@ def test_clashing_columns_pass_through(spark, docs):
     for kept in (exact_dedup.drop_copies(odd), near_dedup.drop_near_copies(odd), mixing.apply_mix(odd)):
         row = kept.first()
         assert kept.columns == odd.columns and (row["_id"], row["_copies"], row["_d"], row["node"], row["size"]) == (2, "x", 3, 4, 5)
+
+
+def test_repeats_leave_only_what_the_result_reads(spark, docs, tmp_path, monkeypatch):
+    from lodestrata.llm import shared
+
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BINS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOW", 5)
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = suffix_dedup.remove_repeats(docs, length=40, gram=16)
+    assert {p.name.partition("-")[0] for p in (tmp_path / "lodestrata").iterdir()} == {"spans", "presence"}
+    assert got.count() == len(corpus())
