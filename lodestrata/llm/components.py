@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, saved
+from .shared import discard, saved, spread
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a")
         # e holds (larger a, smaller b): edges below a centre go over as they are unless the centre moves.
-        moved = e.select(F.col("b").alias("c"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "c"), "c", "left")
+        moved = e.select(F.col("b").alias("c"), F.col("a").alias("v")).join(spread(least.withColumnRenamed("a", "c")), "c", "left")
         large = moved.select(F.col("v").alias("a"), F.coalesce("m", "c").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        small = spread(large).join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         done, e = e, saved(small, "edges")
         after = _state(e)
         discard(done)

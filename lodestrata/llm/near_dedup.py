@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, flagged, pieces, saved, without
+from .shared import discard, flagged, pieces, saved, spread, without
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -170,7 +170,7 @@ def _refined(members: DataFrame, distance: int) -> DataFrame:
 
 def _cells(members: DataFrame, shared: DataFrame, block: int) -> DataFrame:
     """``cell, fp``: keys of up to ``block`` members whole, larger ones in cells of about so many, each with the key's least member."""
-    sized = members.join(shared.where("n > 2").select("key", "a", F.ceil(F.col("n") / block).alias("cells")), "key")
+    sized = spread(members).join(shared.where("n > 2").select("key", "a", F.ceil(F.col("n") / block).alias("cells")), "key")
     own = sized.select(F.xxhash64("key", F.pmod(F.xxhash64("fp"), "cells")).alias("cell"), "fp")
     leading = shared.where(F.col("n") > block).select("key", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("of"))
     return own.unionByName(leading.select(F.xxhash64("key", "of").alias("cell"), F.col("a").alias("fp")))
@@ -204,13 +204,13 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK)
     if crowded.isEmpty():
         discard(shared)
         return links
-    members = saved(_opened(level.join(crowded, "key"), distance), "members")
+    members = saved(_opened(spread(level).join(crowded, "key"), distance), "members")
     discard(shared)
     while True:
         roots = saved(connected_components(links), "parts")
-        named = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "rest", "width", F.coalesce("root", "fp").alias("label"))
+        named = members.join(spread(roots), members["fp"] == roots["node"], "left").select("key", "fp", "rest", "width", F.coalesce("root", "fp").alias("label"))
         counted = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
-        open_ = saved(named.join(counted.where("others > 0"), "key").withColumn("tester", F.col("label") != F.col("main")), "open")
+        open_ = saved(spread(named).join(counted.where("others > 0"), "key").withColumn("tester", F.col("label") != F.col("main")), "open")
         discard(members, roots)
         if open_.isEmpty():
             discard(open_)
@@ -226,7 +226,7 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK)
         if crowded.isEmpty():
             discard(open_, kept)
             return links
-        members = saved(deeper.join(crowded, "key").select("key", "fp", "rest", "width"), "members")
+        members = saved(spread(deeper).join(crowded, "key").select("key", "fp", "rest", "width"), "members")
         discard(open_, kept)
 
 
@@ -253,11 +253,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     links = near_links(nodes.select("fp"), distance)
     roots = connected_components(links)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(spread(roots), nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = saved(named.join(least, "root").select("fp", "component_id"), "labels")
+    labels = saved(spread(named).join(least, "root").select("fp", "component_id"), "labels")
     discard(nodes, links, roots)
-    return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread(rows).join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: A pair of documents is a near copy from this share of common shingles of so many words.
@@ -361,8 +361,8 @@ def _prefix_keys(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     once = open_nodes.select("node").join(sets.hint("merge"), "node").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
     tokens = once.mapInArrow(spread, "node binary, token long")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    met = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    sized = met.join(open_nodes, "node")
+    met = spread(tokens).join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    sized = spread(met).join(open_nodes, "node")
     first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
     alone = F.col("size") - F.size("t")
     return sized.select("node", "size", "label", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0).cast("long"), first - alone).cast("int"))).alias("p")).select(F.col("p.token").alias("key"), "node", "size", "label")
@@ -423,13 +423,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = saved(base.mapInArrow(sign, f"doc_id {id_type}, node binary, size long, bands array<long>"), "signatures")
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "shingle_sets")
-    equal = rows.join(nodes.select("node", "first"), "node").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    equal = spread(rows).join(nodes.select("node", "first"), "node").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
     keys = nodes.select("node", "size", F.explode("bands").alias("key"))
     buckets = saved(_buckets(keys), "buckets")
-    members = saved(keys.join(buckets.select("key", "cells"), "key"), "members")
+    members = saved(spread(keys).join(buckets.select("key", "cells"), "key"), "members")
     # One document of each set is read again; what passes the filter by chance brings sets that meet no bucket.
-    wanted = saved(members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.xxhash64("first").alias("h")), "wanted")
+    wanted = saved(spread(members.select("node").distinct()).join(nodes.select("node", "first"), "node").select(F.xxhash64("first").alias("h")), "wanted")
     sets = saved(flagged(base, F.xxhash64("doc_id"), wanted, "wanted").where("wanted").select("doc_id", "text").mapInArrow(read_sets, "node binary, hashes binary"), "hashes")
     done = [rows, nodes, wanted, sets]
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -449,13 +449,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowded = members.where("cells > 1")
     if not crowded.isEmpty():
         roots = saved(connected_components(links), "similar_roots").withColumnRenamed("root", "label")
-        labelled = saved(crowded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "parts")
+        labelled = saved(crowded.join(spread(roots), "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "parts")
         # members of buckets that are connected by now need no more
         split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        loose = saved(labelled.join(split, "key", "left_semi").groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("label").alias("label")), "loose")
+        loose = saved(labelled.join(spread(split), "key", "left_semi").groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("label").alias("label")), "loose")
         rare = saved(_prefix_keys(loose, sets, similarity), "rare")
         mixed = saved(_mixed(rare), "mixed")
-        met = rare.join(mixed, "key").withColumn("tester", F.col("label") != F.col("main"))
+        met = spread(rare).join(mixed, "key").withColumn("tester", F.col("label") != F.col("main"))
         every = met.withColumn("i", F.pmod(F.xxhash64("node"), "cells")).withColumn("j", upto("tests")).withColumn("tester", F.lit(False))
         testing = met.where("tester").withColumn("i", upto("cells")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "tests"))
         pairs = every.unionByName(testing).groupBy(F.xxhash64("key", "i", "j").alias("cell"), "node", "label").agg(F.max("tester").alias("tester"))
@@ -463,7 +463,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(more)
         done += [roots, labelled, loose, rare, mixed, more]
     named = lambda c, first: nodes.select(F.col("node").alias(c), F.col("first").alias(first))
-    ends = links.distinct().join(named("a", "p"), "a").join(named("b", "q"), "b").where("p <> q")
+    ends = spread(links.distinct()).join(named("a", "p"), "a").join(spread(named("b", "q")), "b").where("p <> q")
     found = saved(equal.unionByName(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct(), "similar_links")
     discard(*done)
     return found

@@ -43,6 +43,16 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges, so that neither side is sent to every task.
+
+    Spark takes a table after an explode to be no larger than before it, and a
+    Parquet table as large as its compressed files, so it would send tables of
+    many times the broadcast limit through the driver.
+    """
+    return df.hint("merge")
+
+
 #: Bits of a presence filter: 16 for each key, within these bounds (at most a million words of 64).
 PRESENCE_BITS = (1 << 10, 1 << 26)
 
