@@ -297,3 +297,16 @@ def test_four_reports(spark):
     users = spark.createDataFrame([("d_a", ["w_a"])], "name string, used_by array<string>")
     assert "<td>w_a</td>" in said(reports.rendered("D", reports.report_object_sections(listed, users), "html"))
     assert '"rule":"GOTO_USAGE"' in said(reports.rendered("F", reports.refactoring_sections(findings), "json"))
+
+
+def test_files_are_moved_by_tasks(tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/c").write_bytes(b"older")
+    writer = sinks.FileWriter(f"file://{tmp_path}", "job", later=True)
+    message = writer.write(iter([pa.record_batch([pa.array(["a", "b/c"]), pa.array([b"1", b"2"], pa.binary())], ["path", "content"])]))
+    writer.commit([message, None])
+    assert not (tmp_path / "a").exists() and (tmp_path / "b/c").read_bytes() == b"older"
+    for _ in range(2):  # a task that moves files may run twice
+        sinks.place_attempt(f"file://{tmp_path}", message.attempt)
+    writer.finish([message.attempt])
+    assert (tmp_path / "a").read_bytes() == b"1" and (tmp_path / "b/c").read_bytes() == b"2" and not list((tmp_path / sinks.STAGING).glob("*"))
