@@ -352,14 +352,14 @@ def _prefix_keys(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     do not meet. Shingles of one set alone come first and lead nowhere.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):  # a set at a time, so a batch is no longer than its longest set
                 hashes = np.frombuffer(batch.column("hashes")[k].as_py(), np.int64)
                 yield pa.record_batch([pa.array([batch.column("node")[k].as_py()] * len(hashes), pa.binary()), pa.array(hashes)], ["node", "token"])
 
     once = open_nodes.select("node").join(sets.hint("merge"), "node").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-    tokens = once.mapInArrow(spread, "node binary, token long")
+    tokens = once.mapInArrow(one_by_one, "node binary, token long")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     met = spread(tokens).join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     sized = spread(met).join(open_nodes, "node")
