@@ -59,3 +59,30 @@ assert stored(spark.range(3)).count() == 3 and checkpoint_folder(spark) == check
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", program], check=True, timeout=300, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root})
+
+
+def test_files_share_calls():
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def remove(self):
+            self.exists = False
+
+    state, of = State(), lambda paths, scanned: iter([pd.DataFrame({"path": paths, "scanned_ms": scanned, "modified_ms": 0, "size": 1, "checksum": "x"})])
+    run = index._seen(15)
+    assert [sorted(frame["path"]) for frame in run((0,), of(["a", "b"], 10), state)] == [["a", "b"]]
+    assert list(run((0,), of(["a"], 20), state)) == [] and state.at == 25
+    state.hasTimedOut, state.getCurrentWatermarkMs = True, lambda: 30
+    assert [frame[["path", "status"]].values.tolist() for frame in run((0,), iter([]), state)] == [[["b", "removed"]]]
+    assert state.get[0] == ["a"] and state.at == 35
