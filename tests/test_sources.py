@@ -310,3 +310,23 @@ def test_files_are_moved_by_tasks(tmp_path):
         sinks.place_attempt(f"file://{tmp_path}", message.attempt)
     writer.finish([message.attempt])
     assert (tmp_path / "a").read_bytes() == b"1" and (tmp_path / "b/c").read_bytes() == b"2" and not list((tmp_path / sinks.STAGING).glob("*"))
+
+
+def test_small_files_share_batches():
+    import pyarrow as pa
+
+    from lodestrata.sources import executables, libraries
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    small = pa.record_batch([pa.array([str(i) for i in range(50)] + ["bad"]), pa.array([libraries.build([("w_a.srw", b"hello")])] * 50 + [b"none"])], ["path", "content"])
+    read = list(libraries.read_entries(Files())(iter([small])))
+    assert [b.num_rows for b in read] == [51] and read[0].column("error").null_count == 50
+    large = pa.record_batch([pa.array(["a", "b"]), pa.array([libraries.build([("w_a.srw", b"x" * (1 << 21))])] * 2)], ["path", "content"])
+    assert [b.num_rows for b in libraries.read_entries(Files())(iter([large]))] == [1, 1]
+    assert [b.num_rows for b in executables.read_resources(Files())(iter([small]))] == [51]
