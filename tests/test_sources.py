@@ -330,3 +330,9 @@ def test_small_files_share_batches():
     large = pa.record_batch([pa.array(["a", "b"]), pa.array([libraries.build([("w_a.srw", b"x" * (1 << 21))])] * 2)], ["path", "content"])
     assert [b.num_rows for b in libraries.read_entries(Files())(iter([large]))] == [1, 1]
     assert [b.num_rows for b in executables.read_resources(Files())(iter([small]))] == [51]
+
+
+def test_a_report_runs_the_rules_once(spark):
+    findings = spark.range(20).selectExpr("concat('w_', id) AS name", "CAST(id AS INT) AS line_no", "'GOTO_USAGE' AS rule", "'warning' AS severity", "id AS event_id")
+    for section in reports.refactoring_sections(findings).values():
+        assert "Range" not in section.rows._jdf.queryExecution().analyzed().toString()
