@@ -1,5 +1,7 @@
 """Libraries are packed and written with one shuffle of their data."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,21 @@ def test_entries_are_listed_without_their_data(spark):
 def test_objects_of_a_small_file_are_made_by_many_tasks(spark, tmp_path):
     spark.range(1000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
     assert object_queries.objects(spark, f"file://{tmp_path}").rdd.getNumPartitions() >= 16
+
+
+def test_libraries_are_made_in_one_pass(spark):
+    plan = libraries.pack(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_the_code_that_makes_objects_is_small_enough_to_be_compiled(spark, capsys):
+    made = object_queries.objects(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is generated before the job runs
+    try:
+        made.select("*").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    same = F.expr(object_queries._TEXT).eqNullSafe(F.col("text"))
+    assert made.where(~same).count() == 0 and made.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
