@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,11 +127,18 @@ def refreshed_index(old: DataFrame, files: DataFrame, build, path: str = "path",
     """An index over ``files`` that keeps the rows of unchanged files and builds the others anew.
 
     ``build`` turns files into index rows and sees changed and new ones
-    alone; rows of files that are gone are dropped.
+    alone; rows of files that are gone are dropped. A row is kept if a file
+    has its path and compared values, a file is built if no row has its.
+
+    Both joins are on the same keys and merge, so either side is computed and
+    shuffled once where the keys are all of it; and Spark takes rows with
+    short texts to be smaller than they are, and might broadcast them.
     """
-    state = diff(old, files, [path], list(by), unchanged=True)
-    same = old.join(state.where("status = 'unchanged'").select(path), path, "left_semi")
-    fresh = build(files.join(state.where("status in ('added', 'modified')").select(path), path, "left_semi"))
+    keys = [path, *by]
+    seen = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in keys]).hint("merge")
+    equal = (F.col(path) == F.col(f"_{path}")) & reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    same = old.join(seen(files), equal, "left_semi")
+    fresh = build(files.where(F.col(path).isNotNull()).join(seen(old), equal, "left_anti"))
     return same.unionByName(fresh.select(*same.columns))
 
 
