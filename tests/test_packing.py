@@ -1,5 +1,6 @@
 """Libraries are packed and written with one shuffle of their data."""
 
+import random
 import re
 
 import pytest
@@ -57,3 +58,17 @@ def test_the_code_that_makes_objects_is_small_enough_to_be_compiled(spark, capsy
     assert sizes and max(sizes) < 8000
     same = F.expr(object_queries._TEXT).eqNullSafe(F.col("text"))
     assert made.where(~same).count() == 0 and made.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_wide_texts_are_told_without_lambdas(spark):
+    r = random.Random(3)
+    texts = [bytes(r.choices(b"\0ab\n", [w, 1, 1, 1], k=r.randrange(72))) for w in (1, 3, 9) for _ in range(300)] + [bytes(r.choice([b"a\0", b"ab"])[i % 2] for i in range(n)) for n in range(72)]
+
+    def said(data):
+        odd = data[1:64:2]
+        wide = len(data) >= 4 and odd.count(0) > 0.6 * len(odd)
+        return data[: len(data) // 2 * 2].decode("utf-16-le").partition("\0")[0] if wide else data.decode().replace("\0", "")
+
+    made = spark.createDataFrame([(t,) for t in texts], "data binary").select("data", libraries.source_text(F.col("data")).alias("text"))
+    assert all(row["text"] == said(bytes(row["data"])) for row in made.collect())
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
