@@ -72,3 +72,12 @@ def test_wide_texts_are_told_without_lambdas(spark):
     made = spark.createDataFrame([(t,) for t in texts], "data binary").select("data", libraries.source_text(F.col("data")).alias("text"))
     assert all(row["text"] == said(bytes(row["data"])) for row in made.collect())
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [0, 1, 501, 502, 503, 1004, 5000])
+def test_blocks_of_an_entry_are_chained_and_read_back(size):
+    data = bytes(i % 251 for i in range(size))
+    parts = [data[i : i + 502] for i in range(0, size, 502)] or [b""]
+    plain = b"".join(b"DAT*" + (1000 + 512 * (k + 1) if k + 1 < len(parts) else 0).to_bytes(4, "little") + len(p).to_bytes(2, "little") + p.ljust(502, b"\0") for k, p in enumerate(parts))
+    assert libraries._blocks(data, 1000) == plain
+    assert libraries.payload(libraries.Region(b"\0" * 1000 + plain), 1000, size) == data
