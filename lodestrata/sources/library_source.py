@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +32,20 @@ LISTED = ("path", "name", "type_name", "type_code", "is_source", "version")
 
 
 class FileRegion(Region):
-    """Bytes of a file, read where they are asked for; ``read_bytes`` counts them."""
+    """Bytes of a file, or of the part from ``first`` on, read where they are asked for; ``read_bytes`` counts them."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size, self.read_bytes = file, size, 0
+    def __init__(self, file, size: int, first: int = 0):
+        self.file, self.size, self.first, self.read_bytes = file, size, first, 0
 
     def at(self, start: int, n: int) -> bytes:
         n = max(0, min(n, self.size - start))
         self.read_bytes += n
-        return self.file.read_at(n, start) if n else b""
+        return self.file.read_at(n, self.first + start) if n else b""
+
+
+def member_region(archive, size: int, at: int, packed: int | None) -> Region:
+    """Bytes of a file in an archive: in place, or if it is compressed, which small ones are, in memory."""
+    return FileRegion(archive, size, at) if packed is None else Region(zlib.decompress(archive.read_at(packed, at), -zlib.MAX_WBITS, max(size, 1)))
 
 
 @dataclass
