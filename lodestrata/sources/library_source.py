@@ -12,19 +12,23 @@ import fnmatch
 import posixpath
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import attrgetter
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
 
-from .libraries import BLOCK, ENTRY_ARROW, ENTRY_SCHEMA, Region, entries
+from .libraries import BLOCK, ENTRY_ARROW, ENTRY_SCHEMA, Region, entries, payload
 
 FORMAT = "library"
 #: Bytes of a file that one task reads, about.
 SPLIT_BYTES = 64 << 20
+#: Tasks from which on they read more than one part each, up to so many bytes: with more of them, starting them costs more than reading.
+TASKS = 256
 #: Bytes of data that a task hands over at once.
 BATCH_BYTES = 8 << 20
 #: Columns that a filter is tried on before data is read.
@@ -116,28 +120,34 @@ class LibraryReader(DataSourceReader):
 
     def partitions(self) -> list[Bundle]:
         paths = [f for f in self.filters if f.attribute[0] == "path"]
-        return bundled([p for p in listed(self.folder, self.pattern, self.split) if wanted({"path": p.path}, paths)], self.split)
+        parts = [p for p in listed(self.folder, self.pattern, self.split) if wanted({"path": p.path}, paths)]
+        whole = sum(p.size for p in parts if p.k == 0)
+        return bundled(parts, max(self.split, min(whole // TASKS, SPLIT_BYTES)))
 
     def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
-        for part in bundle.parts:
-            store, at = fs.FileSystem.from_uri(part.path)
+        for path, parts in groupby(bundle.parts, attrgetter("path")):
+            store, at = fs.FileSystem.from_uri(path)
             with store.open_input_file(at) as file:
-                yield from self.batches(part, FileRegion(file, part.size))
-
-    def batches(self, part: Part, region: Region) -> Iterator[pa.RecordBatch]:
-        """Every ``of``-th entry of a file, from the ``k``-th on."""
-        try:
-            for _ in entries(region, self.strict, lambda e: False):
-                pass  # as in read_entries, a file whose nodes are broken is one row with an error and nothing else
+                first, *more = parts
+                yield from self.batches(first, FileRegion(file, first.size), [p.k for p in more])
+
+    def batches(self, part: Part, region: Region, more: Iterable[int] = ()) -> Iterator[pa.RecordBatch]:
+        """Every ``of``-th entry of a file, from the ``k``-th on, and from each of ``more``; it is listed once for them."""
+        turns = {part.k, *more}
+        try:  # all of the list first: as in read_entries, a file whose nodes are broken is one row with an error and nothing else
+            found = list(entries(region, self.strict, data=False, turns=(turns, part.of)))
         except (ValueError, struct.error) as e:
             broken = {"path": part.path, "error": str(e)}
-            if part.k == 0 and wanted(broken, self.filters):
+            if 0 in turns and wanted(broken, self.filters):
                 yield pa.RecordBatch.from_pylist([broken], ENTRY_ARROW)
             return
         rows, held = [], 0
-        for e in entries(region, self.strict, lambda e: e["ordinal"] % part.of == part.k and wanted({"path": part.path} | e, self.filters)):
-            rows.append({"path": part.path} | e)
-            held += len(e["data"])
+        for e in found:
+            e["path"] = part.path
+            if not wanted(e, self.filters):
+                continue
+            rows.append(e | {"data": payload(region, e["data_offset"], e["size"])})
+            held += len(rows[-1]["data"])
             if held >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
                 rows, held = [], 0
